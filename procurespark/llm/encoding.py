@@ -188,7 +188,8 @@ class Encoder:
             return out
         for cuts in self._windows(data, offsets):
             owner = np.searchsorted(offsets, cuts[:-1], side="right") - 1
-            out += np.bincount(owner, self.lengths[self._codes(data, cuts)], len(out)).astype(np.int64)
+            codes = self._codes(data, cuts)  # may put new arrays in place of self.lengths
+            out += np.bincount(owner, self.lengths[codes], len(out)).astype(np.int64)
         return out
 
     def _split_long(self, texts: pa.Array) -> Iterator[tuple[list[int], list[list[int]]]]:
