@@ -7,10 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from procurespark.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
+from procurespark.llm.packing import pack_tokens
+from procurespark.llm.shared import new_path
+from procurespark.llm.simhash import simhash_components
 from procurespark.llm.token_counts import token_counts
+from procurespark.llm.token_records import read_token_records, write_token_records
 
 #: Where the vocabulary of the token operators is; a parameter of each operator.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +28,36 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), VOCABULARY, limit=512)
 
 
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written as binary records with an index, and read back."""
+    path = new_path(spark, "token-records")
+    write_token_records(_table(spark, sf_dir, "documents"), path, VOCABULARY, end_id=END_ID)
+    return read_token_records(spark, path)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 20 characters or more in three documents or more dropped from all but the last."""
+    return line_dedup_digest(_table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return pack_tokens(_table(spark, sf_dir, "documents"), VOCABULARY, end_id=END_ID, capacity=1024)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents at 3 bits."""
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_records": op2_token_records,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_packing": op6_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": LINE_DEDUP_SQL,
+}
