@@ -20,6 +20,7 @@ from procurespark.llm.words import codes_of, word_spans
 BATCH_BYTES = 4 << 20
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 WINDOW = 3
+BROADCAST_BYTES = 32 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -125,39 +126,38 @@ def host_verdicts(judged: DataFrame, bar: float = 0.6) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, bar: float = 0.6, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``docs`` with features ``_f_...``, ``_base_failed`` and ``_kept``.
-
-    A null text has no words and fails; a null host is a host of its own; repeated rows
-    count each; an empty table gives an empty result. Columns of the input beginning
-    with an underscore are dropped. The verdict of a host counts all its rows, and the
-    join with it is one that adaptive execution can broadcast or split.
-    """
-    plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("_")))
-    only = with_features(plain.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"), F.col(text_col).alias(text_col)), text_col)
-    return _judged(with_features(plain, text_col), host_verdicts(only.drop(text_col), bar), host_col)
-
-
-def _judged(featured: DataFrame, hosts: DataFrame, host_col: str) -> DataFrame:
-    own = hosts.select(F.col("host").alias("_host_of"), F.col("host_failed").alias("_host_failed"))
-    met = featured.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).join(own, F.col("_host") == F.col("_host_of"), "left")
-    failed = base_failed()
-    return met.withColumn("_base_failed", failed).withColumn("_kept", ~failed & ~F.coalesce("_host_failed", F.lit(False)))
+def failed_hosts(hosts: DataFrame) -> DataFrame:
+    """``_host`` of the hosts that fail; broadcast if they take up at most BROADCAST_BYTES, else shuffled."""
+    failed = hosts.filter("host_failed").select(F.col("host").alias("_host"))
+    size = failed.agg(F.sum(F.octet_length("_host") + 32).alias("n")).first()["n"] or 0
+    return F.broadcast(failed) if size <= BROADCAST_BYTES else failed
 
 
 def quality_digest(docs: DataFrame, bar: float = 0.6) -> DataFrame:
     """``doc_id``, the counts, ``base_failed`` and ``kept`` for each document.
 
-    Counts are small, so they go to the shared folder once and texts are read once.
+    Counts are small, so they go to the shared folder once and texts are read once. A
+    null text has no words and fails; a null source is a host of its own; null ids stay
+    null; repeated rows count each; other columns are not read; an empty table gives an
+    empty result.
     """
-    slim = with_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.col("text")))
-    made = checkpointed(slim.drop("text"))
-    hosts = host_verdicts(made.withColumn("_host", F.coalesce("source", F.lit(""))), bar)
-    return _judged(made, hosts, "source").select(
-        "doc_id", *(F.col(f"_f_{k}").alias(k) for k in FEATURES[:-1]), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept")
+    host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host")
+    made = checkpointed(with_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), host, F.col("text"))).drop("text"))
+    failing = failed_hosts(host_verdicts(made, bar)).withColumn("_gone", F.lit(True))
+    failed = base_failed()
+    return made.join(failing, "_host", "left").select(
+        "doc_id", *(F.col(f"_f_{k}").alias(k) for k in FEATURES[:-1]), failed.alias("base_failed"), (~failed & F.col("_gone").isNull()).alias("kept")
     )
 
 
-def keep_good(docs: DataFrame, bar: float = 0.6) -> DataFrame:
-    """The documents kept, with their own columns."""
-    return judge(docs, bar).filter("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+def keep_good(docs: DataFrame, bar: float = 0.6, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows whose text and host pass, with all their columns, under the same rules as ``quality_digest``.
+
+    Texts are counted twice, once for their hosts and once for themselves, and not
+    shuffled. Names of the input that begin with ``_f_`` or are ``_host`` are taken.
+    """
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host")
+    counted = with_features(docs.select(host, F.col(text_col).alias("text"))).drop("text")
+    failing = failed_hosts(host_verdicts(counted, bar))
+    passed = with_features(docs.withColumn("_host", host), text_col).filter(~base_failed())
+    return passed.join(failing, "_host", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

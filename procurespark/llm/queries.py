@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from procurespark.llm.decontaminate import find_leaks
+from procurespark.llm.licenses import scan_licenses
 from procurespark.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from procurespark.llm.packing import pack_tokens
+from procurespark.llm.quality import quality_digest
+from procurespark.llm.secrets import secret_digest
 from procurespark.llm.shared import new_path
 from procurespark.llm.simhash import simhash_components
 from procurespark.llm.token_counts import token_counts
 from procurespark.llm.token_records import read_token_records, write_token_records
+from procurespark.llm.url_filters import RULES, URL_FILTER_SQL, filter_urls
 
 #: Where the vocabulary of the token operators is; a parameter of each operator.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,11 +28,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' URLs against the fixed rules; allow is the verdict without one."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return filter_urls(_table(spark, sf_dir, "pages"), rules)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents; over_limit is n_tokens > 512."""
     return token_counts(_table(spark, sf_dir, "documents"), VOCABULARY, limit=512)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds with at most 8 edits in 100 characters."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, written as binary records with an index, and read back."""
     path = new_path(spark, "token-records")
@@ -35,11 +51,21 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(spark, path)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, with ownership over all sources."""
+    return secret_digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more in three documents or more dropped from all but the last."""
     return line_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdicts of all documents, with those of their sources."""
+    return quality_digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return pack_tokens(_table(spark, sf_dir, "documents"), VOCABULARY, end_id=END_ID, capacity=1024)
@@ -50,14 +76,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and accepted templates of all documents."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_records": op2_token_records,
+    "op3_secrets": op3_secrets,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op7_url_filter": op7_url_filter,
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": LINE_DEDUP_SQL,
+    "op7_url_filter": URL_FILTER_SQL,
 }

@@ -79,17 +79,19 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, of each row."""
+def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``fp``, the fingerprint as a signed long, in place of the text."""
+    others = [(c, t) for c, t in docs.dtypes if c not in (text_col, "fp")]
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*others, ("fp", "long")])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat_text(batch.column(1))
+            data, offsets = flat_text(batch.column(text_col))
             for a, b in by_bytes(offsets, BATCH_BYTES):
                 fp = _fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c, _ in others), pa.array(fp.view(np.int64))], [*(c for c, _ in others), "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(made, "doc_id long, fp long")
+    return docs.select(*(F.col(f"`{c}`") for c, _ in others), F.col(text_col)).mapInArrow(made, schema)
 
 
 def _variants(fp: np.ndarray) -> np.ndarray:
@@ -244,6 +246,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(own)
 
 
+def fingerprint_roots(made: DataFrame) -> DataFrame:
+    """``fp, root``: each fingerprint of ``made`` and the one that names its component."""
+    distinct = checkpointed(made.select("fp").distinct())
+    roots = components(near_links(distinct)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row.
 
@@ -252,11 +261,27 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids count for no component_id unless all of one are null; repeated rows come back
     each; other columns are not read; an empty table gives an empty result.
     """
-    made = checkpointed(fingerprints(docs, id_col, text_col))
-    distinct = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(near_links(distinct)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    made = checkpointed(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
+    rooted = fingerprint_roots(made)
+    # Ids are brought down to one for each fingerprint before fingerprints meet by root.
+    lowest = made.groupBy("fp").agg(F.min("doc_id").alias("first")).join(rooted, "fp")
+    named = lowest.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_fp = checkpointed(rooted.join(named, "root").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return made.join(of_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return made.join(of_fp.hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``simhash_components``: that of the smallest id, with all its columns.
+
+    Of rows with that id the text's hash decides and repeated rows count as one; a
+    component of null ids only keeps one of them.
+    """
+    key = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("_row", F.xxhash64("text"))
+    made = checkpointed(fingerprints(key))
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
+    lowest = made.groupBy("fp").agg(F.min(order).alias("first")).join(fingerprint_roots(made), "fp")
+    picked = lowest.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_id"), F.col("first._row").alias("_row"))
+    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    met = rows.join(picked.hint("merge"), rows[id_col].eqNullSafe(picked["_id"]) & (rows["_hash"] == picked["_row"]), "left_semi")
+    return met.dropDuplicates([id_col, "_hash"]).select(*(F.col(f"`{c}`") for c in docs.columns))
