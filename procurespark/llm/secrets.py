@@ -103,6 +103,8 @@ def scan_secrets(docs: DataFrame, max_owners: int = 1, max_repositories: int = 5
     held = hashed.select("digest", "owner", "repository").distinct()
     by_owner = held.groupBy("digest", "owner").agg(F.count("*").alias("n"))
     ownership = by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    # Written down, so that the join shuffles both its sides and a frequent value's rows can be split.
+    ownership = checkpointed(ownership)
     judged = hashed.join(ownership.hint("merge"), "digest").select(
         "doc_id", "row", "span", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live")
     )
