@@ -2,7 +2,8 @@
 
 A byte-level vocabulary never joins a character that isn't white space with
 white space after it. So a text may be cut before each space or line end that
-follows such a character, and each different piece need be encoded only once.
+follows such a character. Nor does it join a letter with punctuation after it, which
+parts a word from the marks behind it. Each different piece need be encoded only once.
 Natural text repeats most of its pieces; the library sees the new ones.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from procurespark.llm.shared import flat_text, ranges
 
 WINDOW_BYTES = 8 << 20
-CACHED_PIECES = 500_000
+CACHED_PIECES = 1_200_000
 JOINED_PIECES = 2_000
 PLAIN_BYTES = 1 << 20
 
@@ -27,18 +28,26 @@ PLAIN_BYTES = 1 << 20
 # Unicode white space: those end in C2 xx, xx 80 xx, xx 81 xx or xx 9A xx.
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, 0x0A]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 _MAYBE_SPACE = np.zeros(256, bool)
 _MAYBE_SPACE[[0xC2, 0x80, 0x81, 0x9A]] = True
 
 
-def safe_cuts(data: np.ndarray) -> np.ndarray:
-    """Positions in UTF-8 ``data`` before which a text may be cut without changing its tokens."""
+def safe_cuts(data: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Positions in UTF-8 ``data`` before which a text may be cut without changing its tokens.
+
+    ``marks`` are the bytes before which it may be cut after an ASCII letter.
+    """
     at = np.flatnonzero(_BREAK[data])
     at = at[at > 1]
     before = data[at - 1]
-    return at[_VISIBLE[before] | ((before >= 0x80) & ~_MAYBE_SPACE[data[at - 2]])]
+    at = at[_VISIBLE[before] | ((before >= 0x80) & ~_MAYBE_SPACE[data[at - 2]])]
+    mark = np.flatnonzero(marks[data])
+    mark = mark[mark > 0]
+    return np.concatenate([at, mark[_LETTER[data[mark - 1]]]])
 
 
 class Encoder:
@@ -78,8 +87,11 @@ class Encoder:
             self.bytes_of = np.zeros(max(self.library.get_vocab(True).values()) + 1, np.int64)
             for token, i in self.library.get_vocab(False).items():
                 self.bytes_of[i] = len(token)  # one character stands for one byte
+            self.marks = np.zeros(256, bool)
+            self.marks[list(b".,;:!?)*#$%&")] = True
             for t in added:
                 self.bytes_of[t["id"]] = len(t["content"].encode())
+                self.marks[list(t["content"].encode())] = False
             self._forget()
 
     def _forget(self) -> None:
@@ -152,7 +164,7 @@ class Encoder:
             hi = min(len(data), lo + WINDOW_BYTES)
             while True:
                 cut = np.zeros(hi - lo + 1, bool)
-                cut[safe_cuts(data[lo:hi])] = True
+                cut[safe_cuts(data[lo:hi], self.marks)] = True
                 inside = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")]
                 cut[inside - lo] = True
                 cut[0] = True
