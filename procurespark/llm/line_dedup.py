@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procurespark.llm.shared import ascii_lower
+from procurespark.llm.shared import ascii_lower, checkpointed
 
 #: The white space that is stripped from a line's ends.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -46,7 +46,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     # counted by the tasks that hold the documents, not by one task.
     pairs = hashed.select("_h1", "_h2", "_doc").groupBy("_h1", "_h2", "_doc").agg(F.lit(1).alias("_n"))
     common = pairs.groupBy("_h1", "_h2").agg(F.count("_n").alias("_docs"), F.max("_doc").alias("_keep")).filter(F.col("_docs") >= min_docs)
-    # A sort-merge join, because adaptive execution splits its partitions of frequent lines.
+    # Written down, so that the sort-merge join shuffles both its sides and adaptive
+    # execution can split the rows of a frequent line.
+    common = checkpointed(common)
     gone = hashed.join(common.hint("merge"), ["_h1", "_h2"]).filter(F.col("_doc") != F.col("_keep"))
     dropped = gone.groupBy("_doc", "_row").agg(F.collect_set("_pos").alias("_dropped"))
 

@@ -248,7 +248,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def fingerprint_roots(made: DataFrame) -> DataFrame:
     """``fp, root``: each fingerprint of ``made`` and the one that names its component."""
-    distinct = checkpointed(made.select("fp").distinct())
+    # Few and small rows that become many: they must not be merged into a few partitions.
+    parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = checkpointed(made.select("fp").distinct().repartition(parts, "fp"))
     roots = components(near_links(distinct)).withColumnRenamed("node", "fp")
     return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
