@@ -202,7 +202,7 @@ def test_reads(spark):
     assert reads.product_protocols(links, protocols.withColumn("source_uri", F.lit("u")), True).count() == 1
     assert reads.protocol_materials(links, products).count() == 2
     assert {r.id: r.exists for r in reads.exists(products, spark.createDataFrame([("p",), ("z",)], "id string")).collect()} == {"p": True, "z": False}
-    offers = spark.createDataFrame([("o1", "s1", "p", "k1", None, 5, "CNY", 1, 1), ("o2", "s1", "p", "k2", None, 4, "USD", 1, 1)], schemas.OFFERS.replace("decimal(12,4)", "double"))
+    offers = spark.createDataFrame([("o1", "s1", "p", "k1", None, 5.0, "CNY", 1, 1), ("o2", "s1", "p", "k2", None, 4.0, "USD", 1, 1)], schemas.OFFERS.replace("decimal(12,4)", "double"))
     listed = reads.list_products(products, offers, q="p")
     (row,) = listed.collect()
     assert (row.offer_count, row.region) == (2, None) and row.best_landed == pytest.approx((4 + 4 * 0.27 + 1.5) * 1.2)
