@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -47,11 +48,18 @@ class Rules:
         return max(0, min(int(self.rate * size), (size - self.q + 1 - self.least) // self.q))
 
 
+@lru_cache(1)
+def _lower() -> np.ndarray:
+    """The lower case of each code point below 2 ** 16 that has one of a single code point, else itself."""
+    cases = (chr(p).lower() if not 0xD800 <= p < 0xE000 else chr(p) for p in range(1 << 16))
+    return np.array([ord(c) if len(c) == 1 else p for p, c in enumerate(cases)], np.uint32)
+
+
 def normalized(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points with A-Z lower-cased and white space as single spaces, and where each stood."""
+    """Code points in lower case and white space as single spaces, and where each stood."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     blank = (points == 0x20) | ((points >= 0x09) & (points <= 0x0D))
-    points = np.where((points >= 0x41) & (points <= 0x5A), points + 0x20, np.where(blank, 0x20, points))
+    points = np.where(blank, 0x20, np.where(points < 1 << 16, _lower()[np.minimum(points, 0xFFFF)], points))
     kept = np.ones(len(points), bool)
     kept[1:] = ~(blank[1:] & blank[:-1])
     at = np.flatnonzero(kept)

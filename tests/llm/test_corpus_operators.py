@@ -387,6 +387,12 @@ def test_decontamination(spark, odd):
     assert decontaminate.find_leaks(odd, empty(bench)).count() == 0 and decontaminate.find_leaks(empty(docs), bench).count() == 0
 
 
+def test_decontamination_ignores_case_of_any_letter():
+    item = "Éai éonleeau pour an éonqueê, öffne die Tür: ЖУК и мышь"
+    index = decontaminate.build([(3, item)], decontaminate.Rules())
+    assert decontaminate.search(index, ["x", f"({item.upper()})", f"\U0001f600 {item.lower()}"]) == [(1, 3, 1, 1 + len(item), 0), (2, 3, 2, 2 + len(item), 0)]
+
+
 def test_decontamination_loses_nothing_within_the_bound():
     rng = np.random.default_rng(5)
     letters = list("etaoin shrdlu")
