@@ -27,8 +27,8 @@ from procurespark.llm.shared import ranges
 BASE = 0x9E3779B97F4A7C15  # odd; products are taken modulo 2 ** 64
 SPREAD = 0xD6E8FEB86659FD93
 TABLE_BITS = 22
-BATCH_CHARS = 2_000_000
-HITS = 4_000_000
+BATCH_CHARS = 1_000_000
+HITS = 2_000_000
 
 
 @dataclass

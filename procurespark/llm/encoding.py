@@ -19,8 +19,8 @@ import pyarrow as pa
 
 from procurespark.llm.shared import flat_text, ranges
 
-WINDOW_BYTES = 8 << 20
-CACHED_PIECES = 1_200_000
+WINDOW_BYTES = 2 << 20
+CACHED_PIECES = 400_000  # about 100 MB in each Python worker
 JOINED_PIECES = 2_000
 PLAIN_BYTES = 1 << 20
 

@@ -22,7 +22,7 @@ from procurespark.llm.shared import by_bytes, flat_text
 from procurespark.llm.simhash import LOWER
 from procurespark.llm.words import codes_of, word_spans
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 #: Fixed phrases and their labels.
 BASE_PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from procurespark.llm.shared import by_bytes, checkpointed, flat_text
 from procurespark.llm.words import codes_of, word_spans
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 WINDOW = 3
 BROADCAST_BYTES = 32 << 20

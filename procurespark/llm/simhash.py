@@ -31,7 +31,7 @@ SEED = 42
 WORDS = 3
 RADIUS = 3
 MASKS = [np.uint64(0xFFFF << (16 * k)) for k in range(4)]
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 COMPARED = 24
 TABULATED = 1024
 SPACES = np.zeros(256, bool)
