@@ -20,7 +20,7 @@ import pyarrow as pa
 from procurespark.llm.shared import flat_text, ranges
 
 WINDOW_BYTES = 2 << 20
-CACHED_PIECES = 400_000  # about 100 MB in each Python worker
+CACHED_PIECES = 700_000  # about 150 MB in each Python worker
 JOINED_PIECES = 2_000
 PLAIN_BYTES = 1 << 20
 
