@@ -177,15 +177,19 @@ def _meet(keys: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             a, b = np.nonzero(np.bitwise_count(fp[lo:hi, None] ^ fp[None, lo:hi]) <= RADIUS)
             label[lo:hi] = lo + _joined(hi - lo, a, b, np.arange(hi - lo))
             continue
-        own = next(m for m in range(4) if keys[lo] & MASKS[m] == np.uint64(m + 1) << np.uint64(16 * m) and _fits(fp[lo:hi], keys[lo], m))
-        label[lo:hi] = lo + _links_of_many(fp[lo:hi], MASKS[own], 16 * own, keys[lo])
+        made = np.arange(hi - lo)
+        for m in range(4):  # variants of two masks may coincide; each mask links its own
+            if keys[lo] & MASKS[m] == np.uint64(m + 1) << np.uint64(16 * m):
+                own = np.flatnonzero(_fits(fp[lo:hi], keys[lo], m))
+                made = _joined(hi - lo, own, own[_links_of_many(fp[lo:hi][own], MASKS[m], 16 * m, keys[lo])], made) if len(own) else made
+        label[lo:hi] = lo + made
     linked = np.flatnonzero(label != np.arange(len(keys)))
     return fp[linked], fp[label[linked]]
 
 
-def _fits(fp: np.ndarray, key: np.uint64, k: int) -> bool:
-    """Whether all are at most one visible bit away from the key under mask ``k``."""
-    return bool((np.bitwise_count((fp ^ key) & ~MASKS[k]) <= 1).all())
+def _fits(fp: np.ndarray, key: np.uint64, k: int) -> np.ndarray:
+    """Which are at most one visible bit away from the key under mask ``k``."""
+    return np.bitwise_count((fp ^ key) & ~MASKS[k]) <= 1
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
@@ -213,7 +217,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
         twice = np.zeros(len(keys) + 1, bool)
         twice[1:-1] = keys[1:] == keys[:-1]
         some = twice[1:] | twice[:-1]  # most variants have one fingerprint
-        a, b = _meet(keys[some], fps[some].view(np.uint64)) if some.any() else (np.zeros(0, np.uint64),) * 2
+        a, b = _meet(keys[some].view(np.uint64), fps[some].view(np.uint64)) if some.any() else (np.zeros(0, np.uint64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     emitted = distinct.select("fp").mapInArrow(emit, "key long, fp long")

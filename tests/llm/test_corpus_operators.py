@@ -339,6 +339,30 @@ def test_crowded_variants(monkeypatch, compared, tabulated):
     assert components_of(nodes, lambda i, j: (i, j) in joined or (j, i) in joined) == components_of(nodes, lambda i, j: int(fps[i] ^ fps[j]).bit_count() <= 3)
 
 
+@pytest.mark.parametrize("coinciding", [False, True])
+def test_links_of_crowded_fingerprints(spark, coinciding):
+    rng = np.random.default_rng(6)
+    key = 0x1234_5678_0002_0001  # as a key it may be of the first mask or of the second
+    found = {key & ~0xFFFF | int(x) for x in rng.choice(1 << 16, 1300, replace=False)}
+    if coinciding:
+        found |= {key & ~0xFFFF0000 | int(x) << 16 for x in rng.choice(1 << 16, 1300, replace=False)}
+    fps = sorted(found)
+    assert len(fps) > simhash.TABULATED
+    values = np.array(fps, np.uint64)
+    a, b = (x.tolist() for x in np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3))
+    roots = list(range(len(fps)))
+    while True:
+        new = np.array(roots)
+        np.minimum.at(new, a, np.array(roots)[b])
+        if new.tolist() == roots:
+            break
+        roots = new.tolist()
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    sizes = Counter(roots)
+    assert got == {f: fps[r] for f, r in zip(fps, roots) if sizes[r] > 1}
+
+
 def test_licenses(spark, odd):
     mit = re.sub("<[^>]*>", "", licenses.TEMPLATES[1][1])
     more = [(20, f"The MIT License\n\nCopyright (c) 2024 Someone Else\n\n{mit}"), (21, mit.replace("hereby", "thereby")), (22, "CC-BY-NC, cc by nc! xcc by nc"), (23, "Licensed under the Apache License, Version 2.0."), (24, "Distributed under the GNU General Public License, version 3")]
