@@ -40,8 +40,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def _fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """SimHash of each text's word shingles."""
+def shingled(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all shingles of ``size`` words, how many each text has, and a hash of each text's words.
+
+    A text of fewer words is one shingle, one without words has none.
+    """
     n = len(offsets) - 1
     word = np.zeros(len(data) + 2, bool)
     word[1:-1] = ~SPACES[data]
@@ -61,13 +64,21 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     spaced[ranges(at, lengths)] = LOWER[data[ranges(starts, lengths)]]
     words = np.bincount(owner, minlength=n)
     first = np.cumsum(words) - words
-    shingles = np.where(words >= WORDS, words - WORDS + 1, (words > 0).astype(np.int64))
+    shingles = np.where(words >= size, words - size + 1, (words > 0).astype(np.int64))
     lead = ranges(first, shingles)
-    last = np.minimum(lead + WORDS - 1, np.repeat(first + words - 1, shingles))
+    last = np.minimum(lead + size - 1, np.repeat(first + words - 1, shingles))
     held = spaced.tobytes()
     xxh = xxhash.xxh64_intdigest
     hashes = np.array([xxh(held[a:b], SEED) for a, b in zip(at[lead].tolist(), (at[last] + lengths[last]).tolist(), strict=True)], np.uint64)
-    out = np.zeros(n, np.uint64)
+    begins = np.concatenate([at, [len(held)]])
+    whole = np.array([xxh(held[a:b], SEED) for a, b in zip(begins[first].tolist(), begins[first + words].tolist(), strict=True)], np.uint64)
+    return hashes, shingles, whole
+
+
+def _fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """SimHash of each text's word shingles."""
+    hashes, shingles, _ = shingled(data, offsets, WORDS)
+    out = np.zeros(len(shingles), np.uint64)
     some = np.flatnonzero(shingles)
     if len(some):
         bounds = (np.cumsum(shingles) - shingles)[some]

@@ -363,6 +363,35 @@ def test_links_of_crowded_fingerprints(spark, coinciding):
     assert got == {f: fps[r] for f, r in zip(fps, roots) if sizes[r] > 1}
 
 
+def test_near_dedup_stage(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    texts = [None, "", "one", "One ", "two words"]
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 500, rng.integers(20, 90))]
+        for _ in range(5):
+            other = list(words)
+            for at in rng.integers(0, len(words), rng.integers(0, 5)):
+                other[at] = f"W{rng.integers(0, 500)}"
+            texts.append(" ".join(other))
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    rows += [(None, "no id at all", "en", "s", 12), rows[9]]
+
+    def shingles(text):
+        words = lowered(text).split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    held = [shingles(t) for _, t, *_ in rows]
+    roots = components_of(held, lambda a, b: 10 * len(a & b) >= 8 * len(a | b))
+    want = {r: min((rows[k][0] for k in range(len(rows)) if roots[k] == r and rows[k][0] is not None), default=None) for r in set(roots)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(want.values())
+    assert len(want) > len(texts) // 6 and corpus_pipeline.near_dedup(spark, empty(docs), "").count() == 0
+
+
 def test_licenses(spark, odd):
     mit = re.sub("<[^>]*>", "", licenses.TEMPLATES[1][1])
     more = [(20, f"The MIT License\n\nCopyright (c) 2024 Someone Else\n\n{mit}"), (21, mit.replace("hereby", "thereby")), (22, "CC-BY-NC, cc by nc! xcc by nc"), (23, "Licensed under the Apache License, Version 2.0."), (24, "Distributed under the GNU General Public License, version 3")]
