@@ -35,18 +35,37 @@ HITS = 2_000_000
 class Rules:
     """q: characters of a q-gram. rate: edits allowed for each character of a passage. window: items
     are searched in stretches of so many characters, each half over the next. shortest: items
-    below it can't be told from common wording and are not searched. least: shared q-grams that
-    a band needs at any rate; short passages have fewer edits allowed for it."""
+    below it can't be told from changed common wording and are searched as they are, between words.
+    least: shared q-grams that a band needs at any rate; short passages have fewer edits allowed for
+    it. part: items are also searched in stretches of so many characters, or of four fifths of
+    the item if that is less, ``stride`` or a tenth of the item apart; 0: they are not."""
 
     q: int = 10
     rate: float = 0.08
     window: int = 200
     shortest: int = 30
     least: int = 8
+    part: int = 0
+    stride: int = 20
 
     def edits(self, size: int) -> int:
         return max(0, min(int(self.rate * size), (size - self.q + 1 - self.least) // self.q))
 
+    def places(self, size: int) -> list[tuple[int, int, bool]]:
+        """Start and length of each passage of an item of ``size`` characters, and whether it is only a part."""
+        step = max(1, self.window // 2)
+        last = max(0, size - self.window)
+        whole = [(s, min(self.window, size), False) for s in sorted({*range(0, max(1, last), step), last})]
+        length = max(self.shortest, min(self.part, -(-4 * size // 5)))
+        if not self.part or length >= size:
+            return whole
+        step = min(self.stride, max(1, size // 10))
+        return whole + [(s, length, True) for s in sorted({*range(0, size - length, step), size - length})]
+
+
+#: What the operator searches: with parts, so that an item held in part is found.
+PARTS = Rules(part=80)
+
 
 @lru_cache(1)
 def _lower() -> np.ndarray:
@@ -101,19 +120,26 @@ class Index:
     passage: np.ndarray  # of each place of a hash, by hash
     place: np.ndarray
     table: np.ndarray
+    partly: np.ndarray  # of each passage: whether it is a part that an item is searched in besides
+    short: dict[int, dict[bytes, list[int]]]  # items too short for edits, by length and code points
 
 
 def build(items: list[tuple[int, str]], rules: Rules) -> Index | None:
-    passages = []
+    passages, partly = [], []
+    short: dict[int, dict[bytes, list[int]]] = {}
     for item, text in items:
         points, _ = normalized(text.strip())
+        if 0 < len(points) < rules.shortest:
+            short.setdefault(len(points), {}).setdefault(points.astype(np.uint32).tobytes(), []).append(item)
         if len(points) < rules.shortest:
             continue
-        step = max(1, rules.window // 2)
-        starts = {*range(0, max(1, len(points) - rules.window), step), max(0, len(points) - rules.window)}
-        passages += [(item, points[s : s + rules.window]) for s in sorted(starts)]
-    if not passages:
+        for start, length, part in rules.places(len(points)):
+            passages.append((item, points[start : start + length]))
+            partly.append(part)
+    if not passages and not short:
         return None
+    if not passages:  # one that no text holds, for the shape of what follows
+        passages, partly = [(-1, np.full(rules.shortest, 0xFFFFFFFE, np.uint32))], [False]
     sizes = np.array([len(p) for _, p in passages])
     edits = np.array([rules.edits(int(n)) for n in sizes])
     held = [grams(p, rules.q) for _, p in passages]
@@ -127,7 +153,7 @@ def build(items: list[tuple[int, str]], rules: Rules) -> Index | None:
         row[: len(p)] = p
     passage = np.repeat(np.arange(len(passages)), [len(x) for x in held])
     place = np.concatenate([np.arange(len(x)) for x in held])
-    return Index(rules, np.array([i for i, _ in passages], np.int64), sizes, edits, sizes - rules.q + 1 - rules.q * edits, text, known, first, times, passage[order], place[order], table)
+    return Index(rules, np.array([i for i, _ in passages], np.int64), sizes, edits, sizes - rules.q + 1 - rules.q * edits, text, known, first, times, passage[order], place[order], table, np.array(partly), short)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -199,15 +225,23 @@ def align(patterns: np.ndarray, sizes: np.ndarray, texts: np.ndarray, widths: np
 
 def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """Text, item, first and last character (end exclusive) and edits of the best place of each item in each text."""
+    return [found[:5] for found in _search(index, texts)]
+
+
+def _search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int, bool]]:
+    """As ``search``, with whether only a part of the item is held there."""
     made = [normalized(t) for t in texts]
     sizes = np.array([len(p) for p, _ in made])
     points = np.concatenate([p for p, _ in made]) if made else np.zeros(0, np.uint32)
     first = np.cumsum(sizes) - sizes
-    if len(points) < index.rules.q:
-        return []
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    text, passage, band = _bands(index, points, owner, first)
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    # Whole items and windows go before parts, then fewer edits.
+    found: dict[tuple[int, int], tuple[bool, int, int, int]] = {}
+    for t, item, a, z in _short(index, points, owner):
+        at, value = made[t][1], (False, 0, a - int(first[t]), z - int(first[t]))
+        value = (False, 0, int(at[value[2]]), int(at[value[3] - 1]) + 1)
+        found[t, item] = min(found.get((t, item), value), value)
+    text, passage, band = _bands(index, points, owner, first) if len(points) >= index.rules.q else (np.zeros(0, np.int64),) * 3
     for lo in range(0, len(text), 512):
         t, p, b = text[lo : lo + 512], passage[lo : lo + 512], band[lo : lo + 512]
         widths, size = 2 * (index.edits[p] + 1), index.sizes[p]
@@ -232,9 +266,31 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
             at = made[t[x]][1]
             a = int(np.clip(start[x] + end[x] - used, 0, len(at) - 1))
             z = int(np.clip(start[x] + end[x] - 1, 0, len(at) - 1))
-            key, value = (int(t[x]), int(index.items[p[x]])), (int(edits[x]), int(at[a]), int(at[z]) + 1)
+            key, value = (int(t[x]), int(index.items[p[x]])), (bool(index.partly[p[x]]), int(edits[x]), int(at[a]), int(at[z]) + 1)
             found[key] = min(found.get(key, value), value)
-    return [(t, item, a, z, edits) for (t, item), (edits, a, z) in sorted(found.items())]
+    return [(t, item, a, z, edits, part) for (t, item), (part, edits, a, z) in sorted(found.items())]
+
+
+def _short(index: Index, points: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Text, item and place in ``points`` of each short item that stands between words."""
+    letter = np.zeros(len(points) + 2, bool)
+    if index.short:
+        kinds, back = np.unique(points, return_inverse=True)
+        letter[1:-1] = np.array([chr(p).isalnum() for p in kinds.tolist()], bool)[back]
+    for size, items in index.short.items():
+        if len(points) < size:
+            continue
+        known = np.unique([int(grams(np.frombuffer(raw, np.uint32), size)[0]) for raw in items]).astype(np.uint64)
+        hashes = grams(points, size)
+        k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        at = np.flatnonzero(known[k] == hashes)
+        for a in at[owner[at] == owner[at + size - 1]].tolist():
+            z = a + size
+            cut = letter[a + 1] and letter[a] and a > 0 and owner[a - 1] == owner[a]
+            cut |= letter[z] and letter[z + 1] and z < len(points) and owner[z] == owner[a]
+            if not cut:
+                for item in items.get(points[a:z].astype(np.uint32).tobytes(), ()):
+                    yield int(owner[a]), item, a, z
 
 
 def _parts(texts: list[str | None], overlap: int) -> Iterator[list[tuple[int, int, str]]]:
@@ -252,12 +308,12 @@ def _parts(texts: list[str | None], overlap: int) -> Iterator[list[tuple[int, in
         yield held
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), block_chars: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, start, stop, edits``: the best place of each item (or a stretch of ``rules.window`` of it) in each row of ``docs`` that holds it.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = PARTS, block_chars: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``doc_id, item_id, start, stop, edits``: the best place of each item (or a stretch of ``rules.window`` of it, else of ``rules.part``) in each row of ``docs`` that holds it.
 
     Places are code points of the text, end exclusive. A null or empty text holds
-    nothing; null ids stay null; repeated rows are each reported; null items and those
-    shorter than ``rules.shortest`` are not searched; other columns are not read; an empty
+    nothing; null ids stay null; repeated rows are each reported; items without an id or
+    a text are not searched, those shorter than ``rules.shortest`` only without edits; other columns are not read; an empty
     table or benchmark gives an empty result. Long texts are searched in overlapping parts.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -269,10 +325,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), bl
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), block_chars: int = 1_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no item, with all their columns; nothing is shuffled."""
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = PARTS, block_chars: int = 1_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, with an id or without, with all their columns; nothing is shuffled."""
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    for shared in _indexes(benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col)), rules, block_chars):
+    for shared in _indexes(benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(-1)), F.col(item_text_col)), rules, block_chars):
         docs = docs.mapInArrow(_clean(shared, text_col), schema)
     return docs
 
@@ -294,13 +350,13 @@ def _indexes(benchmark: DataFrame, rules: Rules, most: int) -> Iterator[Broadcas
 
 def _best(index: Index, texts: list[str | None]) -> dict[tuple[int, int], tuple[int, int, int]]:
     """Edits, start and end of the best place of each item by row and item."""
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    best: dict[tuple[int, int], tuple[bool, int, int, int]] = {}
     for parts in _parts(texts, 4 * index.rules.window):
-        for k, item, a, z, edits in search(index, [t for _, _, t in parts]):
+        for k, item, a, z, edits, part in _search(index, [t for _, _, t in parts]):
             row, at, _ = parts[k]
-            value = (edits, at + a, at + z)
+            value = (part, edits, at + a, at + z)
             best[row, item] = min(best.get((row, item), value), value)
-    return best
+    return {pair: value[1:] for pair, value in best.items()}
 
 
 def _reported(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -463,6 +463,25 @@ def test_decontamination_loses_nothing_within_the_bound():
         assert (k in {item for _, item, *_ in decontaminate.search(index, [doc])}) == near
 
 
+def test_decontamination_of_parts_short_items_and_items_without_an_id(spark):
+    rng = np.random.default_rng(9)
+    letters = list("etaoin shrdlu")
+    made = lambda n: "x" + "".join(rng.choice(letters, n - 2)) + "x"
+    items = {k: made(n) for k, n in enumerate((400, 400, 150, 60, 40))}
+    held = [items[0][50:250], items[1][137:237], items[2][7:142], items[3][4:58], items[4][2:38]]
+    docs = [(k, f"{made(60)} {part} {made(60)}") for k, part in enumerate(held)]
+    docs += [(10, "It was Mid-May 1812, then."), (11, "the mid-may 18123"), (12, made(70)), (13, f"-{made(50)} only named here, without an id at all -")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*items.items(), (7, "mid-May  1812"), (8, ""), (None, "only named here, without an id at all")], "item_id long, text string")
+    rows = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert set(rows) == {*((k, k) for k in items), (10, 7)}
+    assert (rows[10, 7].start, rows[10, 7].stop, rows[10, 7].edits) == (7, 19, 0)
+    assert all(rows[k, k].edits == 0 and rows[k, k].start >= 61 for k in (0, 1))
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == {11, 12}
+    only = decontaminate.find_leaks(docs, bench.filter("item_id = 7")).collect()
+    assert [(r.doc_id, r.item_id) for r in only] == [(10, 7)]
+
+
 @pytest.mark.parametrize("name", ["op4_line_dedup", "op7_url_filter"])
 def test_sql_agrees(spark, name):
     from procurespark.llm.queries import ORACLE_SQL, QUERIES
