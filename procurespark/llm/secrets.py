@@ -2,7 +2,8 @@
 
 Candidates are found by patterns. Their values are hashed and counted by distinct
 repositories and owners: a value that several owners hold is a widely copied example,
-one that belongs to a single owner in few repositories looks like a live credential.
+one that belongs to a single owner looks like a live credential, in few repositories where
+those are known.
 Looser patterns (bearer tokens, credentials in URLs, provider prefixes, signed tokens)
 would report many examples alone; their spans are added only where ownership says live.
 """
@@ -22,10 +23,10 @@ BASE_KINDS = [
 ]
 ADDED_KINDS = [
     ("bearer", r"(?i)bearer\x20+([A-Za-z0-9._~+/=-]{16,})", 1, 16),
-    ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:([^\s/:@]{6,128})@", 1, 6),
+    ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:([^\s/:@]{6,})@", 1, 6),  # a longer scheme counts from its last 16 characters
     ("provider", r"(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 0, 14),
     ("signed", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
-    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 27),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
 ]
 KINDS = [k for k, *_ in BASE_KINDS + ADDED_KINDS]
 
@@ -76,18 +77,17 @@ def scan_secrets(docs: DataFrame, max_owners: int = 1, max_repositories: int = 5
     ``n_assign, n_access, n_hex`` count base matches; ``base`` and ``spans`` list spans as
     kind:start:end in code points by start, then kind as listed, the latter with the added
     kinds that are live; ``n_live`` and ``n_example`` count all candidates by verdict: live
-    with at most ``max_owners`` owners and ``max_repositories`` repositories (documents,
-    unless ``repository_col`` names a column), else example.
+    with at most ``max_owners`` owners and, where ``repository_col`` names a column, at most
+    ``max_repositories`` repositories, else example.
 
-    A null text is empty; a null owner is an owner of its own; rows with one id are one
-    repository unless told otherwise; repeated rows come back each with the same result;
+    A null text is empty; a null owner is an owner of its own; repeated rows come back each with the same result;
     columns not named are not read, so their names can't clash; an empty table gives an
     empty result.
     """
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
-        F.coalesce(F.col(repository_col or id_col).cast("string"), F.lit("")).alias("repository"),
+        F.coalesce(F.col(repository_col).cast("string") if repository_col else F.lit(""), F.lit("")).alias("repository"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     text = F.col("text")

@@ -213,6 +213,18 @@ def test_secret_spans(spark, text):
     assert row.base == spans_of(text)[1]
 
 
+def test_copies_and_long_values_of_one_owner_stay_live(spark):
+    copied, password = "Bearer abcdefghijklmnop1234", "p" * 300
+    url, pem = f"https://{'u' * 100}:{password}@host", f"-----BEGIN {'VERY ' * 10}PRIVATE KEY-----"
+    rows = [(i, copied, "a", i) for i in range(9)] + [(10, url, "b", 1), (11, pem, "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repository long")
+    want = {i: f"bearer:0:{len(copied)}" for i in range(9)} | {10: f"url:0:{len(url) - 4}", 11: f"pem:0:{len(pem)}"}
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    assert {i: r.spans for i, r in got.items()} == want and all((r.n_live, r.n_example) == (1, 0) for r in got.values())
+    by_repository = {r.doc_id: r.spans for r in secrets.scan_secrets(docs, repository_col="repository").collect()}
+    assert by_repository == want | dict.fromkeys(range(9), "")
+
+
 def counts_of(text):
     text = text or ""
     words = re.findall("[^\x20\x09-\x0d]+", text)
