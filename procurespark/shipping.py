@@ -9,13 +9,19 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from procurespark.storage import is_local
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors once for each application, unless PYTHONPATH already names its folder."""
+    """Sends the package to the executors, once for each application.
+
+    Only the workers of a local master share the driver's PYTHONPATH, so only they may have it already.
+    """
     root = Path(__file__).resolve().parent.parent
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _shipped:
+    known = is_local(spark) and str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if known or spark.sparkContext.applicationId in _shipped:
         return
     path = Path(tempfile.mkdtemp(prefix="procurespark-")) / "procurespark.zip"
     with zipfile.ZipFile(path, "w") as archive:
