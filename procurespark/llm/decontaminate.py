@@ -6,7 +6,8 @@ counted in overlapping bands of diagonals, twice as wide, one of which so has th
 bands that reach the bound are kept and verified by alignment inside the band.
 
 The benchmark is taken in blocks of a fixed number of characters, each of which is
-broadcast; texts are never shuffled.
+broadcast; one pass over the texts searches BLOCKS of them, so a task holds a bounded
+part of the benchmark. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from procurespark.llm.shared import ranges
 BASE = 0x9E3779B97F4A7C15  # odd; products are taken modulo 2 ** 64
 SPREAD = 0xD6E8FEB86659FD93
 TABLE_BITS = 22
+BLOCKS = 4
 BATCH_CHARS = 1_000_000
 HITS = 2_000_000
 
@@ -38,7 +40,10 @@ class Rules:
     below it can't be told from changed common wording and are searched as they are, between words.
     least: shared q-grams that a band needs at any rate; short passages have fewer edits allowed for
     it. part: items are also searched in stretches of so many characters, or of four fifths of
-    the item if that is less, ``stride`` or a tenth of the item apart; 0: they are not."""
+    the item if that is less, ``stride`` or a tenth of the item apart; 0: they are not.
+
+    With parts of 80 characters 20 apart, a stretch of 99 characters holds a whole part, which
+    may have 6 edits; one of 200 holds two that don't overlap, so 13 edits leave one of them found."""
 
     q: int = 10
     rate: float = 0.08
@@ -113,7 +118,8 @@ class Index:
     sizes: np.ndarray
     edits: np.ndarray
     bounds: np.ndarray  # shared q-grams needed
-    text: np.ndarray  # a passage a row, filled up with zeros
+    text: np.ndarray  # of all passages, one after another
+    begin: np.ndarray  # where each passage stands there
     known: np.ndarray  # sorted hashes
     first: np.ndarray
     times: np.ndarray
@@ -148,12 +154,16 @@ def build(items: list[tuple[int, str]], rules: Rules) -> Index | None:
     known, first, times = np.unique(hashes[order], return_index=True, return_counts=True)
     table = np.zeros(1 << TABLE_BITS, bool)
     table[_slot(known)] = True
-    text = np.zeros((len(passages), rules.window), np.uint32)
-    for row, (_, p) in zip(text, passages, strict=True):
-        row[: len(p)] = p
-    passage = np.repeat(np.arange(len(passages)), [len(x) for x in held])
-    place = np.concatenate([np.arange(len(x)) for x in held])
-    return Index(rules, np.array([i for i, _ in passages], np.int64), sizes, edits, sizes - rules.q + 1 - rules.q * edits, text, known, first, times, passage[order], place[order], table, np.array(partly), short)
+    passage = np.repeat(np.arange(len(passages), dtype=np.int32), [len(x) for x in held])
+    place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in held])
+    return Index(rules, np.array([i for i, _ in passages], np.int64), sizes, edits, sizes - rules.q + 1 - rules.q * edits, np.concatenate([p for _, p in passages]), np.cumsum(sizes) - sizes, known, first, times, passage[order], place[order], table, np.array(partly), short)
+
+
+def _rows(index: Index, passages: np.ndarray) -> np.ndarray:
+    """Passages as rows, filled up with zeros."""
+    reach = np.arange(index.rules.window)
+    at = np.minimum(index.begin[passages][:, None] + reach, len(index.text) - 1)
+    return np.where(reach < index.sizes[passages][:, None], index.text[at], 0).astype(np.uint32)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -225,16 +235,15 @@ def align(patterns: np.ndarray, sizes: np.ndarray, texts: np.ndarray, widths: np
 
 def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """Text, item, first and last character (end exclusive) and edits of the best place of each item in each text."""
-    return [found[:5] for found in _search(index, texts)]
+    return [found[:5] for found in _search(index, [normalized(t) for t in texts])]
 
 
-def _search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int, bool]]:
-    """As ``search``, with whether only a part of the item is held there."""
-    made = [normalized(t) for t in texts]
+def _search(index: Index, made: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int, int, bool]]:
+    """As ``search``, of normalized texts, with whether only a part of the item is held there."""
     sizes = np.array([len(p) for p, _ in made])
     points = np.concatenate([p for p, _ in made]) if made else np.zeros(0, np.uint32)
     first = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    owner = np.repeat(np.arange(len(made), dtype=np.int32), sizes)
     # Whole items and windows go before parts, then fewer edits.
     found: dict[tuple[int, int], tuple[bool, int, int, int]] = {}
     for t, item, a, z in _short(index, points, owner):
@@ -249,7 +258,8 @@ def _search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
         reach = start[:, None] + np.arange(index.rules.window + int(widths.max()))
         inside = (reach >= 0) & (reach < sizes[t][:, None])
         held = np.where(inside, points[np.clip(reach + first[t][:, None], 0, len(points) - 1)], 0xFFFFFFFF)
-        edits, end = align(index.text[p], size, held, widths)
+        rows = _rows(index, p)
+        edits, end = align(rows, size, held, widths)
         some = np.flatnonzero(edits <= index.edits[p])
         if not len(some):
             continue
@@ -258,7 +268,7 @@ def _search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
         back = np.zeros((len(some), index.rules.window), np.uint32)
         ahead = np.full((len(some), index.rules.window + int(widths.max())), 0xFFFFFFFF, np.uint32)
         for r, x in enumerate(some):
-            back[r, : n[r]] = index.text[p[x], : n[r]][::-1]
+            back[r, : n[r]] = rows[x, : n[r]][::-1]
             part = held[x, : end[x]][::-1][: ahead.shape[1]]
             ahead[r, : len(part)] = part
         _, length = align(back, n, ahead, index.edits[p[some]] + 1)
@@ -280,7 +290,7 @@ def _short(index: Index, points: np.ndarray, owner: np.ndarray) -> Iterator[tupl
     for size, items in index.short.items():
         if len(points) < size:
             continue
-        known = np.unique([int(grams(np.frombuffer(raw, np.uint32), size)[0]) for raw in items]).astype(np.uint64)
+        known = np.unique(np.concatenate([grams(np.frombuffer(raw, np.uint32), size) for raw in items]))
         hashes = grams(points, size)
         k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         at = np.flatnonzero(known[k] == hashes)
@@ -313,68 +323,79 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = PARTS, bloc
 
     Places are code points of the text, end exclusive. A null or empty text holds
     nothing; null ids stay null; repeated rows are each reported; items without an id or
-    a text are not searched, those shorter than ``rules.shortest`` only without edits; other columns are not read; an empty
+    a text are not searched, those shorter than ``rules.shortest`` only without edits; rows of the benchmark with one id are
+    one item; of places alike in edits the first is given; other columns are not read; an empty
     table or benchmark gives an empty result. Long texts are searched in overlapping parts.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, start long, stop long, edits long"
     found = None
-    for shared in _indexes(benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col)), rules, block_chars):
-        out = picked.mapInArrow(_reported(shared), schema)
+    for blocks in _indexes(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")), rules, block_chars):
+        out = picked.mapInArrow(_reported(blocks), schema)
         found = out if found is None else found.union(out)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = PARTS, block_chars: int = 1_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no item, with an id or without, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` whose text holds no item, with an id or without, with all their columns; nothing is shuffled.
+
+    A null or empty text holds nothing and stays; ids are not read, so null and repeated ones
+    don't matter; repeated rows stay or go together; other columns, of whatever name, come back
+    as they are; an empty table gives an empty result, an empty benchmark all rows.
+    """
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    for shared in _indexes(benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(-1)), F.col(item_text_col)), rules, block_chars):
-        docs = docs.mapInArrow(_clean(shared, text_col), schema)
+    for blocks in _indexes(benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(-1)).alias("item"), F.col(item_text_col).alias("text")), rules, block_chars):
+        docs = docs.mapInArrow(_clean(blocks, text_col), schema)
     return docs
 
 
-def _indexes(benchmark: DataFrame, rules: Rules, most: int) -> Iterator[Broadcast]:
-    """Indexes of blocks of about ``most`` characters, the only part of the benchmark that the driver holds."""
+def _indexes(benchmark: DataFrame, rules: Rules, most: int) -> Iterator[list[Broadcast]]:
+    """Indexes of blocks of about ``most`` characters, BLOCKS at a time; the driver holds one block's texts."""
     context = benchmark.sparkSession.sparkContext
-    held, size = [], 0
-    for item, text in chain(benchmark.dropna().toLocalIterator(), [(None, None)]):
-        if text is not None:
-            held.append((item, text))
-            size += len(text)
-        if held and (text is None or size >= most):
+    held, size, blocks = [], 0, []
+    for item, text in chain(benchmark.dropna().orderBy("item").toLocalIterator(), [(None, None)]):
+        if held and (text is None or size >= most and item != held[-1][0]):
             index = build(held, rules)
             if index is not None:
-                yield context.broadcast(index)
+                blocks.append(context.broadcast(index))
             held, size = [], 0
+        if blocks and (text is None or len(blocks) == BLOCKS):
+            yield blocks
+            blocks = []
+        if text is not None:
+            held.append((item, text))
+            size += len(text)
 
 
-def _best(index: Index, texts: list[str | None]) -> dict[tuple[int, int], tuple[int, int, int]]:
+def _best(blocks: list[Broadcast], texts: list[str | None]) -> dict[tuple[int, int], tuple[int, int, int]]:
     """Edits, start and end of the best place of each item by row and item."""
     best: dict[tuple[int, int], tuple[bool, int, int, int]] = {}
-    for parts in _parts(texts, 4 * index.rules.window):
-        for k, item, a, z, edits, part in _search(index, [t for _, _, t in parts]):
-            row, at, _ = parts[k]
-            value = (part, edits, at + a, at + z)
-            best[row, item] = min(best.get((row, item), value), value)
+    for parts in _parts(texts, 4 * blocks[0].value.rules.window):
+        made = [normalized(t) for _, _, t in parts]
+        for block in blocks:
+            for k, item, a, z, edits, part in _search(block.value, made):
+                row, at, _ = parts[k]
+                value = (part, edits, at + a, at + z)
+                best[row, item] = min(best.get((row, item), value), value)
     return {pair: value[1:] for pair, value in best.items()}
 
 
-def _reported(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _reported(blocks: list[Broadcast]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows = sorted((row, item, a, z, edits) for (row, item), (edits, a, z) in _best(shared.value, batch.column(1).to_pylist()).items())
+            rows = sorted((row, item, a, z, edits) for (row, item), (edits, a, z) in _best(blocks, batch.column(1).to_pylist()).items())
             columns = [pa.array([ids[r[0]] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 5))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start", "stop", "edits"])
 
     return run
 
 
-def _clean(shared: Broadcast, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _clean(blocks: list[Broadcast], text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = np.ones(len(batch), bool)
-            clean[[row for row, _ in _best(shared.value, batch.column(text_col).to_pylist())]] = False
+            clean[[row for row, _ in _best(blocks, batch.column(text_col).to_pylist())]] = False
             yield batch.filter(pa.array(clean))
 
     return run

@@ -44,10 +44,50 @@ TEMPLATES = [
     ("cc-by", "<opt>this work is</opt> <var:licensed|released> under <var:a|the> creative commons attribution <var:3|4> 0 <opt>international</opt> <var:license|licence>"),
     ("cc-by-nc", "<opt>this work is</opt> <var:licensed|released> under <var:a|the> creative commons attribution noncommercial <var:3|4> 0 <opt>international</opt> <var:license|licence>"),
     ("cc-by-nc", "<var:licensed|released> under cc by nc <opt><var:3|4> 0</opt>"),
-    ("apache-2", "spdx license identifier apache 2 0"),
-    ("mit", "spdx license identifier mit"),
+    ("apache-2", """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of
+        the license at <var:http|https> www apache org licenses license 2 0 <opt>unless required by applicable law or agreed to in writing software distributed under the
+        license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language
+        governing permissions and limitations under the license</opt>"""),
+    ("bsd-2-clause", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        <opt>1</opt> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        <opt>2</opt> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+        and or other materials provided with the distribution this software is provided by <var:8> as is and any express or implied warranties"""),
+    ("bsd-3-clause", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        <opt>1</opt> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        <opt>2</opt> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+        and or other materials provided with the distribution <opt>3</opt> neither the name of <var:12> nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission"""),
+    ("mpl-2", """this source code form is subject to the terms of the mozilla public license v 2 0 <opt>if a copy of the mpl was not distributed with this file you can
+        obtain one at <var:http|https> mozilla org mpl 2 0</opt>"""),
+    ("gpl-2", """this <var:program|library|software|file> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published
+        by the free software foundation either version 2 of the license or at your option any later version"""),
+    ("gpl-3", """this <var:program|library|software|file> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published
+        by the free software foundation either version 3 of the license or at your option any later version"""),
+    ("lgpl-2.1", """this <var:program|library|software|file> is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as
+        published by the free software foundation either version 2 1 of the license or at your option any later version"""),
+    ("lgpl-3", """this <var:program|library|software|file> is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as
+        published by the free software foundation either version 3 of the license or at your option any later version"""),
+    ("agpl-3", """this <var:program|library|software|file> is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as
+        published by the free software foundation either version 3 of the license or at your option any later version"""),
+    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software
+        either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""),
+    ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this
+        software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to
+        the following restrictions"""),
+    ("bsl-1", "distributed under the boost software license version 1 0"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license <opt><var:v|version></opt> 2 0"),
+    ("cc0", "to the extent possible under law <var:24> has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-sa", "<opt>this work is</opt> <var:licensed|released> under <var:a|the> creative commons attribution sharealike <var:2|3|4> 0 <opt>international</opt> <var:license|licence>"),
 ]
 
+#: Fixed identifiers of license lines in source files, word by word, and their labels.
+IDENTIFIERS = [
+    ("mit", "mit"), ("isc", "isc"), ("apache-2", "apache 2 0"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"), ("mpl-2", "mpl 2 0"), ("gpl-2", "gpl 2 0"),
+    ("gpl-3", "gpl 3 0"), ("lgpl-2.1", "lgpl 2 1"), ("lgpl-3", "lgpl 3 0"), ("agpl-3", "agpl 3 0"), ("unlicense", "unlicense"), ("zlib", "zlib"), ("bsl-1", "bsl 1 0"), ("epl-2", "epl 2 0"),
+    ("cc0", "cc0 1 0"), ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("cc-by-nc", "cc by nc 4 0"),
+]
+TEMPLATES += [(label, f"spdx license identifier {words} <opt>only</opt> <opt>or later</opt>") for label, words in IDENTIFIERS]
+
 
 class Automaton:
     """States of a template: each has words that lead on, and states reached without a word."""
@@ -105,12 +145,12 @@ class Automaton:
         return best
 
 
-@lru_cache(1)
-def automata() -> list[Automaton]:
-    return [Automaton(label, template) for label, template in TEMPLATES]
+@lru_cache(4)
+def automata(templates: tuple[tuple[str, str], ...]) -> list[Automaton]:
+    return [Automaton(label, template) for label, template in templates]
 
 
-def _scan(data: np.ndarray, offsets: np.ndarray) -> dict[str, list]:
+def _scan(data: np.ndarray, offsets: np.ndarray, templates: tuple[tuple[str, str], ...]) -> dict[str, list]:
     n = len(offsets) - 1
     lowered = LOWER[data]
     inside = ((lowered >= 0x30) & (lowered <= 0x39)) | ((lowered >= 0x61) & (lowered <= 0x7A)) | (lowered >= 0x80)
@@ -118,7 +158,7 @@ def _scan(data: np.ndarray, offsets: np.ndarray) -> dict[str, list]:
     code, known = codes_of(lowered, starts, ends)
     counts = np.bincount(owner, minlength=n)
     first = np.cumsum(counts) - counts
-    wanted = {w for p, _ in BASE_PHRASES for w in p.split()} | {w for a in automata() for w in a.first | a.mandatory if w}
+    wanted = {w for p, _ in BASE_PHRASES for w in p.split()} | {w for a in automata(templates) for w in a.first | a.mandatory if w}
     number = pa.compute.index_in(pa.array([w.encode() for w in sorted(wanted)], pa.large_binary()), value_set=known).to_pylist()
     of = {w: -1 if k is None else k for w, k in zip(sorted(wanted), number, strict=True)}
 
@@ -139,9 +179,10 @@ def _scan(data: np.ndarray, offsets: np.ndarray) -> dict[str, list]:
             base.setdefault(d, set()).add(label)
             covered.setdefault(d, []).append((at, at + size))
     found = {d: set(x) for d, x in base.items()}
-    for a in automata():
-        holding = None  # texts with every mandatory word
-        for w in a.mandatory:
+    times = np.bincount(code, minlength=len(known))
+    for a in automata(templates):
+        holding = None  # texts with every mandatory word, the rarest first
+        for w in sorted(a.mandatory, key=lambda w: times[of[w]] if of[w] >= 0 else -1):
             own = set(np.unique(owner[code == of[w]]).tolist()) if of[w] >= 0 else set()
             holding = own if holding is None else holding & own
             if not holding:
@@ -173,21 +214,22 @@ def _scan(data: np.ndarray, offsets: np.ndarray) -> dict[str, list]:
     }
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base phrases and accepted templates of each row's text.
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Base phrases and accepted templates (label and markup; TEMPLATES if none are given) of each row's text.
 
     ``score`` is the share of the text's words inside phrases and accepted wording. A
     null or wordless text has no words, no labels (empty strings), null places and score
     0; null ids stay null; repeated rows come back each; other columns are not read; an
     empty table gives an empty result.
     """
+    used = tuple(TEMPLATES if templates is None else templates)
     schema = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat_text(batch.column(1))
             for a, b in by_bytes(offsets, BATCH_BYTES):
-                made = _scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                made = _scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], used)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(made[f.name], f.type) for f in schema)], ["doc_id", *schema.names])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procurespark.llm.shared import ascii_lower, checkpointed
+from procurespark.llm.shared import ascii_lower
+from procurespark.storage import checkpointed
 
 #: The white space that is stripped from a line's ends.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,17 +22,18 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its text deduplicated, and ``n_lines`` and ``n_dropped`` added.
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` with its text deduplicated, and ``n_lines`` and ``n_dropped`` added unless ``counts`` is off.
 
     Texts are split at line feeds; a null or empty text is one empty line and comes back
     empty. Keys of at least ``min_chars`` code points in at least ``min_docs`` documents
     lose all their lines except in the largest id that has them. Rows with the same id
     are one document for counting and lose the same lines; a null id counts as one
-    document, below all others. Other columns come back as they are; columns of the
-    input called n_lines or n_dropped are replaced.
+    document, below all others. Other columns come back as they are, but for those called
+    n_lines or n_dropped where counts are added. An empty table gives an empty result.
     """
-    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    added = ["n_lines", "n_dropped"] if counts else []
+    others = [c for c in docs.columns if c != text_col and c not in added]
     rows = docs.select(
         *(F.col(f"`{c}`").alias(f"_c_{c}") for c in others),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_doc"),
@@ -57,9 +59,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))
     text = F.when(F.size("_dropped") == 0, F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
     return met.select(
-        *(text.alias(c) if c == text_col else F.col(f"`_c_{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size("_dropped").cast("long").alias("n_dropped"),
+        *(text.alias(c) if c == text_col else F.col(f"`_c_{c}`").alias(c) for c in docs.columns if c not in added),
+        *(F.size(held).cast("long").alias(c) for held, c in zip(("_lines", "_dropped"), added)),
     )
 
 

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from procurespark.llm.encoding import crc32_of, encoder, with_end
-from procurespark.llm.shared import by_bytes, checkpointed, flat_text, ranges
+from procurespark.llm.shared import by_bytes, flat_text, ranges
+from procurespark.storage import checkpointed
 
 BATCH_BYTES = 4 << 20
 BUCKETS = 256

@@ -11,13 +11,13 @@ from procurespark.llm.decontaminate import find_leaks
 from procurespark.llm.licenses import scan_licenses
 from procurespark.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from procurespark.llm.packing import pack_tokens
-from procurespark.llm.quality import quality_digest
-from procurespark.llm.secrets import secret_digest
-from procurespark.llm.shared import new_path
+from procurespark.llm.quality import QUALITY_SQL, quality_digest
+from procurespark.llm.secrets import SECRETS_SQL, secret_digest
 from procurespark.llm.simhash import simhash_components
 from procurespark.llm.token_counts import token_counts
 from procurespark.llm.token_records import read_token_records, write_token_records
 from procurespark.llm.url_filters import RULES, URL_FILTER_SQL, filter_urls
+from procurespark.storage import new_path
 
 #: Where the vocabulary of the token operators is; a parameter of each operator.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -95,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_secrets": SECRETS_SQL,
     "op4_line_dedup": LINE_DEDUP_SQL,
+    "op5_quality": QUALITY_SQL,
     "op7_url_filter": URL_FILTER_SQL,
 }

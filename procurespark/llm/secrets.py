@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procurespark.llm.shared import checkpointed
+from procurespark.storage import checkpointed
 
 #: Fixed patterns: kind, pattern, group with the value, least length of the value.
 BASE_KINDS = [
@@ -80,7 +80,7 @@ def scan_secrets(docs: DataFrame, max_owners: int = 1, max_repositories: int = 5
     with at most ``max_owners`` owners and, where ``repository_col`` names a column, at most
     ``max_repositories`` repositories, else example.
 
-    A null text is empty; a null owner is an owner of its own; repeated rows come back each with the same result;
+    A null text is empty; null owners count together with empty ones as one owner; repeated rows come back each with the same result;
     columns not named are not read, so their names can't clash; an empty table gives an
     empty result.
     """
@@ -127,3 +127,35 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans``, then the verdict counts."""
     found = scan_secrets(docs)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_live", "n_example")
+
+
+def _found_sql(rank: int, kind: str, pattern: str, group: int) -> str:
+    """Matches of a kind, long enough or not, and what stands before each; RE2's white space lacks the vertical tab."""
+    pattern = pattern.replace(r"\s", r"\x09-\x0D\x20").replace("'", "''")
+    return f"""SELECT doc_id, owner, {rank} AS rank, '{kind}' AS kind, m, v, gap, k FROM (
+        SELECT doc_id, owner, unnest(m) AS m, unnest(regexp_extract_all(text, '{pattern}', {group})) AS v, unnest(string_split_regex(text, '{pattern}')[1:len(m)]) AS gap, generate_subscripts(m, 1) AS k
+        FROM (SELECT *, regexp_extract_all(text, '{pattern}', 0) AS m FROM d))"""
+
+
+#: DuckDB SQL of ``secret_digest`` over documents.
+SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+least_of(kind, least) AS (VALUES {", ".join(f"('{kind}', {least})" for kind, _, _, least in BASE_KINDS + ADDED_KINDS)}),
+found AS ({" UNION ALL ".join(_found_sql(k, *kind[:3]) for k, kind in enumerate(BASE_KINDS + ADDED_KINDS))}),
+placed AS (
+    SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY k) AS stop FROM found
+), spans AS (
+    SELECT p.doc_id, p.owner, p.rank, p.v, (p.stop - length(p.m))::BIGINT AS start, p.kind || ':' || (p.stop - length(p.m))::BIGINT || ':' || p.stop::BIGINT AS shown
+    FROM placed p JOIN least_of l USING (kind) WHERE length(p.v) >= l.least
+), judged AS (
+    SELECT s.*, o.owners <= 1 AS live FROM spans s JOIN (SELECT v, count(DISTINCT owner) AS owners FROM spans GROUP BY v) o USING (v)
+), of_doc AS (
+    SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+        string_agg(shown, ',' ORDER BY start, rank) FILTER (rank < {len(BASE_KINDS)}) AS base, string_agg(shown, ',' ORDER BY start, rank) FILTER (rank < {len(BASE_KINDS)} OR live) AS spans,
+        count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+    FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+    coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN of_doc USING (doc_id)
+"""

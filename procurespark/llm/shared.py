@@ -1,43 +1,13 @@
-"""Shared storage and small Arrow helpers used by the corpus operators."""
+"""Small column and Arrow helpers used by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor and the driver can reach.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (tests on one machine) a temporary folder takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpus-checkpoints-"))
-    return (named or sc.getCheckpointDir()).rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder, with no lineage.
-
-    A lost executor costs nothing but the reread of its part.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    """An unused path for files of one run below the shared folder."""
-    return f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
-
-
 def arrow_path(path: str) -> str:
     """``path`` with the spelling of a local URI that pyarrow accepts."""
     if path.startswith("file:"):
@@ -45,8 +15,11 @@ def arrow_path(path: str) -> str:
     return path
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
+def free_prefix(columns: list[str], wanted: str = "_") -> str:
+    """``wanted``, with underscores before it until no column begins with it, case aside."""
+    while any(c.lower().startswith(wanted.lower()) for c in columns):
+        wanted = "_" + wanted
+    return wanted
 
 
 def ascii_lower(column: Column) -> Column:

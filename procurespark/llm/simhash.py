@@ -22,10 +22,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procurespark.llm.shared import by_bytes, checkpointed, flat_text, ranges
+from procurespark.llm.shared import by_bytes, flat_text, free_prefix, ranges
+from procurespark.storage import checkpointed
 
 SEED = 42
 WORDS = 3
@@ -246,8 +247,9 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        larger = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # Written down, so that the join shuffles both its sides and a node of very many links can be split.
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        larger = both.filter(F.col("b") > F.col("a")).join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = larger.filter(F.col("a") != F.col("b")).distinct()
         down = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
@@ -288,17 +290,35 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return made.join(of_fp.hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A row's id as text, empty where null, and the hash of its text."""
+    return F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def row_order() -> Column:
+    """What puts rows with ``id`` and ``row`` in order: the smallest id first, null ids last, then the text's hash."""
+    return F.struct((F.col("id") == "").alias("none"), F.col("id").try_cast("long").alias("number"), F.col("row"), F.col("id"))
+
+
+def rows_picked(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each ``id, row`` of ``picked``, with all its columns; texts are shuffled once."""
+    own = free_prefix(docs.columns, "_k_")
+    name, row = row_key(id_col, text_col)
+    keyed = docs.withColumn(f"{own}id", name).withColumn(f"{own}row", row)
+    met = keyed.join(picked.select(F.col("id").alias(f"{own}id"), F.col("row").alias(f"{own}row")).hint("merge"), [f"{own}id", f"{own}row"], "left_semi")
+    return met.dropDuplicates([f"{own}id", f"{own}row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of ``simhash_components``: that of the smallest id, with all its columns.
 
-    Of rows with that id the text's hash decides and repeated rows count as one; a
-    component of null ids only keeps one of them.
+    Null and blank texts are copies of each other. Of rows with the smallest id the text's
+    hash decides and repeated rows count as one; a component of null ids only keeps one of
+    them; other columns, of whatever name, come back as they are; an empty table gives an
+    empty result.
     """
-    key = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("_row", F.xxhash64("text"))
-    made = checkpointed(fingerprints(key))
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
-    lowest = made.groupBy("fp").agg(F.min(order).alias("first")).join(fingerprint_roots(made), "fp")
-    picked = lowest.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_id"), F.col("first._row").alias("_row"))
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    met = rows.join(picked.hint("merge"), rows[id_col].eqNullSafe(picked["_id"]) & (rows["_hash"] == picked["_row"]), "left_semi")
-    return met.dropDuplicates([id_col, "_hash"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name, row = row_key(id_col, text_col)
+    made = checkpointed(fingerprints(docs.select(name.alias("id"), row.alias("row"), F.col(text_col).alias("text"))))
+    lowest = made.groupBy("fp").agg(F.min(row_order()).alias("first")).join(fingerprint_roots(made), "fp")
+    picked = lowest.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.row")
+    return rows_picked(docs, picked, id_col, text_col)

@@ -8,14 +8,15 @@ is sent to each range that its interval meets, so no range needs another.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procurespark.llm.shared import ascii_lower
+from procurespark.llm.shared import ranges as runs_of
 
 #: Keys drawn for each range when their bounds are chosen; all that the driver holds.
 DRAWN = 40
@@ -85,52 +86,68 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", rang
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("key", host_key(F.col("host")))
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The order within a host is that of paths, so one host may take many ranges.
-    full = urls.select(F.concat("key", F.lit("\x00"), "path").alias("k"))
-    share = min(1.0, DRAWN * n / max(1, pages.count()))
-    drawn = sorted(r.k for r in full.sample(share, seed=7).collect())
-    bounds = [drawn[len(drawn) * i // n] for i in range(1, n)] if drawn else []
+    # The order within a host is that of paths, so one host may take many ranges. The rows of the
+    # lowest hashes are a sample of a fixed size, drawn in one pass and the same each time.
+    full = urls.select(F.concat("key", F.lit("\x00"), "path").alias("k"), F.xxhash64("page_id", "key", "path").alias("draw"))
+    drawn = sorted(r.k for r in full.orderBy("draw", "k").limit(DRAWN * n).collect())
+    bounds = np.array([drawn[len(drawn) * i // n] for i in range(1, n)] if drawn else [], object)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal_urls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {k: [] for k in ("range", "key", "kind", "page_id", "host", "path", "verdict")}
-            for row in batch.to_pylist():
-                if row["kind"]:
-                    k = f"{row['key']}\x00{row['path']}"
-                    lo, hi = bisect_left(bounds, k), bisect_right(bounds, k)
-                    to = [lo + row["spread"] % (hi - lo + 1)]
-                else:
-                    to = range(bisect_left(bounds, row["key"]), bisect_right(bounds, row["key"] + LAST) + 1)
-                for r in to:
-                    for name in out:
-                        out[name].append(r if name == "range" else row[name])
-            yield pa.RecordBatch.from_pydict(out, DEALT)
+            keys = _strings(batch.column("key")) + "\x00" + _strings(batch.column("path")) if len(batch) else np.zeros(0, object)
+            lo, hi = np.searchsorted(bounds, keys), np.searchsorted(bounds, keys, side="right")
+            to = lo + batch.column("spread").to_numpy() % (hi - lo + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *(batch.column(c) for c in URL)], ["range", *URL])
+
+    def deal_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _strings(batch.column("key"))
+            lo, hi = np.searchsorted(bounds, keys), np.searchsorted(bounds, keys + LAST if len(keys) else keys, side="right")
+            at = np.repeat(np.arange(len(batch)), hi - lo + 1)
+            to = runs_of(lo, hi - lo + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *(batch.column(c).take(pa.array(at)) for c in URL)], ["range", *URL])
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, at = Sweep(), None
         for batch in batches:
-            out = {k: [] for k in ("page_id", "host", "path", "rule", "verdict")}
-            for row in batch.to_pylist():
-                if row["range"] != at:
-                    state, at = Sweep(), row["range"]
-                if not row["kind"]:
-                    state.add(row["key"], row["host"], row["path"], row["verdict"])
-                    continue
-                rule, said = state.find(row["key"], row["path"])
-                for name, value in zip(out, (row["page_id"], row["host"], row["path"], rule, said or default), strict=True):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, SWEPT)
+            if not len(batch):
+                continue
+            range_, kind = batch.column("range").to_numpy(), batch.column("kind").to_numpy()
+            keys, paths = _strings(batch.column("key")), _strings(batch.column("path"))
+            # Equal URLs follow one another and are looked up once.
+            new = np.ones(len(batch), bool)
+            new[1:] = (range_[1:] != range_[:-1]) | (kind[1:] != kind[:-1]) | (kind[1:] == 0) | (keys[1:] != keys[:-1]) | (paths[1:] != paths[:-1])
+            rules, said = [], []
+            for k in np.flatnonzero(new).tolist():
+                if range_[k] != at:
+                    state, at = Sweep(), range_[k]
+                if kind[k]:
+                    rule, verdict = state.find(keys[k], paths[k])
+                else:
+                    rule = verdict = None
+                    state.add(keys[k], batch.column("host")[k].as_py(), paths[k], batch.column("verdict")[k].as_py())
+                rules.append(rule)
+                said.append(verdict or default)
+            own = np.flatnonzero(kind)
+            each = pa.array((np.cumsum(new) - 1)[own])
+            own = pa.array(own)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("page_id", "host", "path")), pa.array(rules, pa.string()).take(each), pa.array(said, pa.string()).take(each)], ["page_id", "host", "path", "rule", "verdict"])
 
     ruled = rules.select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.col("verdict")).filter(F.length("host") > 0)
-    ruled = ruled.select(host_key(F.col("host")).alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict", F.lit(0).cast("long").alias("spread"))
+    ruled = ruled.select(host_key(F.col("host")).alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
     listed = urls.select("key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"), F.pmod(F.xxhash64("page_id", "path"), F.lit(1 << 30)).alias("spread"))
-    dealt = ruled.union(listed).mapInArrow(deal, "range int, key string, kind int, page_id long, host string, path string, verdict string")
-    swept = dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "key", "kind").mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string")
-    return swept
+    kinds = "range int, key string, kind int, page_id long, host string, path string, verdict string"
+    dealt = ruled.mapInArrow(deal_rules, kinds).union(listed.mapInArrow(deal_urls, kinds))
+    placed = dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "key", "kind", "path")
+    return placed.mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string")
+
+
+#: Columns of URLs and rules alike on their way to a range.
+URL = ["key", "kind", "page_id", "host", "path", "verdict"]
 
 
-DEALT = pa.schema([("range", pa.int32()), ("key", pa.string()), ("kind", pa.int32()), ("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("verdict", pa.string())])
-SWEPT = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
+def _strings(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(object)
 
 #: Fixed rules of the registered query: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]

@@ -19,7 +19,8 @@ from tokenizers import Tokenizer
 
 from procurespark.llm import decontaminate, encoding, licenses, line_dedup, packing, quality, secrets, simhash, token_counts, token_records, url_filters
 from procurespark.llm.checksums import crc32c
-from procurespark.llm.shared import flat_text, new_path
+from procurespark.llm.shared import flat_text
+from procurespark.storage import new_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LONG = "Une longue phrase, répétée encore; " * 20_000
@@ -118,6 +119,24 @@ def test_crc32c(parts):
     assert crc32c(np.frombuffer(b"".join(parts), np.uint8), offsets).tolist() == [plain(p) for p in parts]
 
 
+def test_every_stretch_of_a_long_item_and_items_of_few_characters():
+    rng = np.random.default_rng(12)
+    letters = list("etaoin shrdlu")
+    made = lambda n: "x" + "".join(rng.choice(letters, n - 2)) + "y"
+    item = made(600)
+    index = decontaminate.build([(0, item)], decontaminate.PARTS)
+    for size in (99, 200):
+        texts = [f"{made(40)} {item[at : at + size]} {made(40)}" for at in range(0, 600 - size + 1, 1 if size == 200 else 7)]
+        assert {t for t, *_ in decontaminate.search(index, texts)} == set(range(len(texts)))
+    few = [(n, made(n)) for n in range(5, 41)]
+    index = decontaminate.build(few, decontaminate.PARTS)
+    texts = [f"{made(30)} {text}. {made(30)}" for _, text in few] + [made(200)]
+    found = {(t, item) for t, item, *_ in decontaminate.search(index, texts)}
+    single = lambda t: re.sub(" +", " ", t)
+    held = lambda t, text: re.search(rf"(?<!\w){re.escape(single(text))}(?!\w)", single(t)) is not None
+    assert found == {(k, n) for k, t in enumerate(texts) for n, text in few if held(t, text)}
+
+
 def test_packing(spark, odd):
     library = Tokenizer.from_file(VOCABULARY)
     packed = packing.pack_tokens(odd, VOCABULARY, end_id=2, capacity=64, with_ids=True)
@@ -424,6 +443,47 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(empty(odd)).count() == 0
 
 
+def wording(rng, template):
+    """A text that the template accepts, and a regular expression for all of them."""
+    stack, pattern = [[]], ""
+    for part in re.findall(r"<[^>]*>|[^<\s]+", template):
+        if part == "<opt>":
+            stack.append([])
+            pattern += "(?:"
+        elif part == "</opt>":
+            words = stack.pop()
+            stack[-1] += words if rng.random() < 0.5 else []
+            pattern += ")?"
+        elif m := re.fullmatch(r"<var:(\d+)>", part):
+            stack[-1] += ["any"] * int(rng.integers(0, int(m[1]) + 1))
+            pattern += rf"(?:\S+ ){{0,{m[1]}}}"
+        else:
+            choices = part[5:-1].split("|") if part.startswith("<var:") else [part]
+            stack[-1].append(str(rng.choice(choices)))
+            pattern += f"(?:{'|'.join(choices)}) "
+    return stack[0], re.compile(f"(?:^| ){pattern}")
+
+
+def test_license_templates(spark):
+    rng = np.random.default_rng(3)
+    texts, patterns = [], []
+    for label, template in licenses.TEMPLATES:
+        for k in range(4):
+            words, pattern = wording(rng, template)
+            if k > 1:  # a word too many or too few
+                at = int(rng.integers(len(words)))
+                words[at : at + 1] = [] if k == 2 else [words[at], "other"]
+            texts.append(f"Some words before, {', '.join(words).upper()} - and after.")
+        patterns.append((label, pattern))
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        words = " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered(texts[r.doc_id]))) + " "
+        want = {label for label, p in patterns if p.search(words)} | {label for phrase, label in licenses.BASE_PHRASES if f" {phrase} " in f" {words}"}
+        assert set(filter(None, r.labels.split(","))) == want, texts[r.doc_id]
+    few = licenses.scan_licenses(spark.createDataFrame([(1, "under the house license, one")], "doc_id long, text string"), [("house", "under the house <var:license|licence>")])
+    assert [(r.labels, r.score) for r in few.collect()] == [("house", 0.8)]
+
+
 def edits(pattern, text):
     """Fewest edits of the pattern anywhere in the text."""
     row = [0] * (len(text) + 1)
@@ -494,7 +554,7 @@ def test_decontamination_of_parts_short_items_and_items_without_an_id(spark):
     assert [(r.doc_id, r.item_id) for r in only] == [(10, 7)]
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op7_url_filter"])
+@pytest.mark.parametrize("name", ["op3_secrets", "op4_line_dedup", "op5_quality", "op7_url_filter"])
 def test_sql_agrees(spark, name):
     from procurespark.llm.queries import ORACLE_SQL, QUERIES
 
