@@ -42,7 +42,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
 
     lines = rows.select("_doc", "_row", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
     keyed = lines.select("_doc", "_row", "_pos", line_key(F.col("_line")).alias("_key")).filter(F.length("_key") >= min_chars)
-    hashed = keyed.select("_doc", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
+    # Written down: texts are split and hashed once for the counts and the positions.
+    hashed = checkpointed(keyed.select("_doc", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2")))
 
     # One row for each line and document first, so a line that all documents share is
     # counted by the tasks that hold the documents, not by one task.
