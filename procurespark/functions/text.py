@@ -46,7 +46,9 @@ LITERATURE_LICENSES = {
 }
 
 UNKNOWN_LICENSE = "unknown"
-BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+#: Unicode white space, as a class of a regular expression and one by one.
+BLANK_CLASS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+BLANKS = "".join(chr(p) for p in range(0x3001) if chr(p).isspace())
 
 
 def strip(c: Column) -> Column:
@@ -80,7 +82,7 @@ def canonical_text(brand: Column, name: Column, category: Column, specs: Column)
 
 def normalize_material(term: Column) -> Column:
     """Lower case, runs of hyphens, slashes and white space as one space."""
-    return strip(F.regexp_replace(F.lower(F.coalesce(term, F.lit(""))), r"[-/\s]+", " "))
+    return strip(F.regexp_replace(F.lower(F.coalesce(term, F.lit(""))), f"[-/{BLANK_CLASS}]+", " "))
 
 
 def strip_html(value: Column) -> Column:

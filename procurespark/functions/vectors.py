@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procurespark.functions.text import BLANK_CLASS
+
 DIMENSIONS = 1024
 HASH_MODEL = "hashing-1024"
 
@@ -23,7 +27,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[{BLANK_CLASS}]+"), lambda t: t != "")
 
 
 def token_slot(token: Column) -> Column:
@@ -31,25 +35,51 @@ def token_slot(token: Column) -> Column:
     return F.pmod(F.conv(F.right(F.sha1(token), F.lit(3)), 16, 10).cast("int"), F.lit(DIMENSIONS))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def slot_weights(text: Column) -> Column:
+    """Slots of a text's tokens in order with their weights: counts scaled to length 1.
+
+    Tokens are sorted once and counted by the ends of their runs, so long texts take no more
+    than that.
+    """
+
+    def run_ends(slots: Column) -> Column:
+        last = F.transform(slots, lambda s, i: F.struct(s.alias("slot"), (i + 1).alias("end"), (~F.get(slots, i + 1).eqNullSafe(s)).alias("last")))
+        return F.filter(last, lambda r: r["last"])
+
+    def counted(ends: Column) -> Column:
+        return F.transform(ends, lambda r, i: F.struct(r["slot"].alias("slot"), (r["end"] - F.coalesce(F.get(ends, i - 1)["end"], F.lit(0))).cast("double").alias("n")))
+
+    def scaled(counts: Column) -> Column:
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda t, r: t + r["n"] * r["n"]))
+        return let(length, lambda n: F.transform(counts, lambda r: F.struct(r["slot"].alias("slot"), (r["n"] / n).alias("weight"))))
+
+    return let(F.sort_array(F.transform(tokens(text), token_slot)), lambda slots: let(run_ends(slots), lambda ends: let(counted(ends), scaled)))
+
+
 def hash_embedding(text: Column) -> Column:
     """Token counts by slot, scaled to length 1; a zero vector for no tokens."""
-    slots = F.transform(tokens(text), token_slot)
-    ordered = F.sort_array(F.array_distinct(slots))
-    pairs = F.transform(ordered, lambda s: F.struct(s.alias("slot"), F.size(F.filter(slots, lambda x: x == s)).cast("double").alias("n")))
-    length = F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["n"] * p["n"]))
-    filled = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["slot"].alias("key"), (p["n"] / length).alias("value"))))
-    return F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at(filled, i), F.lit(0.0)))
+    return let(F.map_from_entries(slot_weights(text)), lambda filled: F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at(filled, i), F.lit(0.0))))
 
 
 def sparse_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, slot, weight`` of the hashing embedder, a row for each filled slot."""
-    exploded = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token"))
-    counted = exploded.groupBy("id", token_slot(F.col("token")).alias("slot")).agg(F.count("*").cast("double").alias("n"))
-    norms = counted.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counted.join(norms, "id").select("id", "slot", (F.col("n") / F.col("norm")).alias("weight"))
+    """``id, slot, weight`` of the hashing embedder, a row for each filled slot; nothing is shuffled."""
+    return docs.select(F.col(id_col).alias("id"), F.inline(slot_weights(F.col(text_col))))
 
 
 def is_stale(model: Column, text_hash: Column, current_model: Column | str, current_text: Column) -> Column:
     """Whether a stored vector is of another model or text, or of none that is known."""
     current = current_model if isinstance(current_model, Column) else F.lit(current_model)
     return ~(model.eqNullSafe(current) & text_hash.eqNullSafe(F.sha2(current_text, 256)))
+
+
+def embedder(provider: str, clients: dict[str, Callable[[Column], Column]] | None = None) -> Callable[[Column], Column]:
+    """The embedder of a provider: the hashing one, or a client's function (a Pandas UDF, say) under its name."""
+    known = {"dev": hash_embedding} | (clients or {})
+    if provider not in known:
+        raise ValueError(f"no embedder {provider!r}; there are {', '.join(sorted(known))}")
+    return known[provider]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procurespark.functions.scoring import MATERIAL_THRESHOLDS, PRODUCT_THRESHOLDS, Thresholds, attribute_bonus, classify, confidence
 from procurespark.functions.text import filled, looks_like_kit, strip
-from procurespark.functions.vectors import is_stale
+from procurespark.functions.vectors import hash_embedding, is_stale
+from procurespark.operators.knn import nearest
+from procurespark.schemas import MATERIALS
 
 METHOD = "vector+rules"
 PURCHASABLE = ["kit", "reagent", "consumable"]
@@ -31,9 +34,10 @@ def equivalences(neighbours: DataFrame, products: DataFrame, thresholds: Thresho
     return scored.filter(F.col("kind").isNotNull()).select(F.col("query_id").alias("product_id"), F.col("id").alias("equivalent_id"), "confidence", "kind", F.lit(METHOD).alias("method"))
 
 
-def sample_exact_rate(neighbours: DataFrame, products: DataFrame, sample: int = 500, seed: int = 42) -> DataFrame:
-    """One row: the share of ``sample`` random products with an exact candidate; 0 without products."""
-    chosen = products.orderBy(F.rand(seed)).limit(sample).select(F.col("id").alias("query_id"))
+def sample_exact_rate(neighbours: DataFrame, products: DataFrame, sample: int | None = 500, seed: int = 42) -> DataFrame:
+    """One row: the share of ``sample`` random products (all, if None) with an exact candidate; 0 without products."""
+    chosen = products if sample is None else products.orderBy(F.rand(seed)).limit(sample)
+    chosen = chosen.select(F.col("id").alias("query_id"))
     exact = equivalences(neighbours, products).filter("kind = 'exact'").select(F.col("product_id").alias("query_id")).distinct().withColumn("hit", F.lit(1.0))
     return chosen.join(exact, "query_id", "left").agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0.0))), F.lit(0.0)).alias("sample_exact_rate"))
 
@@ -54,8 +58,8 @@ def material_lines(protocols: DataFrame) -> DataFrame:
     """``protocol_id, position, name, vendor, catalog_no``: one line for each name of a protocol, case aside, the first."""
     lines = protocols.select(F.col("id").alias("protocol_id"), F.posexplode("materials").alias("position", "m"))
     lines = lines.select("protocol_id", "position", strip(F.coalesce("m.name", F.lit(""))).alias("name"), F.col("m.vendor").alias("vendor"), F.col("m.catalog_no").alias("catalog_no")).filter("name <> ''")
-    first = Window.partitionBy("protocol_id", F.lower("name")).orderBy("position")
-    return lines.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    first = lines.groupBy("protocol_id", F.lower("name").alias("_key")).agg(F.min_by(F.struct("position", "name", "vendor", "catalog_no"), "position").alias("_line"))
+    return first.select("protocol_id", "_line.*")
 
 
 def catalog_hits(lines: DataFrame, products: DataFrame) -> DataFrame:
@@ -66,19 +70,40 @@ def catalog_hits(lines: DataFrame, products: DataFrame) -> DataFrame:
     return keyed.join(known, ["_b", "_m"]).drop("_b", "_m")
 
 
+def embedding_candidates(products: DataFrame, embed: Callable[[Column], Column] = hash_embedding, k: int = 20) -> Callable[[DataFrame], DataFrame]:
+    """Candidates for ``match_materials``: the products nearest to each different name.
+
+    ``products`` have ``embedding``; ids are whole numbers or strings.
+    """
+
+    def candidates(lines: DataFrame) -> DataFrame:
+        keyed = lines.withColumn("_q", F.xxhash64("name"))
+        asked = keyed.select("_q", "name").distinct().select(F.col("_q").alias("_n"), embed(F.col("name")).alias("embedding"))
+        number = F.col("id") if dict(products.dtypes)["id"] == "bigint" else F.xxhash64("id")
+        held = products.select(number.alias("_n"), F.col("id").alias("product_id"), "embedding")
+        found = nearest(asked, held, k, "_n", skip_self=False)
+        met = found.join(held.select(F.col("_n").alias("id"), "product_id"), "id").select(F.col("query_id").alias("_q"), "product_id", "distance", "rank")
+        return keyed.join(met, "_q").drop("_q")
+
+    return candidates
+
+
 def match_materials(lines: DataFrame, products: DataFrame, candidates: Callable[[DataFrame], DataFrame], thresholds: Thresholds = MATERIAL_THRESHOLDS) -> DataFrame:
     """Links of protocols to products: catalog identity first, the best candidate for the rest.
 
-    ``candidates`` takes the lines without a catalog hit and returns them with ``product_id``,
-    ``distance`` and ``rank``; only those lines are embedded and searched.
+    ``candidates`` takes the different lines (``name, vendor, catalog_no``) without a catalog hit
+    and returns them with ``product_id``, ``distance`` and ``rank``; only those are embedded,
+    searched and scored, however many protocols have them.
     """
     hits = catalog_hits(lines, products).select("protocol_id", "product_id", F.col("name").alias("material_name"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("kind"), F.lit("catalog").alias("method"))
     rest = lines.join(hits.select("protocol_id", F.col("material_name").alias("name")), ["protocol_id", "name"], "left_anti")
-    found = candidates(rest).join(_view(products, "b"), F.col("product_id") == F.col("b_id"))
+    line = F.to_json(F.struct("name", "vendor", "catalog_no"))
+    kinds = rest.select("name", "vendor", "catalog_no").distinct()
+    found = candidates(kinds).join(_view(products, "b"), F.col("product_id") == F.col("b_id"))
     own = F.struct(F.lit("").alias("category"), F.col("name").alias("name"), F.col("vendor").alias("brand"), F.col("catalog_no").alias("mpn"), F.create_map().cast("map<string,string>").alias("specs"))
     scored = found.withColumn("confidence", confidence(1.0 - F.col("distance"), attribute_bonus(own, F.col("b")))).withColumn("kind", classify(F.col("confidence"), thresholds)).filter(F.col("kind").isNotNull())
-    best = Window.partitionBy("protocol_id", "name").orderBy(F.col("confidence").desc(), "rank", "product_id")
-    chosen = scored.withColumn("_k", F.row_number().over(best)).filter("_k = 1")
+    best = scored.groupBy(line.alias("_line")).agg(F.max_by(F.struct("product_id", "confidence", "kind"), F.struct("confidence", -F.col("rank"))).alias("_best")).select("_line", "_best.*")
+    chosen = rest.withColumn("_line", line).join(best, "_line")
     return hits.unionByName(chosen.select("protocol_id", "product_id", F.col("name").alias("material_name"), F.round("confidence", 4).alias("confidence"), "kind", F.lit(METHOD).alias("method")))
 
 
@@ -95,3 +120,74 @@ def backfill(products: DataFrame, model: str, embed: Callable, text: Callable, o
         "embedding_model": F.when(F.col("_stale"), F.lit(model)).otherwise(F.col("embedding_model")),
         "embedding_text_hash": F.when(F.col("_stale"), F.sha2(text(), 256)).otherwise(F.col("embedding_text_hash")),
     }).drop("_stale")
+
+
+def backfill_in_batches(work_on: Callable[[], DataFrame], write: Callable[[DataFrame], None], model: str, embed: Callable, text: Callable, batch: int = 100_000, pause: Callable[[], None] | None = None) -> dict[str, int]:
+    """Embeds stale products ``batch`` at a time, each written before the next begins, so an interrupted run goes on where it ended.
+
+    ``work_on`` reads the stored products, ``write`` puts a new snapshot into force, ``pause`` waits
+    between batches where the embedder wants that. Returns total, embedded and skipped.
+    """
+    stale = lambda df: df.filter(is_stale(F.col("embedding_model"), F.col("embedding_text_hash"), model, text()))
+    total, left = work_on().count(), stale(work_on()).count()
+    embedded = 0
+    while embedded < left:
+        if embedded and pause:
+            pause()
+        stored = work_on()
+        turn = stale(stored).select("id").orderBy("id").limit(batch).withColumn("_turn", F.lit(True))
+        met = stored.join(turn, "id", "left")
+        done = backfill(met.filter("_turn"), model, embed, text).drop("_turn")
+        write(done.unionByName(met.filter(F.col("_turn").isNull()).drop("_turn")).select(*stored.columns))
+        embedded += min(batch, left - embedded)
+    return {"total": total, "embedded": embedded, "skipped": total - embedded}
+
+
+def enrich_materials(protocols: DataFrame, classify: Callable[[list[str]], list[dict]] | None = None, least: float = 0.5) -> DataFrame:
+    """Protocols (with ``id``) whose materials are what a lab could order, and ``materials_in``, ``materials_out``, ``llm_call``, ``error``.
+
+    Materials that name a vendor or catalog number classify by themselves; others go to
+    ``classify``, a client's function from names to records of name, amount, role and
+    confidence, in batches of the rows' partitions. Where it fails the materials stay as they are.
+    """
+    told = F.exists("materials", lambda m: filled(m["vendor"]).isNotNull() | filled(m["catalog_no"]).isNotNull())
+    rows = protocols.withColumn("_told", F.coalesce(told, F.lit(False))).withColumn("materials_in", F.size(F.coalesce("materials", F.array().cast(MATERIALS))))
+    orderable = lambda m: m["role"].isin(*PURCHASABLE) & (m["confidence"] >= least)
+    plain = lambda m: F.struct(*(m[c].alias(c) for c in ("name", "amount", "vendor", "catalog_no")))
+    sure = structured_materials(rows.filter("_told")).withColumns({"llm_call": F.lit(False), "error": F.lit(False)}).withColumn("materials", F.transform(F.filter("materials", orderable), plain).cast(MATERIALS))
+    loose = rows.filter(~F.col("_told"))
+    if classify is None:
+        rest = loose.withColumns({"llm_call": F.lit(False), "error": F.lit(False)}).withColumn("materials", F.array().cast(MATERIALS))
+    else:
+        kept = "array<struct<name:string,amount:string,role:string,confidence:double>>"
+
+        def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out, failed = [], []
+                for names in frame["names"]:
+                    try:
+                        out.append([{k: r.get(k) for k in ("name", "amount", "role", "confidence")} for r in classify(list(names))])
+                        failed.append(False)
+                    except Exception:  # one protocol's failure must not end the run
+                        out.append([])
+                        failed.append(True)
+                yield pd.DataFrame({"id": frame["id"], "_said": out, "error": failed})
+
+        said = loose.select("id", F.transform(F.coalesce("materials", F.array().cast(MATERIALS)), lambda m: m["name"]).alias("names")).mapInPandas(asked, f"id {dict(protocols.dtypes)['id']}, _said {kept}, error boolean")
+        none = F.lit(None).cast("string")
+        made = F.transform(F.filter("_said", lambda m: F.coalesce(orderable(m), F.lit(False))), lambda m: F.struct(m["name"].alias("name"), m["amount"].alias("amount"), none.alias("vendor"), none.alias("catalog_no")))
+        rest = loose.join(said, "id").withColumn("llm_call", F.lit(True)).withColumn("materials", F.when(F.col("error"), F.col("materials")).otherwise(made.cast(MATERIALS))).drop("_said")
+    both = sure.unionByName(rest).drop("_told")
+    return both.withColumn("materials_out", F.when(F.col("error"), F.lit(0)).otherwise(F.size("materials")))
+
+
+def enrich_counts(enriched: DataFrame) -> DataFrame:
+    """One row: protocols, materials_in, materials_out, llm_calls, errors."""
+    return enriched.agg(F.count("*").alias("protocols"), F.coalesce(F.sum("materials_in"), F.lit(0)).alias("materials_in"), F.coalesce(F.sum("materials_out"), F.lit(0)).alias("materials_out"), F.count_if("llm_call").alias("llm_calls"), F.count_if("error").alias("errors"))
+
+
+def link_counts(links: DataFrame, protocols: DataFrame) -> DataFrame:
+    """One row about a matching run: protocols, those with links, links, and links by kind."""
+    counted = links.agg(F.count("*").alias("links"), F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "substitute").alias("substitute"))
+    linked = links.select("protocol_id").distinct().agg(F.count("*").alias("protocols_linked"))
+    return protocols.agg(F.count("*").alias("protocols")).crossJoin(linked).crossJoin(counted)  # one row each

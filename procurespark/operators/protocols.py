@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from procurespark.functions.scoring import rank_score
 from procurespark.functions.text import UNKNOWN_LICENSE, filled, strip
@@ -14,9 +15,11 @@ from procurespark.schemas import MATERIALS, STEPS
 SERVED_LICENSES = ["CC0", "CC-BY"]
 
 
-def served(license_name: Column, serving_basis: str | None = None, allow: list[str] | None = None) -> Column:
+def served(license_name: Column, serving_basis: str | Column | None = None, allow: list[str] | None = None) -> Column:
     """Whether content may be served; a contract adds unknown licenses, never restricted ones."""
     allow = SERVED_LICENSES if allow is None else allow
+    if isinstance(serving_basis, Column):
+        return F.coalesce(license_name.isin(*allow) | ((license_name == UNKNOWN_LICENSE) & filled(serving_basis).isNotNull()), F.lit(False))
     return F.coalesce(license_name.isin(*allow, *([UNKNOWN_LICENSE] if serving_basis else [])), F.lit(False))
 
 
@@ -54,13 +57,20 @@ def top_by_review(protocols: DataFrame, n: int, position: str = "position") -> D
 
 
 def dedupe_by_doi(protocols: DataFrame, position: str = "position", score: Column | None = None) -> DataFrame:
-    """One row for each identifier, case aside: that of the highest score, of equals the first; rows without one stay."""
+    """One row for each identifier, case aside: that of the highest score, of equals the first; rows without one stay.
+
+    The best of a task's rows goes into the shuffle, so an identifier of very many rows is no burden.
+    """
     score = rank_score(F.col("review")) if score is None else score
-    key = filled(F.lower(strip(F.col("doi"))))
-    order = Window.partitionBy("_doi").orderBy(F.col("_score").desc(), F.col(position))
-    keyed = protocols.withColumn("_doi", key).withColumn("_score", score)
-    best = keyed.filter(F.col("_doi").isNotNull()).withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
-    return best.unionByName(keyed.filter(F.col("_doi").isNull())).drop("_doi", "_score")
+    keyed = protocols.withColumn("_doi", filled(F.lower(strip(F.col("doi"))))).withColumn("_order", F.struct(score.alias("score"), negated(protocols, position)))
+    best = keyed.filter(F.col("_doi").isNotNull()).groupBy("_doi").agg(F.max_by(F.struct(*(F.col(c) for c in protocols.columns)), "_order").alias("_row")).select("_row.*")
+    return best.unionByName(keyed.filter(F.col("_doi").isNull()).select(*protocols.columns))
+
+
+def negated(df: DataFrame, position: str) -> Column:
+    """What is greatest where ``position``, a number or a struct of numbers, is least."""
+    kind = df.schema[position].dataType
+    return F.struct(*(-F.col(f"{position}.{f.name}") for f in kind.fields)) if isinstance(kind, StructType) else -F.col(position)
 
 
 def resolve_identity(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -79,8 +89,7 @@ def upsert_protocols(stored: DataFrame, new: DataFrame, serving_basis: str | Non
     batch = gated(resolve_identity(dedupe_by_doi(new, position), stored), serving_basis)
     natural = F.when(filled(F.col("doi")).isNotNull(), key_id(F.lit("doi"), F.col("doi"))).otherwise(key_id(F.lit("protocol"), F.col("source"), F.col("source_id")))
     batch = batch.withColumn("id", F.coalesce("existing_id", natural))
-    last = Window.partitionBy("id").orderBy(F.col(position).desc())
-    rows = batch.withColumn("_k", F.row_number().over(last)).filter("_k = 1").select(*(F.col(c) for c in stored.columns))
+    rows = batch.groupBy("id").agg(F.max_by(F.struct(*(F.col(c) for c in stored.columns if c != "id")), position).alias("_row")).select("id", "_row.*").select(*stored.columns)
     return stored.join(rows.select("id"), "id", "left_anti").unionByName(rows)
 
 
@@ -92,16 +101,24 @@ def upsert_counts(stored: DataFrame, new: DataFrame, serving_basis: str | None =
     return counted.crossJoin(new.agg(F.count("*").alias("_all"))).select("created", "updated", "servable", "link_out_only", (F.col("_all") - F.col("_n")).alias("deduped_in_batch"))  # one row each
 
 
-def latest_versions(items: DataFrame, position: str = "position") -> DataFrame:
-    """The item of the highest version of each id, of equals the first; null ids go, versions that are no number count as 0."""
-    version = F.coalesce(F.col("version_id").cast("string").try_cast("bigint"), F.lit(0))
-    order = Window.partitionBy("id").orderBy(version.desc(), F.col(position))
-    return items.filter(F.col("id").isNotNull()).withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+def version_number(version: Column) -> Column:
+    """A version as a number; what is none counts as 0."""
+    return F.coalesce(version.cast("string").try_cast("bigint"), F.lit(0))
+
+
+def latest_versions(items: DataFrame, position: str = "position", within: list[str] | None = None) -> DataFrame:
+    """The item of the highest version of each id (in each of ``within``), of equals the first; null ids go."""
+    keys = [*(within or []), "id"]
+    order = F.struct(version_number(F.col("version_id")).alias("version"), negated(items, position))
+    rest = [c for c in items.columns if c not in keys]
+    best = items.filter(F.col("id").isNotNull()).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    return best.select(*keys, "_row.*").select(*items.columns)
 
 
-def shortlist(items: DataFrame, n: int, position: str = "position") -> DataFrame:
-    """The best n of the latest versions."""
-    return rank_by_review(latest_versions(items, position), position).limit(n)
+def shortlist(items: DataFrame, n: int, position: str = "position", within: list[str] | None = None) -> DataFrame:
+    """The best n of the latest versions (of each of ``within``), with their ``rank``; each task keeps its best n before the shuffle."""
+    order = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*review_order(F.col("review.peer_reviewed"), rank_score(F.col("review")), F.col(position)))
+    return latest_versions(items, position, within).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
 def license_histogram(protocols: DataFrame) -> DataFrame:

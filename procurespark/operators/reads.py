@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procurespark.functions.scoring import landed_cost
@@ -72,18 +72,23 @@ def list_products(products: DataFrame, offers: DataFrame, q: str | None = None,
     """A page of products, newest first; only the page's offers are joined."""
     found = matching(products, q, ["name", "brand", "mpn"])
     found = found.filter(F.col("category") == category) if category else found
-    paged = page_of(found, order or [F.col("created_at").desc(), F.col("id")], page, page_size)
-    return product_summary(offer_summary(paged, offers.join(paged.select(F.col("id").alias("product_id")), "product_id", "left_semi")))
+    order = order or [F.col("created_at").desc(), F.col("id")]
+    paged = page_of(found, order, page, page_size)
+    summed = offer_summary(paged, offers.join(paged.select(F.col("id").alias("product_id")), "product_id", "left_semi"))
+    return product_summary(summed.orderBy(*order))  # joins don't keep the page's order
 
 
-def product_detail(products: DataFrame, offers: DataFrame, suppliers: DataFrame, edges: DataFrame) -> DataFrame:
-    """Products with their offers (by SKU) and equivalents (by confidence), nested."""
+def product_detail(products: DataFrame, offers: DataFrame, suppliers: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Products (only those of ``ids``, if given) with their offers (by SKU) and equivalents (by confidence), nested."""
+    if ids is not None:
+        offers, edges = (df.join(ids.select(F.col("id").alias("product_id")), "product_id", "left_semi") for df in (offers, edges))
     named = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier"), "region")
     own = offers.join(named, "supplier_id").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("supplier_sku", "supplier", "region", "pack_size", F.col("cost").cast("double").alias("cost"), "currency", "stock", "lead_time_days"))).alias("offers"))
     other = products.select(F.col("id").alias("equivalent_id"), F.col("name").alias("_name"), F.col("brand").alias("_brand"))
     item = F.struct((-F.col("confidence")).alias("_order"), F.col("equivalent_id").alias("id"), product_sku(F.col("equivalent_id").cast("string")).alias("product_sku"), F.col("_name").alias("name"), F.col("_brand").alias("brand"), F.round("confidence", 4).alias("confidence"), "kind")
     alike = edges.join(other, "equivalent_id").groupBy("product_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda e: e.dropFields("_order")).alias("equivalents"))
-    base = products.select("id", product_sku(F.col("id").cast("string")).alias("product_sku"), "name", "category", "brand", "mpn", F.coalesce("specs", F.create_map().cast("map<string,string>")).alias("specs"))
+    wanted = products if ids is None else products.join(ids.select("id"), "id", "left_semi")
+    base = wanted.select("id", product_sku(F.col("id").cast("string")).alias("product_sku"), "name", "category", "brand", "mpn", F.coalesce("specs", F.create_map().cast("map<string,string>")).alias("specs"))
     return base.join(own.withColumnRenamed("product_id", "id"), "id", "left").join(alike.withColumnRenamed("product_id", "id"), "id", "left")
 
 
@@ -114,16 +119,38 @@ def protocols_by_material(protocols: DataFrame, links: DataFrame, material: str,
     return ranked.crossJoin(F.broadcast(total)).select("id", "title", "product_count", F.coalesce(F.get("_hit", F.lit(0))["name"], F.lit("")).alias("matched_material"), "total")  # a page and one row
 
 
-def product_protocols(links: DataFrame, protocols: DataFrame, reviewed_only: bool = False) -> DataFrame:
-    """Links with the protocols that use each product."""
+def best_links(links: DataFrame, key: str, other: str, reviewed_only: bool, limit: int) -> DataFrame:
+    """The ``limit`` surest links of each ``key`` with their ``rank``; each task keeps its best before the shuffle."""
     seen = links.filter("reviewed") if reviewed_only else links
-    return seen.join(protocols.select(F.col("id").alias("protocol_id"), "title", "source", "source_uri"), "protocol_id")
+    order = Window.partitionBy(key).orderBy(F.col("confidence").desc(), other, "material_name")
+    return seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).withColumn("confidence", F.round("confidence", 4))
 
 
-def protocol_materials(links: DataFrame, products: DataFrame, reviewed_only: bool = False) -> DataFrame:
-    """Links with the products of each protocol's shopping list."""
-    seen = links.filter("reviewed") if reviewed_only else links
-    return seen.join(products.select(F.col("id").alias("product_id"), "name", "category"), "product_id")
+def product_protocols(products: DataFrame, links: DataFrame, protocols: DataFrame, reviewed_only: bool = False, limit: int = 50) -> DataFrame:
+    """Each of ``products`` with the protocols that use it, surest first: a row for each of at most ``limit`` links.
+
+    A product without links has one row of nulls, so that it differs from an id that isn't there.
+    """
+    best = best_links(links, "product_id", "protocol_id", reviewed_only, bounded(limit, 1, 200))
+    named = best.join(protocols.select(F.col("id").alias("protocol_id"), "title", "source_uri"), "protocol_id")
+    base = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
+    return base.join(named, "product_id", "left").select("product_id", "product_name", "rank", "protocol_id", "title", "source_uri", "material_name", "confidence", "kind").orderBy("product_id", "rank")
+
+
+def protocol_materials(protocols: DataFrame, links: DataFrame, products: DataFrame, reviewed_only: bool = False, limit: int = 100) -> DataFrame:
+    """Each of ``protocols`` with its shopping list, surest first: a row for each of at most ``limit`` links, or one of nulls."""
+    best = best_links(links, "protocol_id", "product_id", reviewed_only, bounded(limit, 1, 300))
+    named = best.join(products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "brand"), "product_id")
+    base = protocols.select(F.col("id").alias("protocol_id"), F.col("title").alias("protocol_title"), "source_uri")
+    return base.join(named, "protocol_id", "left").select("protocol_id", "protocol_title", "source_uri", "rank", "material_name", "product_id", "product_name", "brand", "confidence", "kind").orderBy("protocol_id", "rank")
+
+
+def landed_for(products: DataFrame, offers: DataFrame, qty: int) -> DataFrame:
+    """``id, landed``: the landed cost of ``qty`` of each product from its cheapest offer, null without one."""
+    bounded(qty, 1, 1 << 31)
+    found = offer_summary(products, offers)
+    cost = landed_cost(F.col("cheapest.cost"), F.col("cheapest.currency"), F.col("category"), qty)
+    return found.select("id", F.when(F.col("cheapest").isNotNull(), cost).alias("landed"))
 
 
 def exists(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -141,8 +168,15 @@ def stats(products: DataFrame, offers: DataFrame, suppliers: DataFrame, edges: D
 
 
 def sourcing_requests(requests: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest requests."""
-    return requests.orderBy(F.col("created_at").desc(), F.col("id")).limit(bounded(limit, 1, 200))
+    """The newest requests, their time in ISO form."""
+    shown = requests.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+    return shown.orderBy(F.col("created_at").desc(), F.col("id")).limit(bounded(limit, 1, 200))
+
+
+def ordered_references(items: DataFrame, position: str = "position") -> DataFrame:
+    """Referenced items (type, id, label) once each, the first of repeated ones, in the order they came up."""
+    first = items.groupBy("type", "id").agg(F.min_by(F.struct("label", F.col(position).alias("at")), position).alias("_first"))
+    return first.select("type", "id", "_first.label", F.col("_first.at").alias("position")).orderBy("position")
 
 
 def with_urls(items: DataFrame, protocols: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ new rows. Ids come from natural keys, so a repeated run makes the same snapshot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procurespark.functions.text import canonical_category, filled, strip
@@ -19,12 +19,12 @@ def key_id(*parts: Column) -> Column:
     return F.concat_ws("-", at(1, 8), at(9, 4), at(13, 4), at(17, 4), at(21, 12))
 
 
-def normalize_products(extracted: DataFrame) -> DataFrame:
-    """Trimmed, with a canonical category; a missing cost is 0."""
+def normalize_products(extracted: DataFrame, *more: str) -> DataFrame:
+    """Trimmed, with a canonical category; a missing cost is 0; columns in ``more`` come along."""
     return extracted.select(
         strip(F.col("supplier_sku")).alias("supplier_sku"), strip(F.col("name")).alias("name"), canonical_category(F.col("category")).alias("category"),
         strip(filled(F.col("brand"))).alias("brand"), strip(filled(F.col("mpn"))).alias("mpn"), "pack_size", F.coalesce("cost", F.lit(0.0)).alias("cost"),
-        "currency", "stock", "lead_time_days", F.coalesce("specs", F.create_map().cast("map<string,string>")).alias("specs"),
+        "currency", "stock", "lead_time_days", F.coalesce("specs", F.create_map().cast("map<string,string>")).alias("specs"), *more,
     )
 
 
@@ -40,9 +40,10 @@ def upsert(current: DataFrame, new: DataFrame, key: list[str], update: list[str]
     for k in key:
         keyed = keyed & F.col(k).isNotNull()
     by = F.col(order) if order else F.struct(*(F.to_json(F.struct(F.col(c))) for c in new.columns))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(by.desc()))
     columns = current.columns
-    fresh = new.filter(keyed).withColumn("_rank", rank).filter("_rank = 1")
+    rest = [c for c in new.columns if c not in key]
+    # The last of a task's rows goes into the shuffle, so a key of very many rows is no burden.
+    fresh = new.filter(keyed).groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("_row")).select(*key, "_row.*")
     present = [c for c in columns if c in new.columns]
     left = current.filter(keyed).select(*(F.col(c).alias(f"_o_{c}") for c in columns)).withColumn("_old", F.lit(True))
     right = fresh.select(*(F.col(c).alias(f"_n_{c}") for c in present)).withColumn("_new", F.lit(True))
@@ -66,17 +67,27 @@ def upsert_suppliers(current: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(current, made, ["name"], [])
 
 
+def _keyless() -> Column:
+    return filled(F.col("brand")).isNull() | filled(F.col("mpn")).isNull()
+
+
+def product_id(position: str = "position") -> Column:
+    """A product's id from brand and part number; without them from supplier, SKU, run and place in it."""
+    loose = key_id(F.lit("loose"), F.col("supplier_id"), F.col("supplier_sku"), F.col("run_id"), F.col(position))
+    return F.when(_keyless(), loose).otherwise(key_id(F.lit("product"), F.col("brand"), F.col("mpn")))
+
+
 def upsert_products(current: DataFrame, items: DataFrame, position: str = "position") -> DataFrame:
     """Products by brand and part number: name, category and specs follow the last item; a stored vector stays, and turns stale.
 
-    Items without brand or part number are added, under an id from supplier, SKU and run.
+    Items without brand or part number are added, under an id from supplier, SKU, run and place,
+    so another run adds them again and the same one doesn't.
     """
-    keyless = filled(F.col("brand")).isNull() | filled(F.col("mpn")).isNull()
-    own = F.when(keyless, key_id(F.lit("loose"), F.col("supplier_id"), F.col("supplier_sku"), F.col("run_id"), F.col(position))).otherwise(key_id(F.lit("product"), F.col("brand"), F.col("mpn")))
-    made = items.select(own.alias("id"), "category", "name", F.when(~keyless, F.col("brand")).alias("_b"), F.when(~keyless, F.col("mpn")).alias("_m"), "brand", "mpn", "specs", position)
+    made = items.select(product_id(position).alias("id"), "category", "name", F.when(~_keyless(), F.col("brand")).alias("_b"), F.when(~_keyless(), F.col("mpn")).alias("_m"), "brand", "mpn", "specs", position)
     keyed = made.filter(F.col("_b").isNotNull()).drop("_b", "_m")
     loose = made.filter(F.col("_b").isNull()).select(*(F.col(c) for c in current.columns if c in made.columns))
     out = upsert(current, keyed, ["brand", "mpn"], ["name", "category", "specs"], position)
+    loose = loose.join(current.select("id"), "id", "left_anti")
     return out.unionByName(loose, allowMissingColumns=True)
 
 
@@ -96,6 +107,13 @@ def upsert_links(current: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(current, new.withColumn("reviewed", F.lit(False)), ["protocol_id", "product_id", "material_name"], ["confidence", "kind", "method"])
 
 
+def append_sourcing_request(requests: DataFrame, item: str, context: str | None, stamp: str, shop: str | None = None, customer_id: str | None = None, email: str | None = None) -> DataFrame:
+    """``requests`` and a new one; who asks comes from the caller's session, never from the text of a request."""
+    row = requests.sparkSession.createDataFrame([(item, context or "", shop, customer_id, email, "new", stamp)], "requested_item string, context string, shop string, customer_id string, email string, status string, created_at string")
+    row = row.withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("id", key_id(F.lit("request"), *(F.col(c) for c in ("shop", "customer_id", "email", "requested_item", "context", "created_at"))))
+    return requests.unionByName(row)
+
+
 def ingest_report(items: DataFrame) -> DataFrame:
     """One row of counters; both upsert counts are those of items."""
     return items.agg(F.count("*").alias("extracted")).select("extracted", F.col("extracted").alias("products_upserted"), F.col("extracted").alias("offers_upserted"))

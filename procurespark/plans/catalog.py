@@ -1,0 +1,9 @@
+"""All registered queries of the catalog and protocol operators."""
+
+from __future__ import annotations
+
+from procurespark.plans import ingest_queries, payload_queries, queries, read_queries
+from procurespark.plans.registry import ORACLE_SQL, QUERIES
+
+MODULES = [queries, read_queries, ingest_queries, payload_queries]
+__all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]

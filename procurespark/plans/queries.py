@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procurespark.functions import scoring, text, vectors
 from procurespark.operators import evaluation, knn, matching, reads
 from procurespark.operators import protocols as corpus
 from procurespark.operators import tables as snapshots
+from procurespark.operators.ingest import rebuild
+from procurespark.plans.registry import query
 from procurespark.plans.tables import links, offers, products, protocols, table
 from procurespark.sources.catalog_files import parsed_specs
 from procurespark.streaming.limiter import limit_batch
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 PRODUCTS_SQL = """products AS (SELECT p_partkey AS id, lower(p_type) AS category, p_name AS name, p_brand AS brand,
     CASE WHEN p_partkey % 2 = 0 THEN 'M' || (p_partkey % 40)::VARCHAR END AS mpn, p_size::VARCHAR AS size, split_part(p_name, ' ', 1) AS line FROM part)"""
 OFFERS_SQL = """offers AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_suppkey AS supplier_id, l_partkey AS product_id, l_extendedprice AS cost,
     CASE WHEN l_returnflag = 'R' THEN 'USD' ELSE 'CNY' END AS currency FROM lineitem)"""
 LINKS_SQL = """links AS (SELECT l_orderkey AS protocol_id, l_partkey AS product_id, round(1 - l_discount, 4) AS confidence,
-    CASE WHEN l_discount <= 0.05 THEN 'exact' ELSE 'substitute' END AS kind, l_linestatus = 'F' AS reviewed FROM lineitem)"""
+    CASE WHEN l_discount <= 0.05 THEN 'exact' ELSE 'substitute' END AS kind, l_linestatus = 'F' AS reviewed, 'line ' || l_linenumber AS material_name FROM lineitem)"""
 PROTOCOLS_SQL = """protocols AS (SELECT o_orderkey AS id, 'Order ' || o_orderkey || ' ' || o_orderpriority AS title, o_orderstatus AS source,
     'https://orders.example/' || o_orderkey AS source_uri, o_orderpriority IN ('1-URGENT', '2-HIGH') AS servable, o_totalprice AS rank_score, 'C' || o_custkey AS author FROM orders)"""
 CANON_SQL = """CASE WHEN coalesce(raw, '') = '' THEN 'uncategorized' ELSE coalesce(MAP {'molecular biology': 'molecular_biology', 'molbio': 'molecular_biology', 'pcr': 'molecular_biology',
@@ -32,16 +28,6 @@ CANON_SQL = """CASE WHEN coalesce(raw, '') = '' THEN 'uncategorized' ELSE coales
     'antibodies': 'antibodies'}[lower(trim(raw))], trim(regexp_replace(lower(trim(raw)), '[^a-z0-9]+', '_', 'g'), '_')) END"""
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
-
-
 LANDED_SQL = """best AS (SELECT product_id, count(*) AS n, min_by(cost, (cost, id)) AS cost, min_by(currency, (cost, id)) AS currency FROM offers GROUP BY product_id),
     priced AS (SELECT p.id, p.name, p.category, p.brand, coalesce(b.n, 0) AS offer_count, b.cost, b.currency, b.cost * CASE WHEN b.currency = 'USD' THEN 1.0::DOUBLE ELSE 0.14::DOUBLE END AS works, 0.27::DOUBLE AS duty
         FROM products p LEFT JOIN best b ON p.id = b.product_id),
@@ -75,15 +61,18 @@ def role_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.role_view(landed, "landed", "buyer")
 
 
-@query("q_product_detail_nested", f"""WITH {PRODUCTS_SQL}, {OFFERS_SQL} SELECT p.id, p.name, p.brand, coalesce(string_agg(s.s_name || ':' || o.currency, ',' ORDER BY o.id, s.s_name, o.currency), '') AS offers, count(o.id) AS n_offers
-    FROM products p LEFT JOIN offers o ON p.id = o.product_id LEFT JOIN supplier s ON o.supplier_id = s.s_suppkey GROUP BY p.id, p.name, p.brand""")
+@query("q_product_detail_nested", f"""WITH {PRODUCTS_SQL}, {OFFERS_SQL}, own AS (SELECT o.product_id, string_agg(o.id || ':' || s.s_name || ':' || o.currency, ',' ORDER BY o.id::VARCHAR, s.s_name, o.cost, o.currency) AS offers, count(*) AS n FROM offers o JOIN supplier s ON o.supplier_id = s.s_suppkey GROUP BY 1)
+    SELECT p.id, 'ASR-' || upper(left(p.id::VARCHAR, 6)) AS product_sku, p.name, coalesce(o.offers, '') AS offers, coalesce(o.n, 0) AS n_offers, coalesce(e.id || ':' || e.name || ':' || round((e.id % 100) / 100.0::DOUBLE, 4) || ':exact', '') AS equivalents
+    FROM products p LEFT JOIN own o ON p.id = o.product_id LEFT JOIN products e ON e.id = p.id + 1""")
 def product_detail_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each product with all its offers and their suppliers, nested, then shown as text."""
-    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier"))
-    own = offers(spark, sf_dir).join(supplier, "supplier_id").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("id", "supplier", "currency"))).alias("offers"))
-    met = products(spark, sf_dir).join(own.withColumnRenamed("product_id", "id"), "id", "left")
-    shown = F.array_join(F.transform("offers", lambda o: F.concat_ws(":", o["supplier"], o["currency"])), ",")
-    return met.select("id", "name", "brand", F.coalesce(shown, F.lit("")).alias("offers"), F.coalesce(F.size("offers"), F.lit(0)).cast("long").alias("n_offers"))
+    """Each product with all its offers and their suppliers and the next product as its equivalent, nested, then shown as text."""
+    held, none = products(spark, sf_dir), F.lit(None).cast("string")
+    sold = offers(spark, sf_dir).withColumns({"supplier_sku": F.col("id").cast("string"), "pack_size": none, "stock": none.cast("int"), "lead_time_days": none.cast("int")})
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("CN").alias("region"))
+    edges = held.select((F.col("id") - 1).alias("product_id"), F.col("id").alias("equivalent_id"), ((F.col("id") % 100) / 100.0).alias("confidence"), F.lit("exact").alias("kind"))
+    made = reads.product_detail(held, sold, suppliers, edges)
+    shown = lambda c, *fields: F.coalesce(F.array_join(F.transform(c, lambda o: F.concat_ws(":", *(o[f] for f in fields))), ","), F.lit(""))
+    return made.select("id", "product_sku", "name", shown("offers", "supplier_sku", "supplier", "currency").alias("offers"), F.coalesce(F.size("offers"), F.lit(0)).cast("long").alias("n_offers"), shown("equivalents", "id", "name", "confidence", "kind").alias("equivalents"))
 
 
 @query("q_category_canon", f"SELECT id, {CANON_SQL} AS category FROM (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN ' PCR ' WHEN 1 THEN p_type || ' / ' || p_name WHEN 2 THEN 'Cell Culture' WHEN 3 THEN '' ELSE p_brand END AS raw FROM part)")
@@ -181,34 +170,81 @@ def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.with_links(protocols(spark, sf_dir), links(spark, sf_dir)).select("id", "product_count")
 
 
-@query("q_links_forward", f"WITH {PROTOCOLS_SQL}, {LINKS_SQL} SELECT l.product_id, l.protocol_id, p.title, l.confidence, l.kind FROM links l JOIN protocols p ON l.protocol_id = p.id WHERE l.reviewed")
+@query("q_links_forward", f"""WITH {PRODUCTS_SQL}, {PROTOCOLS_SQL}, {LINKS_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY confidence DESC, protocol_id, material_name) AS rank FROM links WHERE reviewed QUALIFY rank <= 50),
+    named AS (SELECT b.*, p.title, p.source_uri FROM best b JOIN protocols p ON b.protocol_id = p.id)
+    SELECT p.id AS product_id, p.name AS product_name, n.rank::INT AS rank, n.protocol_id, n.title, n.source_uri, n.material_name, round(n.confidence, 4) AS confidence, n.kind FROM products p LEFT JOIN named n ON p.id = n.product_id""")
 def links_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reads.product_protocols(links(spark, sf_dir), protocols(spark, sf_dir), reviewed_only=True)
-    return found.select("product_id", "protocol_id", "title", "confidence", "kind")
+    """Each product's 50 surest reviewed links (the limit is the feature) with their protocols."""
+    return reads.product_protocols(products(spark, sf_dir), links(spark, sf_dir), protocols(spark, sf_dir), reviewed_only=True)
 
 
-@query("q_links_reverse", f"WITH {PRODUCTS_SQL}, {LINKS_SQL} SELECT l.protocol_id, l.product_id, p.name, p.category, l.confidence FROM links l JOIN products p ON l.product_id = p.id")
+@query("q_links_reverse", f"""WITH {PRODUCTS_SQL}, {PROTOCOLS_SQL}, {LINKS_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY protocol_id ORDER BY confidence DESC, product_id, material_name) AS rank FROM links QUALIFY rank <= 100),
+    named AS (SELECT b.*, p.name, p.brand FROM best b JOIN products p ON b.product_id = p.id)
+    SELECT p.id AS protocol_id, p.title AS protocol_title, p.source_uri, n.rank::INT AS rank, n.material_name, n.product_id, n.name AS product_name, n.brand, round(n.confidence, 4) AS confidence, n.kind FROM protocols p LEFT JOIN named n ON p.id = n.protocol_id""")
 def links_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.protocol_materials(links(spark, sf_dir), products(spark, sf_dir)).select("protocol_id", "product_id", "name", "category", "confidence")
+    """Each protocol's shopping list of 100 at most; the limit is the feature."""
+    return reads.protocol_materials(protocols(spark, sf_dir), links(spark, sf_dir), products(spark, sf_dir))
+
+
+LINES_SQL = """lines AS (SELECT l_orderkey AS protocol_id, l_linenumber AS position, lower(p.p_type) || ' ' || p.p_name AS name, upper(p.p_brand) AS vendor,
+        CASE WHEN l_linenumber % 2 = 0 THEN 'm' || (l_partkey % 40) END AS catalog_no FROM lineitem JOIN part p ON l_partkey = p.p_partkey)"""
+CANONICAL_SQL = "canonical AS (SELECT id, brand || ' | ' || name || ' | ' || category || ' | line=' || line || ' | size=' || size AS text FROM products)"
+
 
+def weights_sql(name: str, table: str, key: str, text: str) -> str:
+    """Slots and weights of the hashing embedder, for each key of a table, as a named query."""
+    return f"""{name}_n AS (SELECT k, ('0x' || right(sha1(tok), 3))::INT % 1024 AS slot, count(*)::DOUBLE AS n FROM (SELECT {key} AS k, unnest(list_filter(regexp_split_to_array(lower({text}), '[ ]+'), lambda x: x <> '')) AS tok FROM {table}) GROUP BY ALL),
+    {name} AS (SELECT k, slot, n / sqrt(sum(n * n) OVER (PARTITION BY k)) AS w FROM {name}_n)"""
 
-@query("q_exact_then_fallback", f"""WITH {PRODUCTS_SQL}, lines AS (SELECT l_orderkey AS protocol_id, l_linenumber AS position, 'line ' || l_linenumber AS name, upper(p.p_brand) AS vendor,
-        CASE WHEN l_linenumber % 2 = 0 THEN 'm' || (l_partkey % 40) END AS catalog_no FROM lineitem JOIN part p ON l_partkey = p.p_partkey),
-    first AS (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY protocol_id, name ORDER BY position, vendor, catalog_no) = 1),
-    known AS (SELECT lower(brand) AS b, lower(mpn) AS m, min(id) AS product_id FROM products WHERE mpn IS NOT NULL GROUP BY 1, 2)
-    SELECT f.protocol_id, f.name AS material_name, k.product_id, CASE WHEN k.product_id IS NULL THEN 'vector' ELSE 'catalog' END AS method FROM first f LEFT JOIN known k ON lower(f.vendor) = k.b AND lower(f.catalog_no) = k.m""")
-def exact_then_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which lines the catalog names, and which are left to vectors."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.upper("p_brand").alias("vendor"))
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as materials: type and name of a part, its brand, and a part number on every second one."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.upper("p_brand").alias("vendor"), F.concat_ws(" ", F.lower("p_type"), "p_name").alias("name"))
     line = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
     number = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("m"), (F.col("l_partkey") % 40).cast("string")))
-    lines = line.select(F.col("l_orderkey").alias("protocol_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("name"), "vendor", number.alias("catalog_no"))
-    order = Window.partitionBy("protocol_id", "name").orderBy("position", "vendor", F.col("catalog_no").asc_nulls_last())
-    lines = lines.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
-    hits = matching.catalog_hits(lines, products(spark, sf_dir))
-    rest = lines.join(hits.select("protocol_id", "name"), ["protocol_id", "name"], "left_anti")
-    shown = lambda df, product, method: df.select("protocol_id", F.col("name").alias("material_name"), product.alias("product_id"), F.lit(method).alias("method"))
-    return shown(hits, F.col("product_id"), "catalog").unionByName(shown(rest, F.lit(None).cast("long"), "vector"))
+    return line.select(F.col("l_orderkey").alias("protocol_id"), F.col("l_linenumber").alias("position"), "name", "vendor", number.alias("catalog_no"))
+
+
+FIRST_LINES_SQL = f"""{LINES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY protocol_id ORDER BY position, vendor, catalog_no IS NULL, catalog_no, name) AS place FROM lines),
+    first AS (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY protocol_id, lower(name) ORDER BY place) = 1)"""
+
+
+@query("q_material_lines", f"WITH {FIRST_LINES_SQL} SELECT protocol_id, name, place FROM first")
+def material_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each protocol's materials once by name, the first of them."""
+    return matching.material_lines(_with_materials(spark, sf_dir)).select("protocol_id", "name", (F.col("position") + 1).cast("long").alias("place"))
+
+
+def _with_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as materials in order, numbered from one."""
+    item = F.struct("position", "vendor", F.col("catalog_no").isNull(), "catalog_no", "name")
+    listed = _lines(spark, sf_dir).groupBy(F.col("protocol_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("_m"))
+    none = F.lit(None).cast("string")
+    return listed.select("id", F.transform("_m", lambda m: F.struct(m["name"].alias("name"), none.alias("amount"), m["vendor"].alias("vendor"), m["catalog_no"].alias("catalog_no"))).alias("materials"))
+
+
+@query("q_match_materials", f"""WITH {PRODUCTS_SQL}, {FIRST_LINES_SQL}, {CANONICAL_SQL},
+    known AS (SELECT lower(brand) AS b, lower(mpn) AS m, min(id) AS product_id FROM products WHERE mpn IS NOT NULL GROUP BY 1, 2),
+    hit AS (SELECT f.*, k.product_id FROM first f LEFT JOIN known k ON lower(f.vendor) = k.b AND lower(f.catalog_no) = k.m),
+    wanted AS (SELECT DISTINCT name FROM hit WHERE product_id IS NULL),
+    {weights_sql("a", "wanted", "name", "name")}, {weights_sql("b", "canonical", "id", "text")},
+    near AS (SELECT a.k AS name, b.k AS id, round(sum(a.w * b.w), 12) AS similarity FROM a JOIN b USING (slot) GROUP BY ALL),
+    best AS (SELECT *, CASE WHEN similarity >= 0.82 THEN 'exact' ELSE 'substitute' END AS kind FROM near WHERE similarity >= 0.75 QUALIFY row_number() OVER (PARTITION BY name ORDER BY similarity DESC, id) = 1)
+    SELECT protocol_id, product_id, name AS material_name, 1.0::DOUBLE AS confidence, 'exact' AS kind, 'catalog' AS method FROM hit WHERE product_id IS NOT NULL
+    UNION ALL SELECT h.protocol_id, b.id, h.name, round(b.similarity, 4), b.kind, 'vector+rules' FROM hit h JOIN best b ON h.name = b.name WHERE h.product_id IS NULL""")
+def match_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all orders' lines: by catalog identity, else the nearest product by the hashing embedder."""
+    held = products(spark, sf_dir)
+    shown = text.canonical_text(F.col("brand"), F.col("name"), F.col("category"), F.col("specs"))
+    lines = matching.material_lines(_with_materials(spark, sf_dir))
+    return matching.match_materials(lines, held, matching.embedding_candidates(held.withColumn("embedding", vectors.hash_embedding(shown))))
+
+
+@query("q_exact_then_fallback", f"""WITH {PRODUCTS_SQL}, {LINES_SQL}, known AS (SELECT lower(brand) AS b, lower(mpn) AS m, min(id) AS product_id FROM products WHERE mpn IS NOT NULL GROUP BY 1, 2)
+    SELECT l.protocol_id, l.position, k.product_id FROM lines l JOIN known k ON lower(l.vendor) = k.b AND lower(l.catalog_no) = k.m""")
+def catalog_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of matching: lines whose vendor and number name a product; q_match_materials has the fallback too."""
+    return matching.catalog_hits(_lines(spark, sf_dir), products(spark, sf_dir)).select("protocol_id", "position", "product_id")
 
 
 @query("q_dedupe_max_rank", "SELECT o_orderkey AS id, doi, o_totalprice AS score FROM (SELECT *, CASE WHEN o_custkey % 5 <> 0 THEN '10.1/C' || o_custkey END AS doi FROM orders) QUALIFY doi IS NULL OR row_number() OVER (PARTITION BY lower(doi) ORDER BY o_totalprice DESC, o_orderkey) = 1")
@@ -305,11 +341,11 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 METRICS_SQL = """count(*) FILTER (pred <> 'none' AND gold <> 'none') AS tp, count(*) FILTER (pred <> 'none' AND gold = 'none') AS fp, count(*) FILTER (pred = 'none' AND gold <> 'none') AS fn,
     count(*) FILTER (pred = 'none' AND gold = 'none') AS tn, count(*) FILTER (gold <> 'none' AND pred = gold) AS kinds"""
-RATIOS_SQL = "round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(kinds / nullif(tp + fn, 0)::DOUBLE, 6) AS kind_accuracy"
+RATIOS_SQL = "round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 6) AS f1, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(kinds / nullif(tp + fn, 0)::DOUBLE, 6) AS kind_accuracy"
 
 
 def _rounded(df: DataFrame, *before: str) -> DataFrame:
-    return df.select(*before, "tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "kind_accuracy")))
+    return df.select(*before, "tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "kind_accuracy")))
 
 
 @query("q_confusion", f"WITH {GOLD_SQL}, p AS (SELECT gold, CASE WHEN confidence >= 0.92 THEN 'exact' WHEN confidence >= 0.80 THEN 'substitute' ELSE 'none' END AS pred FROM pairs2), m AS (SELECT {METRICS_SQL} FROM p) SELECT tp, fp, fn, tn, {RATIOS_SQL} FROM m")
@@ -323,11 +359,42 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.threshold_sweep(_gold(spark, sf_dir)), "threshold")
 
 
-@query("q_gate", f"WITH {GOLD_SQL}, p AS (SELECT gold, CASE WHEN confidence >= 0.92 THEN 'exact' WHEN confidence >= 0.80 THEN 'substitute' ELSE 'none' END AS pred FROM pairs2), m AS (SELECT {METRICS_SQL} FROM p), r AS (SELECT {RATIOS_SQL} FROM m) SELECT concat_ws(',', CASE WHEN precision < 0.9 THEN 'precision' END, CASE WHEN kind_accuracy IS NULL OR kind_accuracy < 0.75 THEN 'kind_accuracy' END, CASE WHEN 0.5 > 0.4 THEN 'exact_rate' END) AS reasons, false AS passed FROM r")
+RATE_SQL = "rate AS (SELECT (SELECT count(DISTINCT query_id) FILTER (confidence >= 0.92) FROM scored) / (SELECT count(*) FROM v)::DOUBLE AS sample_exact_rate)"
+
+
+@query("q_sample_exact_rate", f"WITH {SCORED_SQL}, {RATE_SQL} SELECT round(sample_exact_rate, 6) AS sample_exact_rate FROM rate")
+def sample_exact_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of products with an exact candidate, with all products as the sample."""
+    found = matching.sample_exact_rate(_neighbours(spark, sf_dir), _vector_products(spark, sf_dir), sample=None)
+    return found.select(F.round("sample_exact_rate", 6).alias("sample_exact_rate"))
+
+
+VERDICT_SQL = f"""{GOLD_SQL}, {RATE_SQL}, p AS (SELECT gold, CASE WHEN confidence >= 0.92 THEN 'exact' WHEN confidence >= 0.80 THEN 'substitute' ELSE 'none' END AS pred FROM pairs2), m AS (SELECT {METRICS_SQL} FROM p), r AS (SELECT {RATIOS_SQL} FROM m),
+    verdict AS (SELECT concat_ws(',', CASE WHEN precision < 0.9 THEN 'precision' END, CASE WHEN kind_accuracy IS NULL OR kind_accuracy < 0.75 THEN 'kind_accuracy' END, CASE WHEN sample_exact_rate > 0.4 THEN 'exact_rate' END) AS reasons FROM r, rate)"""
+
+
+@query("q_gate", f"WITH {VERDICT_SQL} SELECT reasons, reasons = '' AS passed FROM verdict")
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _gold(spark, sf_dir).withColumn("pred", evaluation.predicted_kind(F.col("confidence"), 0.92, 0.80))
-    out = evaluation.gate(evaluation.confusion(made).withColumn("sample_exact_rate", F.lit(0.5)))
-    return out.select(F.array_join("reasons", ",").alias("reasons"), "passed")
+    """Why the edges of these neighbours may not be taken over, from their accuracy and their share of exact ones."""
+    _, verdict = rebuild(_vector_products(spark, sf_dir), _neighbours(spark, sf_dir), _gold(spark, sf_dir))
+    return verdict.select(F.array_join("reasons", ",").alias("reasons"), "passed")
+
+
+@query("q_rebuild", f"WITH {VERDICT_SQL} SELECT query_id AS product_id, id AS equivalent_id, round(confidence, 4) AS confidence, CASE WHEN confidence >= 0.92 THEN 'exact' ELSE 'substitute' END AS kind, reasons FROM scored, verdict WHERE confidence >= 0.80")
+def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges made anew beside the gate's reasons."""
+    edges, verdict = rebuild(_vector_products(spark, sf_dir), _neighbours(spark, sf_dir), _gold(spark, sf_dir))
+    beside = edges.crossJoin(verdict.select(F.array_join("reasons", ",").alias("reasons")))  # one row beside each
+    return beside.select("product_id", "equivalent_id", F.round("confidence", 4).alias("confidence"), "kind", "reasons")
+
+
+@query("q_knn_cells", "SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, true AS recall_at_least_90 FROM embeddings")
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell index over all vectors, its recall measured by ids divisible by 100 against all vectors."""
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = held.filter(F.col("id") % 100 == 0)
+    share = knn.recall(knn.nearest_by_cell(held, asked), knn.nearest(asked, held))
+    return asked.agg(F.count("*").alias("queries")).crossJoin(share).select("queries", (F.col("recall") >= 0.9).alias("recall_at_least_90"))  # one row each
 
 
 @query("q_stats", f"WITH {LINKS_SQL} SELECT (SELECT count(*) FROM part) AS products, (SELECT count(*) FROM lineitem) AS offers, (SELECT count(*) FROM supplier) AS suppliers, count(*) FILTER (kind = 'exact') AS exact, count(*) FILTER (kind = 'substitute') AS substitute, count(*) AS total, 0.0::DOUBLE AS avg_savings FROM links")
@@ -360,7 +427,12 @@ def sliding_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.expr("count(*) over (partition by user_id order by ts range between interval 24 hours preceding and current row)").alias("n"))
 
 
-@query("q_rate_limiter")
+@query("q_rate_limiter", """WITH RECURSIVE hits AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    folded AS (SELECT user_id, event_id, k, true AS allowed, [us] AS held FROM hits WHERE k = 1
+        UNION ALL SELECT h.user_id, h.event_id, h.k, len(list_filter(f.held, lambda x: x > h.us - 3600000000)) < 3,
+            list_concat(list_filter(f.held, lambda x: x > h.us - 3600000000), CASE WHEN len(list_filter(f.held, lambda x: x > h.us - 3600000000)) < 3 THEN [h.us] ELSE []::BIGINT[] END)
+        FROM folded f JOIN hits h ON f.user_id = h.user_id AND h.k = f.k + 1)
+    SELECT user_id::VARCHAR AS key, event_id, allowed FROM folded""")
 def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three hits an hour for each user."""
     return limit_batch(table(spark, sf_dir, "events"), limit=3, window=3600.0, key="user_id").select("key", "event_id", "allowed")

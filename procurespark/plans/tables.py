@@ -35,6 +35,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(
         F.col("l_orderkey").alias("protocol_id"), F.col("l_partkey").alias("product_id"), F.round(1 - F.col("l_discount"), 4).alias("confidence"),
         F.when(F.col("l_discount") <= 0.05, "exact").otherwise("substitute").alias("kind"), (F.col("l_linestatus") == "F").alias("reviewed"),
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("material_name"),
     )
 
 

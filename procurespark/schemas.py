@@ -30,18 +30,24 @@ SUBSTITUTIONS = "id string, order_line_id string, proposed_product_id string, re
 
 #: Natural keys, none of whose rows may repeat unless a part is null.
 UNIQUE_KEYS = {
-    "suppliers": ["name"],
-    "products": ["brand", "mpn"],
-    "offers": ["supplier_id", "supplier_sku"],
-    "equivalences": ["product_id", "equivalent_id"],
-    "protocols": ["source", "source_id"],
-    "links": ["protocol_id", "product_id", "material_name"],
-    "orders": ["tenant_id", "idempotency_key"],
+    "suppliers": [["name"]],
+    "products": [["brand", "mpn"]],
+    "offers": [["supplier_id", "supplier_sku"]],
+    "equivalences": [["product_id", "equivalent_id"]],
+    "protocols": [["source", "source_id"], ["doi"]],
+    "links": [["protocol_id", "product_id", "material_name"]],
+    "orders": [["tenant_id", "idempotency_key"]],
 }
 TIERS = ["public", "authorized", "deep"]
 KINDS = ["exact", "substitute"]
 
 
+def known_tier(tier: str) -> None:
+    """Refuses a tier that there isn't."""
+    if tier not in TIERS:
+        raise ValueError(f"{tier!r} is none of {', '.join(TIERS)}")
+
+
 def conformed(df: DataFrame, schema: str) -> DataFrame:
     """``df`` with the columns of ``schema``: missing ones null, others dropped, types cast."""
     wanted = StructType.fromDDL(schema)

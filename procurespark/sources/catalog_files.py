@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procurespark.functions.text import strip
 from procurespark.schemas import EXTRACTED_PRODUCT
 
 FIELDS = ["supplier_sku", "name", "category", "brand", "mpn", "pack_size", "cost", "currency", "stock", "lead_time_days", "specs"]
 EXTRACTOR_CHARS = 120_000
+DEFAULTS = {"currency": "CNY", "specs": "{}"}
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 
 
@@ -63,14 +65,15 @@ def _sheet_rows(content: bytes) -> list[list[str | None]]:
 
 
 def read_spreadsheet(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the active sheet of each workbook as a map of the header to cached values."""
+    """Rows of the active sheet of each workbook, cached values by header; a column that a workbook lacks takes its default."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
                 rows = _sheet_rows(content)
                 header = [str(h).strip() if h is not None else "" for h in rows[0]] if rows else []
-                yield pd.DataFrame({"cells": [[(h, None if v is None else str(v)) for h, v in zip(header, row, strict=False) if h] for row in rows[1:]]})
+                absent = [(f, v) for f, v in DEFAULTS.items() if f not in header]
+                yield pd.DataFrame({"cells": [[*((h, None if v is None else str(v)) for h, v in zip(header, row, strict=False) if h), *absent] for row in rows[1:]]})
 
     raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "cells array<struct<key:string,value:string>>")
     cells = F.map_from_entries("cells")
@@ -111,21 +114,33 @@ def validated(products: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return products.filter("valid").drop("valid")
 
 
-def extract_documents(spark: SparkSession, path: str, extract: Callable[[str], list[dict]]) -> DataFrame:
+def extract_documents(spark: SparkSession, path: str, extract: Callable[[str], list[dict]], chars: int = EXTRACTOR_CHARS) -> DataFrame:
     """Products from unstructured documents by ``extract``, a client's function from text to records.
 
-    Documents are read whole; the function sees the first EXTRACTOR_CHARS characters, which is
+    Documents are read whole; the function sees the first ``chars`` characters, which is
     the extractor's own limit. Records that don't fit the schema are left out.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for text in frame["value"]:
-                found = [r for r in extract(text[:EXTRACTOR_CHARS]) if r.get("supplier_sku") and r.get("name")]
+                found = [r for r in extract(text[:chars]) if r.get("supplier_sku") and r.get("name")]
                 rows = [{f: (r.get(f) if f != "specs" else {k: str(v) for k, v in (r.get(f) or {}).items()}) for f in FIELDS} | {"currency": r.get("currency", "CNY")} for r in found]
                 yield pd.DataFrame(rows, columns=FIELDS)
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(run, EXTRACTED_PRODUCT)
+    return spark.read.text(path, wholetext=True).mapInPandas(run, EXTRACTED_PRODUCT)
+
+
+def read_eval_products(spark: SparkSession, path: str) -> DataFrame:
+    """Products to evaluate matching with: ``key, category, name, brand, mpn, specs``; other columns are dropped."""
+    raw = read_delimited(spark, path)
+    cell = lambda c: F.nullif(strip(F.col(c)), F.lit(""))
+    return raw.select(strip(F.col("key")).alias("key"), *(cell(c).alias(c) for c in ("category", "name", "brand", "mpn")), F.coalesce(parsed_specs(cell("specs")), F.create_map().cast("map<string,string>")).alias("specs"))
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled pairs: ``a_key, b_key, kind``."""
+    return read_delimited(spark, path).select(*(strip(F.col(c)).alias(c) for c in ("a_key", "b_key", "kind")))
 
 
 def read_catalog(spark: SparkSession, path: str, extract: Callable[[str], list[dict]] | None = None, mode: str = "PERMISSIVE") -> DataFrame:

@@ -55,7 +55,7 @@ def map_nodes(nodes: DataFrame, options: CommerceOptions = CommerceOptions()) ->
     last = lambda pairs: F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))  # noqa: E731  the last of a key holds
     metafield = F.get(F.transform(F.filter(last(F.col("_meta")), lambda p: p["key"] == F.lit(options.mpn_metafield)), lambda p: p["value"]), F.lit(0)) if options.mpn_metafield else F.lit(None).cast("string")
     prefix = f"{options.specs_namespace}."
-    base = F.transform(F.filter(F.col("_meta"), lambda p: F.startswith(p["key"], F.lit(prefix))), lambda p: F.struct(F.substring(p["key"], len(prefix) + 1, 10_000).alias("key"), p["value"].alias("value"))) if options.specs_namespace else blank
+    base = F.transform(F.filter(F.col("_meta"), lambda p: F.startswith(p["key"], F.lit(prefix))), lambda p: F.struct(F.substr(p["key"], F.lit(len(prefix) + 1)).alias("key"), p["value"].alias("value"))) if options.specs_namespace else blank
     chosen = F.coalesce(F.filter(F.transform(F.col("_v.selectedOptions"), lambda o: F.struct(o["name"].alias("key"), o["value"].alias("value"))), lambda p: filled(p["key"]).isNotNull() & filled(p["value"]).isNotNull()), blank)
 
     title, variant = strip(F.coalesce("title", F.lit(""))), strip(F.coalesce("_v.title", F.lit("")))

@@ -69,13 +69,30 @@ def _counter(v: Column, path: str) -> Column:
     return F.when(kind == "BIGINT", _at(v, path, "bigint")).when(F.startswith(kind, F.lit("OBJECT")), summed)
 
 
-def map_protocol_service(details: DataFrame, search_items: DataFrame | None = None, payload: str = "payload") -> DataFrame:
+def _flag(text: Column) -> Column:
+    return F.when(F.lower(text).isin("true", "1"), True).when(text.isNotNull(), False)
+
+
+def item_review(item: Column) -> Column:
+    """What a search item (a variant) says of its reception."""
+    stat = lambda name: _counter(item, f"$.stats.{name}")
+    return F.struct(
+        F.lit(None).cast("long").alias("citations"), F.lit(None).cast("double").alias("rating"), F.lit(None).cast("long").alias("ratings_count"),
+        stat("number_of_views").alias("views"), stat("number_of_votes").alias("votes"), stat("number_of_bookmarks").alias("bookmarks"), stat("number_of_forks").alias("forks"),
+        # A counter of 0 counts as missing where another may stand in.
+        F.coalesce(F.nullif(stat("number_of_protocol_comments"), F.lit(0)), stat("number_of_comments")).alias("comments"),
+        _flag(_at(item, "$.peer_reviewed")).alias("peer_reviewed"),
+    )
+
+
+def map_protocol_service(details: DataFrame, search_items: DataFrame | None = None, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
     """Detail payloads (JSON strings) as protocols; rows whose JSON can't be read are left out.
 
     ``search_items`` (payloads too) lend their peer review flag, which details lack; of several
-    with one id the last by ``position`` holds.
+    with one id the last by ``position`` holds. Columns in ``keep`` come along.
     """
-    parsed = details.select(F.try_parse_json(F.col(payload)).alias("p")).filter(F.col("p").isNotNull())
+    keep = keep or []
+    parsed = details.select(F.try_parse_json(F.col(payload)).alias("p"), *keep).filter(F.col("p").isNotNull())
     if search_items is not None:
         items = search_items.select(F.try_parse_json(F.col(payload)).alias("i"), F.col("position"))
         items = items.select(_at(F.col("i"), "$.id").alias("_item_id"), _at(F.col("i"), "$.peer_reviewed").alias("_item_reviewed"), "position").filter(F.col("_item_id").isNotNull())
@@ -112,16 +129,9 @@ def map_protocol_service(details: DataFrame, search_items: DataFrame | None = No
     people = F.filter(F.transform(F.filter(variants("$.authors"), _is_object), person), lambda n: n != "")
     creator = person(_at(p, "$.creator", "variant"))
     reviewed = F.coalesce(_at(p, "$.peer_reviewed"), F.col("_listed"))
-    flag = F.when(F.lower(reviewed).isin("true", "1"), True).when(reviewed.isNotNull(), False)
-    stat = lambda name: _counter(p, f"$.stats.{name}")
-    review = F.struct(
-        F.lit(None).cast("long").alias("citations"), F.lit(None).cast("double").alias("rating"), F.lit(None).cast("long").alias("ratings_count"),
-        stat("number_of_views").alias("views"), stat("number_of_votes").alias("votes"), stat("number_of_bookmarks").alias("bookmarks"), stat("number_of_forks").alias("forks"),
-        # A counter of 0 counts as missing where another may stand in.
-        F.coalesce(F.nullif(stat("number_of_protocol_comments"), F.lit(0)), stat("number_of_comments")).alias("comments"),
-        flag.alias("peer_reviewed"),
-    )
+    review = item_review(p).withField("peer_reviewed", _flag(reviewed))
     uri = F.coalesce(_at(p, "$.uri"), F.lit(""))
+    kinds = dict(details.dtypes)
     return conformed(
         parsed.select(
             F.lit("protocols.io").alias("source"),
@@ -135,8 +145,9 @@ def map_protocol_service(details: DataFrame, search_items: DataFrame | None = No
             steps.alias("steps"),
             F.when(F.size(stated) > 0, stated).otherwise(listed).alias("materials"),
             review.alias("review"),
+            *keep,
         ),
-        RAW_PROTOCOL,
+        ", ".join([RAW_PROTOCOL, *(f"{c} {kinds[c]}" for c in keep)]),
     )
 
 
@@ -176,6 +187,11 @@ def read_details(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema("id string, version string, payload string").json(f"{root}/details").dropDuplicates(["id", "version"])
 
 
+def write_manifest(manifest: DataFrame, root: str, name: str = "manifest") -> None:
+    """The one row about a run."""
+    manifest.coalesce(1).write.mode("overwrite").json(f"{root}/{name}")
+
+
 def missing_details(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of ``wanted`` whose id and version aren't in the store."""
     return wanted.join(stored.select("id", "version"), ["id", "version"], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,40 @@ def latest_state(events: DataFrame, entity: str = "entity_id", time: str = "occu
     newest = Window.partitionBy(entity).orderBy(F.col(time).desc(), F.col(key).desc())
     kept = events.withColumn("_k", F.row_number().over(once)).filter("_k = 1")
     return kept.withColumn("_k", F.row_number().over(newest)).filter("_k = 1").drop("_k")
+
+
+#: Where an event takes an order; any other pair leaves it as it is.
+ORDER_START = "open"
+ORDER_STEPS = {
+    ("open", "confirmed"): "confirmed",
+    ("open", "submitted"): "pending_approval",
+    ("pending_approval", "confirmed"): "confirmed",
+    ("pending_approval", "cancelled"): "cancelled",
+    ("confirmed", "paid"): "paid",
+    ("confirmed", "cancelled"): "cancelled",
+}
+EXCEPTION_START = "raised"
+EXCEPTION_STEPS = {("raised", "resolved"): "resolved"}
+
+
+def folded_state(events: DataFrame, start: str, steps: dict[tuple[str, str], str], entity: str = "entity_id", event: str = "event", time: str = "occurred_at", key: str = "idempotency_key") -> DataFrame:
+    """``entity, state, refused``: each entity's state after its events in order of time, each key once, and how many events led nowhere.
+
+    An entity has as many events as its life has steps, so they are folded in its row.
+    """
+    once = events.groupBy(key).agg(F.min_by(F.struct(F.col(entity).alias("entity"), F.col(event).alias("event"), F.col(time).alias("at")), time).alias("_e")).select("_e.*", F.col(key).alias("key"))
+    ordered = once.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("at", "key", "event"))).alias("events"))
+    table = F.create_map(*(F.lit(x) for (old, by), new in steps.items() for x in (f"{old}|{by}", new)))
+
+    def step(state: Column, e: Column) -> Column:
+        to = F.try_element_at(table, F.concat_ws("|", state["state"], e["event"]))
+        return F.struct(F.coalesce(to, state["state"]).alias("state"), (state["refused"] + to.isNull().cast("int")).alias("refused"))
+
+    end = F.aggregate("events", F.struct(F.lit(start).alias("state"), F.lit(0).alias("refused")), step)
+    return ordered.select("entity", end.alias("_s")).select("entity", "_s.state", "_s.refused")
+
+
+def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """What has arrived since the last run, appended to ``path``; a weekly job of the same call goes on from there."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()

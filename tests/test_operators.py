@@ -1,5 +1,6 @@
 """Tables, matching, protocols, reads, evaluation and streams."""
 
+import json
 import random
 
 import numpy as np
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from procurespark import schemas
 from procurespark.functions import vectors
 from procurespark.functions.text import canonical_text
-from procurespark.operators import evaluation, knn, matching, reads
+from procurespark.operators import conformance, evaluation, knn, matching, reads
 from procurespark.operators import protocols as corpus
 from procurespark.operators import tables as snapshots
+from procurespark.operators.snapshots import Store, Work, unit_of_work
 from procurespark.streaming import events as idempotent
 from procurespark.streaming import limiter
 
@@ -31,8 +33,9 @@ def test_product_upsert_is_idempotent(spark):
     stored = once.withColumn("embedding_model", F.lit("kept"))
     again = snapshots.upsert_products(stored, items.filter("brand is not null"))
     assert rows_of(again) == rows_of(stored)
-    assert snapshots.duplicates(again, schemas.UNIQUE_KEYS["products"]).count() == 0
-    assert snapshots.upsert_products(stored, items.repartition(3)).count() == 3  # rows without a key are added again
+    assert snapshots.duplicates(again, *schemas.UNIQUE_KEYS["products"]).count() == 0
+    assert rows_of(snapshots.upsert_products(stored, items.repartition(3))) == rows_of(stored)  # the same run once more
+    assert snapshots.upsert_products(stored, items.withColumn("run_id", F.lit("next"))).count() == 3  # rows without a key are added by each run
 
 
 def test_offers_suppliers_edges(spark):
@@ -75,11 +78,13 @@ def test_nearest(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(999, None)], "id long, embedding array<double>").repartition(4)
     want = brute(m, 5)
     assert {(r.query_id, r.id) for r in knn.nearest(df, df, 5, block=70).collect()} == want
-    near = {(r.query_id, r.id) for r in knn.nearest_by_cell(df, 5, n_cells=8, probes=5).collect()}
+    near = {(r.query_id, r.id) for r in knn.nearest_by_cell(df, None, 5, n_cells=8, probes=5, block=20).collect()}
     assert len(near & want) / len(want) >= 0.9
     ties = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(6)], "id long, embedding array<double>")
     assert {(r.query_id, r.id) for r in knn.nearest(ties, ties, 2).collect()} == {(q, i) for q in range(6) for i in [j for j in range(6) if j != q][:2]}
-    assert knn.nearest(df.limit(0), df, 5).count() == 0
+    assert knn.nearest(df.limit(0), df, 5).count() == 0 and knn.nearest(df, df.limit(0), 5).count() == 0
+    some = df.filter(F.col("id") % 100 == 0)
+    assert knn.recall(knn.nearest_by_cell(df, some, 5, n_cells=8), knn.nearest(some, df, 5)).first()[0] >= 0.9
 
 
 EVAL = [
@@ -199,8 +204,9 @@ def test_reads(spark):
     assert reads.protocols_by_material(protocols, links, " / ").count() == 0
     assert [(r.id, r.product_count, r.first_author) for r in reads.list_protocols(protocols, links).collect()] == [("1", 2, None), ("2", 0, None), ("4", 0, None)]
     products = spark.createDataFrame([("p", "c", "P", "B", "M", {"_cost_basis": "x"}), ("q", "c", "Q", None, None, None)], PRODUCT.replace("id long", "id string")).withColumn("created_at", F.lit(0))
-    assert reads.product_protocols(links, protocols.withColumn("source_uri", F.lit("u")), True).count() == 1
-    assert reads.protocol_materials(links, products).count() == 2
+    sourced = protocols.withColumn("source_uri", F.lit("u"))
+    assert [(r.product_id, r.rank, r.protocol_id) for r in reads.product_protocols(products, links, sourced, True).collect()] == [("p", 1, "1"), ("q", None, None)]
+    assert [(r.rank, r.product_id) for r in reads.protocol_materials(sourced.filter("id = '1'"), links, products, limit=1).collect()] == [(1, "p")]
     assert {r.id: r.exists for r in reads.exists(products, spark.createDataFrame([("p",), ("z",)], "id string")).collect()} == {"p": True, "z": False}
     offers = spark.createDataFrame([("o1", "s1", "p", "k1", None, 5.0, "CNY", 1, 1), ("o2", "s1", "p", "k2", None, 4.0, "USD", 1, 1)], schemas.OFFERS.replace("decimal(12,4)", "double"))
     listed = reads.list_products(products, offers, q="p")
@@ -221,6 +227,60 @@ def test_reads(spark):
     assert {r.id: r.url for r in reads.with_urls(items, protocols.withColumn("source_uri", F.lit("u"))).collect()} == {"p": "/search?q=a%20b", "1": "u", "0": None}
 
 
+def test_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), {"t": "a int"})
+    assert store.read("t").count() == 0 and store.versions() == []
+    with unit_of_work(store) as work:
+        assert work.write("t", spark.range(3).select(F.col("id").cast("int").alias("a"))).count() == 3
+        assert work.read("t").count() == 3 and store.read("t").count() == 0
+    with unit_of_work(store, dry_run=True) as work:
+        work.write("t", spark.range(9).select(F.col("id").cast("int").alias("a")))
+    with pytest.raises(KeyError), unit_of_work(store) as work:
+        work.write("t", spark.range(9).select(F.col("id").cast("int").alias("a")))
+        raise KeyError
+    assert store.read("t").count() == 3 and len(list((tmp_path / "store" / "data").iterdir())) == 1
+    one, other = Work(store), Work(store)
+    one.write("t", store.read("t").limit(2))
+    other.write("u", store.read("t").limit(1))
+    assert one.commit() == 2
+    with pytest.raises(Exception, match="exist"):
+        other.commit()
+    assert store.read("t").count() == 2 and store.read("t", 1).count() == 3
+
+
+def test_conformance_and_leaks(spark):
+    rows = [(json.dumps({"a": {"b": [{"cost": 1}]}, "t": 'say "cost": "tier"'}),), (json.dumps({"x": "gid://shopify/P/1", "cost ": 1}),), ("{}",), (None,)]
+    df = spark.createDataFrame(rows, "p string")
+    assert [tuple(r) for r in df.select(conformance.leaked_keys(F.col("p"), ["tier", "cost"]), conformance.is_foreign(F.col("p"))).collect()] == [(["cost"], False), ([], True), ([], False), (None, None)]
+
+
+def test_enrichment_and_backfill_go_on(spark):
+    protocols = spark.createDataFrame([(1, [("Kit", None, "V", None), ("Gel", None, None, None)]), (2, [("Gel", None, None, None)]), (3, [("bad", None, None, None)]), (4, None)], f"id int, materials {schemas.MATERIALS}")
+
+    def classify(names):
+        if "bad" in names:
+            raise RuntimeError
+        return [{"name": n, "role": "reagent", "confidence": 0.9} for n in names]
+
+    made = matching.enrich_materials(protocols, classify)
+    assert {r.id: [m.name for m in r.materials or []] for r in made.collect()} == {1: ["Kit"], 2: ["Gel"], 3: ["bad"], 4: []}
+    assert matching.enrich_counts(made).first() == (4, 4, 2, 3, 1)
+    held = [spark.createDataFrame([(i, f"n{i}", None, None, None) for i in range(7)], "id int, name string, embedding array<double>, embedding_model string, embedding_text_hash string")]
+    turns = []
+
+    def write(df):
+        turns.append(df.filter("embedding is not null").count())
+        if len(turns) == 2:
+            raise InterruptedError
+        held[0] = df
+
+    embed = lambda c: F.array(F.length(c).cast("double"))
+    run = lambda: matching.backfill_in_batches(lambda: held[0], write, "m", embed, lambda: F.col("name"), batch=3)
+    with pytest.raises(InterruptedError):
+        run()
+    assert run() == {"total": 7, "embedded": 4, "skipped": 3} and turns == [3, 6, 6, 7]
+
+
 def plain_limiter(hits, limit, window):
     held, out = {}, []
     for event_id, key, at in sorted(hits, key=lambda h: (h[2], h[0])):
@@ -253,6 +313,9 @@ def test_events(spark, tmp_path):
     rows = [("k1", "e", 1, "new"), ("k1", "e", 1, "new"), ("k2", "e", 3, "paid"), ("k3", "e", 2, "late"), ("k4", "f", 1, "new")]
     df = spark.createDataFrame(rows, "idempotency_key string, entity_id string, t int, state string").withColumn("occurred_at", F.timestamp_seconds("t"))
     assert {r.entity_id: r.state for r in idempotent.latest_state(df).collect()} == {"e": "paid", "f": "new"}
+    life = [("1", "o", 1, "submitted"), ("1", "o", 9, "submitted"), ("2", "o", 3, "confirmed"), ("3", "o", 2, "paid"), ("4", "o", 4, "paid"), ("5", "x", 1, "resolved")]
+    steps = spark.createDataFrame(life, "idempotency_key string, entity_id string, occurred_at int, event string")
+    assert {r.entity: (r.state, r.refused) for r in idempotent.folded_state(steps, idempotent.ORDER_START, idempotent.ORDER_STEPS).collect()} == {"o": ("paid", 1), "x": ("open", 1)}
     df.write.parquet(str(tmp_path / "in"))
     idempotent.once_only(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
     assert spark.table("once").count() == 4
