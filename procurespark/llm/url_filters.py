@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", rang
 
     def deal_urls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = _strings(batch.column("key")) + "\x00" + _strings(batch.column("path")) if len(batch) else np.zeros(0, object)
+            keys = _strings(pa.compute.binary_join_element_wise(batch.column("key"), batch.column("path"), "\x00"))
             lo, hi = np.searchsorted(bounds, keys), np.searchsorted(bounds, keys, side="right")
             to = lo + batch.column("spread").to_numpy() % (hi - lo + 1)
             yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *(batch.column(c) for c in URL)], ["range", *URL])

@@ -298,6 +298,9 @@ def test_url_filters(spark):
     for ranges in (1, 7):
         got = url_filters.filter_urls(pages, rules, ranges=ranges).collect()
         assert Counter(map(tuple, got)) == Counter((i, *verdict_of(u)) for i, u, *_ in rows)
+    one = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://one.example.com/"), F.col("id").cast("string")).alias("url"))
+    spread = url_filters.filter_urls(one, rules, ranges=8).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 800  # one host takes many ranges
     assert url_filters.filter_urls(empty(pages), rules).count() == 0
     assert url_filters.filter_urls(pages, empty(rules)).filter("verdict <> 'allow' or rule is not null").count() == 0
 
