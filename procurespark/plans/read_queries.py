@@ -64,11 +64,11 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.ordered_references(items)
 
 
-@query("q_exists", "SELECT o_custkey AS id, o_custkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) AS \"exists\" FROM (SELECT DISTINCT o_custkey FROM orders)")
+@query("q_exists", "SELECT o_custkey AS id, o_custkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) AS is_there FROM (SELECT DISTINCT o_custkey FROM orders)")
 def exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which ids that orders name are there among even customers."""
     known = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").alias("id"))
-    return reads.exists(known, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct())
+    return reads.exists(known, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct()).withColumnRenamed("exists", "is_there")
 
 
 @query("q_by_material_blank", "SELECT o_orderkey AS id, NULL::VARCHAR AS title FROM orders WHERE false")
@@ -133,7 +133,7 @@ def signed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("event_id", "message", "signature", signatures.valid_signature(carried, "key").alias("valid"))
 
 
-@query("q_leak_scan", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'cost,supplier_sku' WHEN 1 THEN '' ELSE 'cost' END AS leaked, p_partkey % 4 IN (1, 2) AS \"foreign\" FROM part")
+@query("q_leak_scan", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'cost,supplier_sku' WHEN 1 THEN '' ELSE 'cost' END AS leaked, p_partkey % 4 IN (1, 2) AS is_foreign FROM part")
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forbidden keys at any depth of payloads made of parts, and traces of the commerce service."""
     k = F.col("p_partkey")
@@ -141,7 +141,7 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     outer = F.when(k % 4 == 1, F.lit('{"shopify_id": 1}')).when(k % 4 == 2, F.lit('["gid://shopify/Product/1"]')).otherwise(F.lit('{"text": "shopify_id"}'))
     payload = F.concat(F.lit('{"name": '), F.to_json(F.struct("p_name")), F.lit(', "inner": '), inner, F.lit(', "outer": '), outer, F.lit("}"))
     made = table(spark, sf_dir, "part").select(k.alias("id"), payload.alias("payload"))
-    return made.select("id", F.array_join(conformance.leaked_keys(F.col("payload"), ["supplier_sku", "cost", "tier"]), ",").alias("leaked"), conformance.is_foreign(F.col("payload")).alias("foreign"))
+    return made.select("id", F.array_join(conformance.leaked_keys(F.col("payload"), ["supplier_sku", "cost", "tier"]), ",").alias("leaked"), conformance.is_foreign(F.col("payload")).alias("is_foreign"))
 
 
 @query("q_cosine", "SELECT a.vec_id AS id, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 UNION ALL SELECT -1, 0.0")
