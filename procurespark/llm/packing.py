@@ -29,7 +29,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, capacity:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every text.
 
     A sequence longer than ``capacity`` is cut into pieces of it, the first of which
-    takes the remainder; others are one piece. A text without ids gives no piece.
+    takes the remainder; others are one piece. A text without ids gives no piece; a null text
+    is empty; null ids stay null; repeated rows are cut each; other columns are not read; an
+    empty table gives no piece.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +151,15 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
 def place_pieces(pieces: DataFrame, capacity: int, keys: list[str]) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; it is read several times and must not change.
 
-    ``keys`` tell pieces apart; pieces equal in all of them are interchangeable. The counts
+    ``keys`` tell pieces apart; pieces equal in all of them are interchangeable, null keys are
+    equal to each other, other columns come along and no pieces give no rows. The counts
     by length and the plan, of at most a few places for each length, are all that the
     driver holds. Ranks come from counts by length and hash bucket, so no length,
     however common, is ranked in one task.
     """
     spark: SparkSession = pieces.sparkSession
-    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    buckets = max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     counted = salted.groupBy("length", "_bucket").count()
     found = counted.groupBy("length").agg(F.sum("count").alias("n")).collect()  # at most ``capacity`` rows
     counts = np.zeros(capacity + 1, np.int64)

@@ -92,7 +92,11 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``fp``, the fingerprint as a signed long, in place of the text."""
+    """``docs`` with ``fp``, the fingerprint as a signed long, in place of the text.
+
+    A null or blank text has fingerprint zero; other columns but one called ``fp`` come along;
+    repeated rows stay; an empty table gives an empty result.
+    """
     others = [(c, t) for c, t in docs.dtypes if c not in (text_col, "fp")]
     schema = ", ".join(f"`{c}` {t}" for c, t in [*others, ("fp", "long")])
 
@@ -205,7 +209,10 @@ def _fits(fp: np.ndarray, key: np.uint64, k: int) -> np.ndarray:
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """``a, b``: pairs that connect exactly what all links within RADIUS connect; ``distinct`` has each ``fp`` once."""
+    """``a, b``: pairs that connect exactly what all links within RADIUS connect; ``distinct`` has each ``fp`` once.
+
+    Fingerprints without a neighbour give no pair, and no fingerprints no rows.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +248,8 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root``: for each node of the links the smallest node connected with it.
 
     Alternates large-star and small-star steps, which take a logarithmic number of rounds
-    and keep the number of links; each round is written to the shared folder.
+    and keep the number of links; each round is written to the shared folder. Repeated links
+    count once, links of a node to itself count for none, and no links give no rows.
     """
     edges = checkpointed(links.select("a", "b"))
     before = None
