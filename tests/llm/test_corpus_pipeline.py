@@ -92,8 +92,8 @@ def shingles_of(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("held", [40, 300, 1 << 20])
-def test_near_copies_in_groups_beyond_a_task(spark, held):
+@pytest.mark.parametrize(("whole", "held"), [(40, 40), (0, 1 << 20), (1 << 20, 1 << 20)])
+def test_near_copies_in_groups_beyond_a_task(spark, whole, held):
     """Chains of copies of copies, so that most links don't end at a component's first text."""
     rng = np.random.default_rng(21)
     texts = []
@@ -104,7 +104,7 @@ def test_near_copies_in_groups_beyond_a_task(spark, held):
             words[int(rng.integers(len(words)))] = f"n{rng.integers(300)}"
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     roots = components_of([shingles_of(t) for t in texts], alike)
-    got = {r.doc_id for r in near_copies.keep_one_similar(docs, held=held).collect()}
+    got = {r.doc_id for r in near_copies.keep_one_similar(docs, whole=whole, held=held).collect()}
     assert got == set(roots)
 
 
