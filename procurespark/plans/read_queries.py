@@ -48,8 +48,8 @@ def protocol_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protocols(spark, sf_dir).select("id", text.protocol_label(F.col("title"), author).alias("label"))
 
 
-@query("q_with_urls", f"""WITH {PRODUCTS_SQL}, {PROTOCOLS_SQL} SELECT 'product' AS type, id, '/search?q=' || replace(name || ' ~*', ' ', '%20') AS url FROM (SELECT id, replace(name, '*', '*') AS name FROM products)
-    UNION ALL SELECT 'protocol', id, CASE WHEN id % 2 = 0 THEN source_uri END FROM protocols""".replace("replace(name || ' ~*', ' ', '%20')", "replace(name || ' ~', ' ', '%20') || '%2A'"))
+@query("q_with_urls", f"""WITH {PRODUCTS_SQL}, {PROTOCOLS_SQL} SELECT 'product' AS type, id, '/search?q=' || replace(name, ' ', '%20') || '%20~%2A' AS url FROM products
+    UNION ALL SELECT 'protocol', id, CASE WHEN id % 2 = 0 THEN source_uri END FROM protocols""")
 def with_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where references to products and protocols lead."""
     held = protocols(spark, sf_dir).withColumn("source_uri", F.when(F.col("id") % 2 == 0, F.col("source_uri")).otherwise(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +20,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
+
+
+def load() -> None:
+    """Registers the queries of all modules of this package."""
+    for module in ("queries", "read_queries", "ingest_queries", "payload_queries"):
+        import_module(f"procurespark.plans.{module}")

@@ -5,8 +5,9 @@ import math
 import duckdb
 import pytest
 
-from procurespark.plans.catalog import ORACLE_SQL, QUERIES
+from procurespark.plans.registry import ORACLE_SQL, QUERIES, load
 
+load()
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages"]
 

@@ -4,7 +4,6 @@ import json
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from procurespark.sources import catalog_files, commerce, connectors
 from procurespark.sources import protocols as payloads
