@@ -7,11 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from test_corpus_operators import LONG, VOCABULARY, components_of, counts_of, empty, lowered
+from test_corpus_operators import LONG, VOCABULARY, components_of, counts_of, empty, fingerprint_of, lowered
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from procurespark.llm import decontaminate, line_dedup, near_copies, quality, simhash
+from procurespark.llm import decontaminate, licenses, line_dedup, near_copies, quality, simhash
 
 GOOD = " ".join(f"word{i}" for i in range(80))
 #: Columns that operators might use themselves, beside those of documents.
@@ -159,3 +159,49 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_registered_queries_by_hand(spark):
+    """The queries that no SQL expresses, over a whole small table."""
+    from procurespark.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    library = Tokenizer.from_file(VOCABULARY)
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows.items()}
+    read = lambda name, *columns: {r[0]: tuple(r) for r in QUERIES[name](spark, sf).select(*columns).collect()}
+
+    assert read("op8_token_counts", "doc_id", "n_bytes", "n_tokens", "over_limit") == {i: (i, len(t.encode()), len(ids[i]), len(ids[i]) > 512) for i, t in rows.items()}
+    want, start = {}, 0
+    for i in sorted(rows):
+        own = np.array([*ids[i], 2], "<u4")
+        want[i] = (i, start, len(own), zlib.crc32(own.tobytes()))
+        start += len(own)
+    assert read("op2_token_records", "doc_id", "start", "n_tokens", "ids_crc32") == want
+    pieces = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in QUERIES["op6_packing"](spark, sf).collect())
+    cut = Counter()
+    for i in rows:
+        own = np.array([*ids[i], 2], "<u4")
+        ends = [0, *range(len(own) % 1024 or 1024, len(own) + 1, 1024)]
+        cut.update((i, k, a, b - a, zlib.crc32(own[a:b].tobytes())) for k, (a, b) in enumerate(zip(ends, ends[1:])))
+    assert pieces == cut
+
+    order = sorted(rows)
+    prints = [fingerprint_of(rows[i]) for i in order]
+    roots = components_of(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    assert read("op9_simhash", "doc_id", "fingerprint", "component_id") == {i: (i, f"{p:016x}", order[r]) for i, p, r in zip(order, prints, roots)}
+
+    for i, (_, n_words, n_base, first, last, labels) in read("op10_licenses", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").items():
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered(rows[i]))
+        places = [(k, label) for phrase, label in licenses.BASE_PHRASES for p in [phrase.split()] for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
+        starts = [k for k, _ in places]
+        assert (n_words, n_base, first, last, labels) == (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})))
+
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    found = {(r.doc_id, r.item_id) for r in QUERIES["op1_decontamination"](spark, sf).collect()}
+    plain = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t.lower()).strip()
+    texts = {i: plain(t) for i, t in rows.items()}
+    verbatim = {(i, k) for k, item in items.items() for i, t in texts.items() if plain(item) in t}
+    assert verbatim <= found
+    words = {i: set(t.split()) for i, t in texts.items()}
+    assert all(len(words[i] & set(plain(items[k]).split())) * 2 > len(set(plain(items[k]).split())) for i, k in found)  # what is found shares most of its words
