@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from procurespark.llm.decontaminate import find_leaks
+from procurespark.llm.lexical_search import SEARCH_SQL, search
 from procurespark.llm.licenses import scan_licenses
 from procurespark.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from procurespark.llm.packing import pack_tokens
+from procurespark.llm.prefix_trie import NODES, TRIE_SQL, conversation_trie
 from procurespark.llm.quality import QUALITY_SQL, quality_digest
 from procurespark.llm.secrets import SECRETS_SQL, secret_digest
 from procurespark.llm.simhash import simhash_components
@@ -81,6 +83,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt on the first of their blocks of five."""
+    return conversation_trie(_table(spark, sf_dir, "conversations")).select(*NODES)
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each benchmark item."""
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_records": op2_token_records,
@@ -92,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_licenses": op10_licenses,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_search": op13_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": LINE_DEDUP_SQL,
     "op5_quality": QUALITY_SQL,
     "op7_url_filter": URL_FILTER_SQL,
+    "op11_prefix_trie": TRIE_SQL,
+    "op13_search": SEARCH_SQL,
 }
