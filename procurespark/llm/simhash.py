@@ -121,16 +121,19 @@ def _variants(fp: np.ndarray) -> np.ndarray:
 
 
 def _joined(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Smallest label over what links ``a``-``b`` connect, from labels that each name a member."""
+    """Smallest label over what links ``a``-``b`` connect, from labels that each name a member labelled by itself.
+
+    Only such members are hung on others, so what labels connected stays so.
+    """
     while True:
-        low = np.minimum(label[a], label[b])
+        of_a, of_b = label[a], label[b]
+        low = np.minimum(of_a, of_b)
         new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
+        np.minimum.at(new, of_a, low)
+        np.minimum.at(new, of_b, low)
+        while not np.array_equal(new, further := new[new]):
+            new = further
+        if np.array_equal(new, label):
             return label
         label = new
 
@@ -244,29 +247,29 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node but the smallest of its component has one edge, to that smallest."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR down = 1 AND up = 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root``: for each node of the links the smallest node connected with it.
 
     Alternates large-star and small-star steps, which take a logarithmic number of rounds
-    and keep the number of links; each round is written to the shared folder. Repeated links
-    count once, links of a node to itself count for none, and no links give no rows.
+    and keep the number of links; each round is written to the shared folder. Both sides of
+    each join are written down first, so that it shuffles both and a node of very many links can
+    be split. Repeated links count once, links of a node to itself count for none, and no links give no rows.
     """
-    edges = checkpointed(links.select("a", "b"))
-    before = None
-    while True:
+    edges = checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Written down, so that the join shuffles both its sides and a node of very many links can be split.
         least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         larger = both.filter(F.col("b") > F.col("a")).join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = larger.filter(F.col("a") != F.col("b")).distinct()
-        down = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
+        down = checkpointed(larger.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        lowest = checkpointed(down.groupBy("a").agg(F.min("b").alias("m")))
+        moved = down.join(lowest.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         edges = checkpointed(moved.union(lowest.select("a", F.col("m").alias("b"))).distinct())
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == before:
-            break
-        before = state
     own = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(own)
 
@@ -289,11 +292,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each; other columns are not read; an empty table gives an empty result.
     """
     made = checkpointed(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
-    rooted = fingerprint_roots(made)
+    rooted = checkpointed(fingerprint_roots(made))
     # Ids are brought down to one for each fingerprint before fingerprints meet by root.
     lowest = made.groupBy("fp").agg(F.min("doc_id").alias("first")).join(rooted, "fp")
-    named = lowest.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = checkpointed(rooted.join(named, "root").select("fp", "component_id"))
+    # Written down, so that a component of very many fingerprints can be split.
+    named = checkpointed(lowest.groupBy("root").agg(F.min("first").alias("component_id")))
+    of_fp = checkpointed(rooted.join(named.hint("merge"), "root").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return made.join(of_fp.hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
@@ -315,18 +319,3 @@ def rows_picked(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str)
     keyed = docs.withColumn(f"{own}id", name).withColumn(f"{own}row", row)
     met = keyed.join(picked.select(F.col("id").alias(f"{own}id"), F.col("row").alias(f"{own}row")).hint("merge"), [f"{own}id", f"{own}row"], "left_semi")
     return met.dropDuplicates([f"{own}id", f"{own}row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of ``simhash_components``: that of the smallest id, with all its columns.
-
-    Null and blank texts are copies of each other. Of rows with the smallest id the text's
-    hash decides and repeated rows count as one; a component of null ids only keeps one of
-    them; other columns, of whatever name, come back as they are; an empty table gives an
-    empty result.
-    """
-    name, row = row_key(id_col, text_col)
-    made = checkpointed(fingerprints(docs.select(name.alias("id"), row.alias("row"), F.col(text_col).alias("text"))))
-    lowest = made.groupBy("fp").agg(F.min(row_order()).alias("first")).join(fingerprint_roots(made), "fp")
-    picked = lowest.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.row")
-    return rows_picked(docs, picked, id_col, text_col)

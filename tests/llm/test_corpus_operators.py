@@ -335,9 +335,18 @@ def test_simhash(odd):
     want = Counter((row[0], f"{fp:016x}", lowest[r]) for row, fp, r in zip(ODD, prints, roots))
     assert Counter(map(tuple, simhash.simhash_components(odd).collect())) == want
     assert simhash.simhash_components(empty(odd)).count() == 0
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(lowest.values())
+
+
+def test_labels_stay_connected_whatever_links_are_added():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        n = int(rng.integers(2, 40))
+        a, b = rng.integers(0, n, (2, int(rng.integers(1, 60))))
+        label = np.arange(n)
+        for part in np.array_split(np.arange(len(a)), 3):
+            label = simhash._joined(n, a[part], b[part], label)
+        pairs = {(int(x), int(y)) for x, y in zip(a, b)}
+        assert label.tolist() == components_of(range(n), lambda x, y: (x, y) in pairs or (y, x) in pairs)
 
 
 def test_links_of_close_fingerprints(spark):
@@ -568,3 +577,13 @@ def test_sql_agrees(spark, name):
     mine = QUERIES[name](spark, sf)
     theirs = con.sql(f"SELECT {', '.join(mine.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert Counter(map(tuple, mine.collect())) == Counter(map(tuple, theirs))
+
+
+def test_secrets_of_a_text_of_very_many_matches(spark):
+    """Time follows the number of matches, not its square."""
+    value = "0123456789abcdef" * 2
+    text = " é ".join([value] * 50_000 + ["token: short", "token=longenough1"])
+    row = secrets.scan_secrets(spark.createDataFrame([(1, text, "a"), (2, "secret: no", "a")], "doc_id long, text string, source string")).orderBy("doc_id").collect()
+    assert [(r.n_assign, r.n_hex, r.n_live) for r in row] == [(1, 50_000, 50_001), (0, 0, 0)]
+    spans = row[0].base.split(",")
+    assert spans[:2] == ["hex:0:32", "hex:35:67"] and spans[-1] == f"assign:{len(text) - 17}:{len(text)}" and len(spans) == 50_001
