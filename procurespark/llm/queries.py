@@ -11,6 +11,7 @@ from procurespark.llm.decontaminate import find_leaks
 from procurespark.llm.lexical_search import SEARCH_SQL, search
 from procurespark.llm.licenses import scan_licenses
 from procurespark.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
+from procurespark.llm.near_copies import NEAR_SQL, near_components
 from procurespark.llm.packing import pack_tokens
 from procurespark.llm.prefix_trie import NODES, TRIE_SQL, conversation_trie
 from procurespark.llm.quality import QUALITY_SQL, quality_digest
@@ -88,6 +89,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_table(spark, sf_dir, "conversations")).select(*NODES)
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at 0.8 of their four-word shingles."""
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of all documents for each benchmark item."""
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_licenses": op10_licenses,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_minhash": op12_minhash,
     "op13_search": op13_search,
 }
 
@@ -114,5 +121,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality": QUALITY_SQL,
     "op7_url_filter": URL_FILTER_SQL,
     "op11_prefix_trie": TRIE_SQL,
+    "op12_minhash": NEAR_SQL,
     "op13_search": SEARCH_SQL,
 }

@@ -10,7 +10,7 @@ would report many examples alone; their spans are added only where ownership say
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procurespark.storage import checkpointed
@@ -23,42 +23,26 @@ BASE_KINDS = [
 ]
 ADDED_KINDS = [
     ("bearer", r"(?i)bearer\x20+([A-Za-z0-9._~+/=-]{16,})", 1, 16),
-    ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:([^\s/:@]{6,})@", 1, 6),  # a longer scheme counts from its last 16 characters
+    ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:([^\s/:@]{6,})@", 1, 6),
     ("provider", r"(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 0, 14),
     ("signed", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
 ]
 KINDS = [k for k, *_ in BASE_KINDS + ADDED_KINDS]
 
-SPAN = "struct<start:bigint,rank:int,stop:bigint,value:string>"
+MATCH = "array<struct<rank:int,k:int,gap:bigint,size:bigint,value:string>>"
 
 
-def _matches(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of all leftmost non-overlapping matches whose value is long enough.
-
-    The pieces between matches and the matches themselves alternate, so positions
-    are sums of their lengths in code points.
-    """
+def _matches(text: Column, rank: int, pattern: str, group: int) -> Column:
+    """All leftmost non-overlapping matches: each one's number, value and length, and that of what stands before it, in code points."""
     pattern_col = F.lit(pattern)
     found = F.regexp_extract_all(text, pattern_col, F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, pattern_col, F.lit(group))
-    pairs = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long")).alias("gap"),
-        F.transform(found, lambda x: F.length(x).cast("long")).alias("size"),
-        values.alias("value"),
-    )
-    none = F.array().cast(f"array<{SPAN}>")
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        stop = start + F.coalesce(x["size"], F.lit(0).cast("long"))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), x["value"].alias("value"))
-        spans = F.when(F.length(x["value"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(stop.alias("at"), spans.cast(f"array<{SPAN}>").alias("spans"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-    # Most texts have no match; for them only the search is done.
-    return F.when(F.rlike(text, pattern_col), F.aggregate(pairs, zero, step, lambda s: s["spans"])).otherwise(none)
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"), values.alias("value"))
+    one = F.transform(pairs, lambda x, k: F.struct(F.lit(rank).alias("rank"), k.alias("k"), F.length(x["gap"]).cast("long").alias("gap"), F.length(x["found"]).cast("long").alias("size"), x["value"].alias("value")))
+    none = F.array().cast(MATCH)
+    # Most texts have no match; for them only the search is done. What follows the last match is no match.
+    return F.when(F.rlike(text, pattern_col), F.filter(one, lambda x: x["size"].isNotNull()).cast(MATCH)).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -67,10 +51,6 @@ def _joined(spans: Column) -> Column:
     return F.array_join(one, ",")
 
 
-def _of_kind(rank: int) -> Column:
-    return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
-
-
 def scan_secrets(docs: DataFrame, max_owners: int = 1, max_repositories: int = 5, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None) -> DataFrame:
     """A row for each row of ``docs`` with its secrets and what ownership says of them.
 
@@ -78,11 +58,12 @@ def scan_secrets(docs: DataFrame, max_owners: int = 1, max_repositories: int = 5
     kind:start:end in code points by start, then kind as listed, the latter with the added
     kinds that are live; ``n_live`` and ``n_example`` count all candidates by verdict: live
     with at most ``max_owners`` owners and, where ``repository_col`` names a column, at most
-    ``max_repositories`` repositories, else example.
+    ``max_repositories`` repositories, else example. The span of a URL with a password begins at most 16
+    characters before its ``://``, however long the scheme.
 
     A null text is empty; null owners count together with empty ones as one owner; repeated rows come back each with the same result;
     columns not named are not read, so their names can't clash; an empty table gives an
-    empty result.
+    empty result. Time and memory follow the length of a text and the number of its matches.
     """
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -90,37 +71,42 @@ def scan_secrets(docs: DataFrame, max_owners: int = 1, max_repositories: int = 5
         F.coalesce(F.col(repository_col).cast("string") if repository_col else F.lit(""), F.lit("")).alias("repository"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    text = F.col("text")
-    base = F.concat(*(_matches(text, k, p, g, n) for k, (_, p, g, n) in enumerate(BASE_KINDS)))
-    added = F.concat(*(_matches(text, k + len(BASE_KINDS), p, g, n) for k, (_, p, g, n) in enumerate(ADDED_KINDS)))
-    # The texts are searched once; spans are few and go to the shared folder.
-    found = checkpointed(source.select("doc_id", "owner", "repository", F.xxhash64("text").alias("row"), base.alias("base"), added.alias("added")))
-
-    hashed = found.filter((F.size("base") > 0) | (F.size("added") > 0)).select("doc_id", "row", "owner", "repository", F.explode(F.concat("base", "added")).alias("span"))
-    hashed = hashed.select("doc_id", "row", "owner", "repository", "span", F.sha2(F.col("span.value"), 256).alias("digest"))
+    all_kinds = BASE_KINDS + ADDED_KINDS
+    matches = F.concat(*(_matches(F.col("text"), rank, pattern, group) for rank, (_, pattern, group, _) in enumerate(all_kinds)))
+    # The texts are searched once; matches are few and go to the shared folder, with a number for each row.
+    found = checkpointed(source.select("doc_id", "owner", "repository", F.monotonically_increasing_id().alias("row"), matches.alias("matches")))
+
+    least = F.array(*(F.lit(n) for *_, n in all_kinds))
+    each = found.select("row", "doc_id", "owner", "repository", F.explode("matches").alias("m")).select(
+        "row", "doc_id", "owner", "repository", "m.rank", "m.k", "m.gap", "m.size", (F.length("m.value") >= F.get(least, F.col("m.rank"))).alias("long_enough"), F.sha2("m.value", 256).alias("digest")
+    )
+    # Places are running sums over a text's matches.
+    so_far = Window.partitionBy("row", "rank").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stop = F.sum(F.col("gap") + F.col("size")).over(so_far)
+    placed = checkpointed(each.withColumn("stop", stop).filter("long_enough").select("row", "doc_id", "owner", "repository", "rank", (F.col("stop") - F.col("size")).alias("start"), "stop", "digest"))
+
     # Each step combines before its shuffle and has the hash's owners and repositories spread
     # over tasks, so a value that a third of all rows hold is counted piece by piece.
-    held = hashed.select("digest", "owner", "repository").distinct()
+    held = placed.select("digest", "owner", "repository").distinct()
     by_owner = held.groupBy("digest", "owner").agg(F.count("*").alias("n"))
     ownership = by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
     # Written down, so that the join shuffles both its sides and a frequent value's rows can be split.
     ownership = checkpointed(ownership)
-    judged = hashed.join(ownership.hint("merge"), "digest").select(
-        "doc_id", "row", "span", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live")
-    )
-    of_row = judged.groupBy("doc_id", "row").agg(
-        F.collect_set(F.when(F.col("live") & (F.col("span.rank") >= len(BASE_KINDS)), F.col("span"))).alias("shown"),
-        F.collect_set(F.when(F.col("live"), F.struct("span.start", "span.rank"))).alias("live"),
-        F.collect_set(F.when(~F.col("live"), F.struct("span.start", "span.rank"))).alias("example"),
-    )
-    of_row = of_row.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "shown", F.size("live").cast("long").alias("n_live"), F.size("example").cast("long").alias("n_example"))
-    whole = found.join(of_row, found["doc_id"].eqNullSafe(of_row["_id"]) & (found["row"] == of_row["_row"]), "left")
-    count = [_of_kind(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE_KINDS)]
-    shown = F.concat(F.col("base"), F.coalesce("shown", F.array().cast(f"array<{SPAN}>")))
-    return whole.select(
-        "doc_id", *count, _joined(F.col("base")).alias("base"), _joined(shown).alias("spans"),
-        F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"), F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example"),
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    judged = placed.join(ownership.hint("merge"), "digest").select("row", "doc_id", "rank", F.struct("start", "rank", "stop").alias("span"), live.alias("live"))
+    is_base = F.col("rank") < len(BASE_KINDS)
+    of_row = judged.groupBy("row", "doc_id").agg(
+        *(F.count_if(F.col("rank") == k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE_KINDS)),
+        F.collect_list(F.when(is_base, F.col("span"))).alias("base"), F.collect_list(F.when(is_base | F.col("live"), F.col("span"))).alias("spans"),
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"),
     )
+    columns = ["doc_id", *(f"n_{kind}" for kind, *_ in BASE_KINDS), "base", "spans", "n_live", "n_example"]
+    some = of_row.withColumns({"base": _joined(F.col("base")), "spans": _joined(F.col("spans"))}).select("row", *columns)
+    # Most rows have no match at all; of a few all are too short.
+    few = found.filter(F.size("matches") > 0).select("doc_id", "row").join(some.select("row"), "row", "left_anti")
+    none = found.filter(F.size("matches") == 0).select("doc_id", "row").unionByName(few)
+    empty = {c: F.lit("") if c in ("base", "spans") else F.lit(0).cast("long") for c in columns[1:]}
+    return some.select(columns).unionByName(none.select("doc_id", *(v.alias(c) for c, v in empty.items())))
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:

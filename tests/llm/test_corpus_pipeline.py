@@ -11,7 +11,7 @@ from test_corpus_operators import LONG, VOCABULARY, components_of, counts_of, em
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from procurespark.llm import decontaminate, licenses, line_dedup, near_copies, quality, simhash
+from procurespark.llm import decontaminate, licenses, line_dedup, near_copies, quality
 
 GOOD = " ".join(f"word{i}" for i in range(80))
 #: Columns that operators might use themselves, beside those of documents.
@@ -29,7 +29,7 @@ def held_by(df):
     return Counter(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("keep", [quality.keep_good, simhash.keep_one, near_copies.keep_one_similar])
+@pytest.mark.parametrize("keep", [quality.keep_good, near_copies.keep_one_similar])
 def test_rows_come_back_as_they_are(awkward, keep):
     kept = keep(awkward)
     assert kept.dtypes == awkward.dtypes
@@ -92,8 +92,8 @@ def shingles_of(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize(("whole", "held"), [(40, 40), (0, 1 << 20), (1 << 20, 1 << 20)])
-def test_near_copies_in_groups_beyond_a_task(spark, whole, held):
+@pytest.mark.parametrize(("held_texts", "held"), [(3, 400), (1 << 14, 1 << 20)])
+def test_near_copies_in_groups_beyond_a_task(spark, held_texts, held):
     """Chains of copies of copies, so that most links don't end at a component's first text."""
     rng = np.random.default_rng(21)
     texts = []
@@ -104,7 +104,7 @@ def test_near_copies_in_groups_beyond_a_task(spark, whole, held):
             words[int(rng.integers(len(words)))] = f"n{rng.integers(300)}"
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     roots = components_of([shingles_of(t) for t in texts], alike)
-    got = {r.doc_id for r in near_copies.keep_one_similar(docs, whole=whole, held=held).collect()}
+    got = {r.doc_id for r in near_copies.keep_one_similar(docs, held_texts=held_texts, held=held).collect()}
     assert got == set(roots)
 
 
