@@ -12,7 +12,8 @@ LICENSES = ["CC0", "CC-BY", "CC-BY-SA", "CC-BY-NC", "CC-BY-NC-SA", "CC-BY-NC-ND"
 #: Fixed patterns: keys and values of the commerce service that may not be given out.
 FOREIGN_KEYS = "^(admin_graphql_api_id|shopify_.*|myshopify_domain)$"
 FOREIGN_VALUES = "gid://shopify/"
-_STRING = r'"((?:[^"\\]|\\.)*)"(\s*:)?'
+#: What stands for an escaped backslash and an escaped quote while strings are cut out; neither may stand in JSON as it is.
+_BACKSLASH, _QUOTE = "\x02", "\x01"
 
 
 def violations(protocols: DataFrame) -> DataFrame:
@@ -29,20 +30,38 @@ def violations(protocols: DataFrame) -> DataFrame:
 
 
 def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows of ``after`` that ``before`` lacks; none after a repeated run."""
-    return after.exceptAll(before)
+    """Rows that only one of two tables has, as often as it has them more than the other, with ``change``: added or lost.
+
+    None after a repeated run. One pass: rows are counted by their values, with a sign for their table.
+    """
+    shown = F.to_json(F.struct(*(F.col(f"`{c}`") for c in before.columns)), {"ignoreNullFields": "false"})
+    sided = lambda df, sign: df.select(*(F.col(f"`{c}`") for c in before.columns)).withColumns({"_row": shown, "_sign": F.lit(sign)})
+    counted = sided(before, -1).unionByName(sided(after, 1)).groupBy("_row").agg(F.sum("_sign").alias("_n"), *(F.any_value(F.col(f"`{c}`")).alias(c) for c in before.columns)).filter("_n <> 0")
+    change = F.when(F.col("_n") > 0, "added").otherwise("lost").alias("change")
+    return counted.select(*(F.col(f"`{c}`") for c in before.columns), change, F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int"))).alias("_k")).drop("_k")
+
+
+def _strings(payload: Column) -> Column:
+    """``text, key`` of all strings of a JSON text, at any depth and of any length: what they say, and whether they are keys.
+
+    Once escaped backslashes and quotes stand aside, quotes only begin and end strings, so the text is cut there.
+    """
+    pieces = F.split(F.replace(F.replace(payload, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE)), '"', -1)
+    texts, rest = F.filter(pieces, lambda _, i: i % 2 == 1), F.filter(pieces, lambda _, i: i % 2 == 0)
+    written = lambda t: F.replace(F.replace(t, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    said = lambda t: F.when(F.rlike(t, F.lit(f"[\\\\{_BACKSLASH}{_QUOTE}]")), F.coalesce(F.get_json_object(F.concat(F.lit('["'), written(t), F.lit('"]')), "$[0]"), written(t))).otherwise(t)
+    pairs = F.arrays_zip(texts.alias("text"), F.slice(rest, 2, F.size(rest)).alias("after"))
+    return F.transform(F.filter(pairs, lambda p: p["text"].isNotNull()), lambda p: F.struct(said(p["text"]).alias("text"), F.coalesce(F.rlike(p["after"], F.lit(r"^\s*:")), F.lit(False)).alias("key")))
 
 
 def json_keys(payload: Column) -> Column:
-    """All object keys in a JSON text, at any depth."""
-    pairs = F.arrays_zip(F.regexp_extract_all(payload, F.lit(_STRING), F.lit(1)).alias("text"), F.regexp_extract_all(payload, F.lit(_STRING), F.lit(2)).alias("colon"))
-    return F.array_distinct(F.transform(F.filter(pairs, lambda p: p["colon"] != ""), lambda p: p["text"]))
+    """All object keys in a JSON text, at any depth, without escapes."""
+    return F.array_distinct(F.transform(F.filter(_strings(payload), lambda s: s["key"]), lambda s: s["text"]))
 
 
 def json_values(payload: Column) -> Column:
-    """All strings in a JSON text that aren't keys, as they are written there."""
-    pairs = F.arrays_zip(F.regexp_extract_all(payload, F.lit(_STRING), F.lit(1)).alias("text"), F.regexp_extract_all(payload, F.lit(_STRING), F.lit(2)).alias("colon"))
-    return F.transform(F.filter(pairs, lambda p: p["colon"] == ""), lambda p: p["text"])
+    """All strings in a JSON text that aren't keys, without escapes."""
+    return F.transform(F.filter(_strings(payload), lambda s: ~s["key"]), lambda s: s["text"])
 
 
 def leaked_keys(payload: Column, forbidden: list[str]) -> Column:

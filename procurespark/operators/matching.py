@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from procurespark.functions.scoring import MATERIAL_THRESHOLDS, PRODUCT_THRESHOL
 from procurespark.functions.text import filled, looks_like_kit, strip
 from procurespark.functions.vectors import hash_embedding, is_stale
 from procurespark.operators.knn import nearest
+from procurespark.operators.snapshots import Store, bucket_of, unit_of_work
 from procurespark.schemas import MATERIALS
 
 METHOD = "vector+rules"
@@ -122,25 +123,32 @@ def backfill(products: DataFrame, model: str, embed: Callable, text: Callable, o
     }).drop("_stale")
 
 
-def backfill_in_batches(work_on: Callable[[], DataFrame], write: Callable[[DataFrame], None], model: str, embed: Callable, text: Callable, batch: int = 100_000, pause: Callable[[], None] | None = None) -> dict[str, int]:
-    """Embeds stale products ``batch`` at a time, each written before the next begins, so an interrupted run goes on where it ended.
+def backfill_store(store: Store, name: str, model: str, embed: Callable, text: Callable, batch: int = 100_000, pause: Callable[[], None] | None = None) -> dict[str, int]:
+    """Embeds the stale rows of a table kept in buckets, about ``batch`` at a time, each batch a version of its own.
 
-    ``work_on`` reads the stored products, ``write`` puts a new snapshot into force, ``pause`` waits
-    between batches where the embedder wants that. Returns total, embedded and skipped.
+    One pass counts what is stale in each bucket; a batch then reads and writes only its own buckets (a
+    bucket with more stale rows than ``batch`` is one batch), and buckets without any are not touched. An
+    interrupted run goes on where it ended. ``pause`` waits between batches where the embedder wants that.
+    Returns total, embedded, skipped and rewritten (rows written).
     """
-    stale = lambda df: df.filter(is_stale(F.col("embedding_model"), F.col("embedding_text_hash"), model, text()))
-    total, left = work_on().count(), stale(work_on()).count()
-    embedded = 0
-    while embedded < left:
-        if embedded and pause:
+    entry = store.manifest()[name]
+    stale = is_stale(F.col("embedding_model"), F.col("embedding_text_hash"), model, text())
+    counted = store.read(name).groupBy(bucket_of(entry["key"], entry["n"]).alias("bucket")).agg(F.count("*").alias("rows"), F.count_if(stale).alias("stale"))
+    counts = sorted(map(tuple, counted.collect()))  # a row for each bucket at most
+    batches: list[list[tuple]] = []
+    for own in counts:
+        if own[2]:
+            if not batches or sum(s for *_, s in batches[-1]) + own[2] > batch:
+                batches.append([])
+            batches[-1].append(own)
+    for k, own in enumerate(batches):
+        if k and pause:
             pause()
-        stored = work_on()
-        turn = stale(stored).select("id").orderBy("id").limit(batch).withColumn("_turn", F.lit(True))
-        met = stored.join(turn, "id", "left")
-        done = backfill(met.filter("_turn"), model, embed, text).drop("_turn")
-        write(done.unionByName(met.filter(F.col("_turn").isNull()).drop("_turn")).select(*stored.columns))
-        embedded += min(batch, left - embedded)
-    return {"total": total, "embedded": embedded, "skipped": total - embedded}
+        buckets = [b for b, *_ in own]
+        with unit_of_work(store) as work:
+            work.write_buckets(name, backfill(work.read(name, buckets), model, embed, text), entry["key"], entry["n"], buckets)
+    total, embedded = sum(n for _, n, _ in counts), sum(s for *_, s in counts)
+    return {"total": total, "embedded": embedded, "skipped": total - embedded, "rewritten": sum(n for own in batches for _, n, _ in own)}
 
 
 def enrich_materials(protocols: DataFrame, classify: Callable[[list[str]], list[dict]] | None = None, least: float = 0.5) -> DataFrame:
@@ -149,6 +157,7 @@ def enrich_materials(protocols: DataFrame, classify: Callable[[list[str]], list[
     Materials that name a vendor or catalog number classify by themselves; others go to
     ``classify``, a client's function from names to records of name, amount, role and
     confidence, in batches of the rows' partitions. Where it fails the materials stay as they are.
+    Each row comes back once, whatever its id.
     """
     told = F.exists("materials", lambda m: filled(m["vendor"]).isNotNull() | filled(m["catalog_no"]).isNotNull())
     rows = protocols.withColumn("_told", F.coalesce(told, F.lit(False))).withColumn("materials_in", F.size(F.coalesce("materials", F.array().cast(MATERIALS))))
@@ -159,24 +168,25 @@ def enrich_materials(protocols: DataFrame, classify: Callable[[list[str]], list[
     if classify is None:
         rest = loose.withColumns({"llm_call": F.lit(False), "error": F.lit(False)}).withColumn("materials", F.array().cast(MATERIALS))
     else:
-        kept = "array<struct<name:string,amount:string,role:string,confidence:double>>"
-
-        def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                out, failed = [], []
-                for names in frame["names"]:
-                    try:
-                        out.append([{k: r.get(k) for k in ("name", "amount", "role", "confidence")} for r in classify(list(names))])
-                        failed.append(False)
-                    except Exception:  # one protocol's failure must not end the run
-                        out.append([])
-                        failed.append(True)
-                yield pd.DataFrame({"id": frame["id"], "_said": out, "error": failed})
-
-        said = loose.select("id", F.transform(F.coalesce("materials", F.array().cast(MATERIALS)), lambda m: m["name"]).alias("names")).mapInPandas(asked, f"id {dict(protocols.dtypes)['id']}, _said {kept}, error boolean")
+        record = "struct<said:array<struct<name:string,amount:string,role:string,confidence:double>>,error:boolean>"
+
+        def asked(names: pd.Series) -> pd.DataFrame:
+            out, failed = [], []
+            for own in names:
+                try:
+                    out.append([{k: r.get(k) for k in ("name", "amount", "role", "confidence")} for r in classify(list(own))])
+                    failed.append(False)
+                except Exception:  # one protocol's failure must not end the run
+                    out.append([])
+                    failed.append(True)
+            return pd.DataFrame({"said": out, "error": failed})
+
+        # A column of its row, so ids may be null or repeated; asked once, as calls aren't free.
+        ask = F.pandas_udf(asked, record).asNondeterministic()
+        said = loose.withColumn("_said", ask(F.transform(F.coalesce("materials", F.array().cast(MATERIALS)), lambda m: m["name"])))
         none = F.lit(None).cast("string")
-        made = F.transform(F.filter("_said", lambda m: F.coalesce(orderable(m), F.lit(False))), lambda m: F.struct(m["name"].alias("name"), m["amount"].alias("amount"), none.alias("vendor"), none.alias("catalog_no")))
-        rest = loose.join(said, "id").withColumn("llm_call", F.lit(True)).withColumn("materials", F.when(F.col("error"), F.col("materials")).otherwise(made.cast(MATERIALS))).drop("_said")
+        made = F.transform(F.filter("_said.said", lambda m: F.coalesce(orderable(m), F.lit(False))), lambda m: F.struct(m["name"].alias("name"), m["amount"].alias("amount"), none.alias("vendor"), none.alias("catalog_no")))
+        rest = said.withColumns({"llm_call": F.lit(True), "error": F.col("_said.error")}).withColumn("materials", F.when(F.col("error"), F.col("materials")).otherwise(made.cast(MATERIALS))).drop("_said")
     both = sure.unionByName(rest).drop("_told")
     return both.withColumn("materials_out", F.when(F.col("error"), F.lit(0)).otherwise(F.size("materials")))
 

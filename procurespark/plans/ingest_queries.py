@@ -13,7 +13,7 @@ from procurespark.functions import vectors
 from procurespark.operators import evaluation, ingest, matching
 from procurespark.operators import tables as snapshots
 from procurespark.operators.snapshots import Store, unit_of_work
-from procurespark.plans.queries import LINKS_SQL, PRODUCTS_SQL
+from procurespark.plans.queries import LINKS_SQL, PRODUCTS_SQL, SCORED_SQL, vector_products
 from procurespark.plans.registry import query
 from procurespark.plans.tables import links, products, table
 from procurespark.sources import catalog_files, commerce
@@ -127,18 +127,18 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark, new_path(spark, "stores"), STORED)
     for dry in (False, False, True):
         with unit_of_work(store, dry) as work:
-            ingest.ingest(work, _extracted(spark, sf_dir), "Supplier", "CN", "public", "run-1" if not dry else "run-2")
+            ingest.ingest(work, _extracted(spark, sf_dir), "Supplier", "CN", "public", "run-1" if not dry else "run-2", buckets=8)
     counted = store.read("offers").groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias("n_offers"))
     return store.read("products").join(counted, "id").select("brand", "mpn", "name", "category", "n_offers")
 
 
-@query("q_ingest_report", "SELECT count(*) AS extracted, count(*) AS products_upserted, count(*) AS offers_upserted, 0 AS equivalences_written, 1 AS suppliers, 2 AS versions FROM part")
+@query("q_ingest_report", f"WITH {PRODUCTS_SQL} SELECT count(*) AS extracted, count(*) AS products_upserted, count(*) AS offers_upserted, count(DISTINCT CASE WHEN mpn IS NULL THEN id::VARCHAR ELSE brand || '|' || mpn END) AS products_to_match, 0 AS equivalences_written, 1 AS suppliers, 2 AS versions FROM products")
 def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of a second run, which count items whatever they changed, and what the store then holds."""
     store = Store(spark, new_path(spark, "stores"), STORED)
     for _ in range(2):
         with unit_of_work(store) as work:
-            report = ingest.ingest(work, _extracted(spark, sf_dir), "Supplier", "CN", "public", "run-1")
+            report = ingest.ingest(work, _extracted(spark, sf_dir), "Supplier", "CN", "public", "run-1", buckets=8)
     suppliers = store.read("suppliers").agg(F.count("*").alias("suppliers"))
     return report.crossJoin(suppliers).withColumn("versions", F.lit(len(store.versions())).cast("long"))  # one row each
 
@@ -230,20 +230,78 @@ def embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", F.size("embedding").alias("dimensions"), stale.alias("stale"))
 
 
-@query("q_backfill", f"WITH {PRODUCTS_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 1 ELSE 1024 END AS dimensions, 'hashing-1024' AS embedding_model, sha256(brand || ' | ' || name || ' | ' || category || ' | line=' || line || ' | size=' || size) AS embedding_text_hash FROM products")
+@query("q_backfill", f"""WITH {PRODUCTS_SQL}, b AS (SELECT *, ('0x' || left(md5(id::VARCHAR), 8))::BIGINT % 32 AS bucket FROM products), n AS (SELECT count(*) AS rewritten FROM b WHERE bucket IN (SELECT bucket FROM b WHERE id % 400 = 1))
+    SELECT id, CASE WHEN id % 400 = 1 THEN 1024 ELSE 1 END AS dimensions, 'hashing-1024' AS embedding_model, sha256(brand || ' | ' || name || ' | ' || category || ' | line=' || line || ' | size=' || size) AS embedding_text_hash, rewritten FROM products, n""")
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stale vectors made again batch by batch, each batch a snapshot of its own."""
+    """A few stale vectors made again in batches, each a version of its own, and how many rows that wrote: those of their buckets alone."""
     store = Store(spark, new_path(spark, "stores"))
-    held = _stored(spark, sf_dir)
+    shown, old = ingest.product_text(), F.array(F.lit(1.0)).cast("array<double>")
+    digest = F.sha2(F.when(F.col("id") % 400 == 1, "old").otherwise(shown), 256)
+    held = products(spark, sf_dir).withColumns({"embedding": old, "embedding_model": F.lit(vectors.HASH_MODEL), "embedding_text_hash": digest})
+    with unit_of_work(store) as work:
+        work.write_buckets("products", held, "id", 32)
+    done = matching.backfill_store(store, "products", vectors.HASH_MODEL, vectors.hash_embedding, ingest.product_text, batch=2)
+    return store.read("products").select("id", F.size("embedding").alias("dimensions"), "embedding_model", "embedding_text_hash", F.lit(done["rewritten"]).cast("long").alias("rewritten"))
+
+
+def _digits(c: Column) -> Column:
+    """A vector of eight numbers from a text's hash."""
+    return F.array(*(F.conv(F.substring(F.sha2(c, 256), 2 * k + 1, 2), 16, 10).cast("double") for k in range(8)))
+
+
+_EDGES_SQL = """pairs AS (SELECT a.text AS a_text, b.text AS b_text, 1 - list_cosine_similarity(a.v, b.v) AS distance, (a.category = b.category)::INT AS same, ((a.line = b.line)::INT + (a.size = b.size)::INT) / 2.0::DOUBLE AS agreement,
+        row_number() OVER (PARTITION BY a.id ORDER BY 1 - list_cosine_similarity(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id),
+    scored AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - distance) + 0.05::DOUBLE * same + 0.1::DOUBLE * agreement) AS confidence FROM pairs WHERE rank <= 20)"""
 
-    def write(df: DataFrame) -> None:
-        with unit_of_work(store) as work:
-            work.write("products", df)
 
-    write(held)
-    stale = held.filter(F.col("id") % 3 != 0).count()
-    matching.backfill_in_batches(lambda: store.read("products"), write, vectors.HASH_MODEL, vectors.hash_embedding, ingest.product_text, batch=-(-stale // 3))
-    return store.read("products").select("id", F.size("embedding").alias("dimensions"), "embedding_model", "embedding_text_hash")
+@query("q_ingest_match", f"""WITH {PRODUCTS_SQL}, c AS (SELECT id, name, brand, mpn, trim(regexp_replace(category, '[^a-z0-9]+', '_', 'g'), '_') AS category, line, size FROM products),
+    last AS (SELECT * FROM c QUALIFY mpn IS NULL OR row_number() OVER (PARTITION BY brand, mpn ORDER BY id DESC) = 1), t AS (SELECT *, brand || ' | ' || name || ' | ' || category || ' | line=' || line || ' | size=' || size AS text FROM last),
+    e AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(sha256(text), 2 * k + 1, 2))::INT::DOUBLE) AS v FROM t), {_EDGES_SQL}
+    SELECT a_text, b_text, round(confidence, 4) AS confidence, CASE WHEN confidence >= 0.92 THEN 'exact' ELSE 'substitute' END AS kind FROM scored WHERE confidence >= 0.80""")
+def ingest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts ingested and matched in one unit of work: the edges that the store then holds, by the texts of their products."""
+    store = Store(spark, new_path(spark, "stores"), STORED)
+    with unit_of_work(store) as work:
+        ingest.ingest(work, _extracted(spark, sf_dir), "Supplier", "CN", "public", "run-1", match=True, embed=_digits, buckets=8)
+    text = store.read("products").select("id", ingest.product_text().alias("text"))
+    a, b = (text.select(F.col("id").alias(key), F.col("text").alias(shown)) for key, shown in (("product_id", "a_text"), ("equivalent_id", "b_text")))
+    return store.read("equivalences").join(a, "product_id").join(b, "equivalent_id").select("a_text", "b_text", F.round("confidence", 4).alias("confidence"), "kind")
+
+
+def _vector_store(spark: SparkSession, sf_dir: str) -> Store:
+    store = Store(spark, new_path(spark, "stores"), STORED)
+    with unit_of_work(store) as work:
+        work.write_buckets("products", vector_products(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id"), "id", 16)
+    return store
+
+
+def _gold(passes: bool, spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0.99, "exact"), (0.99, "exact" if passes else "none"), (0.1, "none")], "confidence double, gold string")
+
+
+@query("q_rebuild_store", f"WITH {SCORED_SQL} SELECT query_id AS product_id, id AS equivalent_id, round(confidence, 4) AS confidence, CASE WHEN confidence >= 0.92 THEN 'exact' ELSE 'substitute' END AS kind, false AS reviewed, 2 AS version FROM scored WHERE confidence >= 0.80")
+def rebuild_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges in the store after a rebuild that the gate lets pass, and after one that it doesn't and that leaves all as it is."""
+    store = _vector_store(spark, sf_dir)
+    with unit_of_work(store) as work:
+        ingest.rebuild_store(work, _gold(True, spark), buckets=8)
+    with unit_of_work(store) as work:
+        ingest.rebuild_store(work, _gold(False, spark), buckets=8)
+    return store.read("equivalences", 2).unionByName(store.read("equivalences")).distinct().select("product_id", "equivalent_id", F.round("confidence", 4).alias("confidence"), "kind", "reviewed", F.lit(2).cast("long").alias("version"))
+
+
+@query("q_rebuild_delta", f"WITH {SCORED_SQL.replace('FROM embeddings a JOIN embeddings b', 'FROM moved a JOIN moved b').replace('pairs AS', 'moved AS (SELECT vec_id, label, CASE WHEN vec_id % 100 = 7 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings), pairs AS', 1)} SELECT query_id AS product_id, id AS equivalent_id, round(confidence, 4) AS confidence, CASE WHEN confidence >= 0.92 THEN 'exact' ELSE 'substitute' END AS kind FROM scored WHERE confidence >= 0.80")
+def rebuild_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges after one vector in a hundred changed, made again only where that reaches; the SQL makes all anew."""
+    store = _vector_store(spark, sf_dir)
+    with unit_of_work(store) as work:
+        ingest.rebuild_store(work, _gold(True, spark), buckets=8)
+    moved = F.col("id") % 100 == 7
+    with unit_of_work(store) as work:
+        changed = work.read("products").filter(moved)
+        work.merge("products", changed, lambda held, new: held.withColumn("embedding", F.when(moved, F.reverse("embedding")).otherwise(F.col("embedding"))))
+        ingest.rebuild_store(work, _gold(True, spark), changed.select("id"), buckets=8)
+    return store.read("equivalences").select("product_id", "equivalent_id", F.round("confidence", 4).alias("confidence"), "kind")
 
 
 @query("q_gold_pairs", "SELECT a.p_partkey AS id, a.p_name AS a_name, b.p_brand AS b_brand, a.p_size::VARCHAR AS size, CASE WHEN a.p_size = b.p_size THEN 'exact' ELSE 'none' END AS kind FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")

@@ -230,12 +230,16 @@ def conformance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformance.violations(spoilt).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("q_rerun_changes", "SELECT 0 AS n")
+@query("q_rerun_changes", f"""WITH {FIRST_SQL}, changes AS (SELECT 'lost' AS change, o_orderkey FROM first WHERE o_orderkey % 7 < 2 UNION ALL SELECT 'added', o_orderkey FROM first WHERE o_orderkey % 7 IN (1, 2))
+    SELECT change, o_orderkey::VARCHAR AS source_id FROM changes""")
 def rerun_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that a repeated run of all protocols changes: none."""
+    """Rows that a repeated run of all protocols changes (none), and those that one changes which loses some, alters some and doubles some."""
     new = _raw_protocols(spark, sf_dir)
     once = corpus.upsert_protocols(spark.createDataFrame([], schemas.PROTOCOLS), new)
-    return conformance.changed_rows(once, corpus.upsert_protocols(once, new)).agg(F.count("*").alias("n"))
+    k = F.col("source_id").cast("long") % 7
+    spoilt = once.filter(k != 0).withColumn("title", F.when(k == 1, "another").otherwise(F.col("title")))
+    again = conformance.changed_rows(once, corpus.upsert_protocols(once, new))
+    return again.unionByName(conformance.changed_rows(once, spoilt.unionByName(spoilt.filter(k == 2)))).select("change", "source_id")
 
 
 @query("q_shortlist", """WITH latest AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey % 10, l_orderkey ORDER BY l_linenumber DESC, l_partkey, l_suppkey) = 1)
@@ -314,17 +318,17 @@ def procurement_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("event_id").alias("id"), F.col("event_type").alias("role"))
 
 
-@query("q_enrich", """WITH m AS (SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS told, o_orderkey % 3 <> 0 AND o_orderpriority = '5-LOW' AS failed, o_orderpriority FROM orders)
+@query("q_enrich", """WITH m AS (SELECT CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey // 4 END AS id, o_orderkey % 3 = 0 AS told, o_orderkey % 3 <> 0 AND o_orderpriority = '5-LOW' AS failed, o_orderpriority FROM orders)
     SELECT id, CASE WHEN told THEN 'Taq KIT|Buffer' WHEN failed THEN '5-LOW|centrifuge|maybe' ELSE o_orderpriority END AS materials, CASE WHEN failed THEN 0 WHEN told THEN 2 ELSE 1 END AS materials_out, NOT told AS llm_call, failed AS error FROM m""")
 def enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Materials of all orders made ready for a purchase; a client classifies what names no vendor, and fails at some."""
+    """Materials of all orders made ready for a purchase, under ids that repeat or are missing; a client classifies what names no vendor, and fails at some."""
 
     def classify(names: list[str]) -> list[dict]:
         if names[0] == "5-LOW":
             raise RuntimeError("no answer")
         return [{"name": n, "role": "equipment" if n == "centrifuge" else "reagent", "confidence": 0.2 if n == "maybe" else 0.9} for n in names]
 
-    made = matching.enrich_materials(_materials(spark, sf_dir), classify)
+    made = matching.enrich_materials(_materials(spark, sf_dir).withColumn("id", F.when(F.col("id") % 5 > 0, F.floor(F.col("id") / 4))), classify)
     return made.select("id", F.array_join(F.transform("materials", lambda m: m["name"]), "|").alias("materials"), "materials_out", "llm_call", "error")
 
 

@@ -118,7 +118,7 @@ SCORED_SQL = f"""{KNN_SQL}, v AS (SELECT vec_id AS id, 'c' || (vec_id % 4) AS ca
         FROM near n JOIN v a ON n.query_id = a.id JOIN v b ON n.id = b.id)"""
 
 
-def _vector_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lambda letter, n: F.concat(F.lit(letter), (F.col("vec_id") % n).cast("string"))
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), cut("c", 4).alias("category"), F.lit("v").alias("name"), cut("b", 5).alias("brand"), cut("m", 7).alias("mpn"),
@@ -128,7 +128,7 @@ def _vector_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_equivalence_edges", f"WITH {SCORED_SQL} SELECT query_id AS product_id, id AS equivalent_id, round(confidence, 4) AS confidence, CASE WHEN confidence >= 0.92 THEN 'exact' ELSE 'substitute' END AS kind, 'vector+rules' AS method FROM scored WHERE confidence >= 0.80")
 def equivalence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = matching.equivalences(_neighbours(spark, sf_dir), _vector_products(spark, sf_dir))
+    edges = matching.equivalences(_neighbours(spark, sf_dir), vector_products(spark, sf_dir))
     return edges.withColumn("confidence", F.round("confidence", 4))
 
 
@@ -333,7 +333,7 @@ GOLD_SQL = f"""{SCORED_SQL}, pairs2 AS (SELECT s.confidence, CASE WHEN a.label =
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbour pairs with their confidence; gold says equal labels are alike."""
-    view = _vector_products(spark, sf_dir)
+    view = vector_products(spark, sf_dir)
     scored = matching.scored_pairs(_neighbours(spark, sf_dir), view, view)
     same = lambda k: F.try_element_at("a.specs", F.lit(k)) == F.try_element_at("b.specs", F.lit(k))
     return scored.select("confidence", F.when(same("label") & same("part"), "exact").when(same("label"), "substitute").otherwise("none").alias("gold"))
@@ -365,7 +365,7 @@ RATE_SQL = "rate AS (SELECT (SELECT count(DISTINCT query_id) FILTER (confidence
 @query("q_sample_exact_rate", f"WITH {SCORED_SQL}, {RATE_SQL} SELECT round(sample_exact_rate, 6) AS sample_exact_rate FROM rate")
 def sample_exact_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of products with an exact candidate, with all products as the sample."""
-    found = matching.sample_exact_rate(_neighbours(spark, sf_dir), _vector_products(spark, sf_dir), sample=None)
+    found = matching.sample_exact_rate(_neighbours(spark, sf_dir), vector_products(spark, sf_dir), sample=None)
     return found.select(F.round("sample_exact_rate", 6).alias("sample_exact_rate"))
 
 
@@ -376,14 +376,14 @@ VERDICT_SQL = f"""{GOLD_SQL}, {RATE_SQL}, p AS (SELECT gold, CASE WHEN confidenc
 @query("q_gate", f"WITH {VERDICT_SQL} SELECT reasons, reasons = '' AS passed FROM verdict")
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why the edges of these neighbours may not be taken over, from their accuracy and their share of exact ones."""
-    _, verdict = rebuild(_vector_products(spark, sf_dir), _neighbours(spark, sf_dir), _gold(spark, sf_dir))
+    _, verdict = rebuild(vector_products(spark, sf_dir), _neighbours(spark, sf_dir), _gold(spark, sf_dir))
     return verdict.select(F.array_join("reasons", ",").alias("reasons"), "passed")
 
 
 @query("q_rebuild", f"WITH {VERDICT_SQL} SELECT query_id AS product_id, id AS equivalent_id, round(confidence, 4) AS confidence, CASE WHEN confidence >= 0.92 THEN 'exact' ELSE 'substitute' END AS kind, reasons FROM scored, verdict WHERE confidence >= 0.80")
 def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges made anew beside the gate's reasons."""
-    edges, verdict = rebuild(_vector_products(spark, sf_dir), _neighbours(spark, sf_dir), _gold(spark, sf_dir))
+    edges, verdict = rebuild(vector_products(spark, sf_dir), _neighbours(spark, sf_dir), _gold(spark, sf_dir))
     beside = edges.crossJoin(verdict.select(F.array_join("reasons", ",").alias("reasons")))  # one row beside each
     return beside.select("product_id", "equivalent_id", F.round("confidence", 4).alias("confidence"), "kind", "reasons")
 

@@ -133,13 +133,19 @@ def signed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("event_id", "message", "signature", signatures.valid_signature(carried, "key").alias("valid"))
 
 
-@query("q_leak_scan", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'cost,supplier_sku' WHEN 1 THEN '' ELSE 'cost' END AS leaked, p_partkey % 4 IN (1, 2) AS is_foreign FROM part")
+@query("q_leak_scan", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'cost,supplier_sku' WHEN 1 THEN '' WHEN 2 THEN 'cost' ELSE 'cost,tier' END AS leaked, p_partkey % 5 IN (1, 2, 3) AS is_foreign FROM part")
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forbidden keys at any depth of payloads made of parts, and traces of the commerce service."""
+    """Forbidden keys at any depth of payloads made of parts, escaped ones and beside long strings too, and traces of the commerce service."""
     k = F.col("p_partkey")
-    inner = F.when(k % 3 == 0, F.lit('{"offers": [{"cost": 1, "supplier_sku": "cost\\": x"}]}')).when(k % 3 == 1, F.lit('{"note": "the \\"cost\\": none", "x": ["cost"]}')).otherwise(F.lit('{"a": {"b": [[{"cost" : null}]]}}'))
-    outer = F.when(k % 4 == 1, F.lit('{"shopify_id": 1}')).when(k % 4 == 2, F.lit('["gid://shopify/Product/1"]')).otherwise(F.lit('{"text": "shopify_id"}'))
-    payload = F.concat(F.lit('{"name": '), F.to_json(F.struct("p_name")), F.lit(', "inner": '), inner, F.lit(', "outer": '), outer, F.lit("}"))
+    inner = (
+        F.when(k % 4 == 0, F.lit('{"offers": [{"cost": 1, "supplier_sku": "cost\\": x"}]}')).when(k % 4 == 1, F.lit('{"note": "the \\"cost\\": none", "x\\\\": ["cost"]}'))
+        .when(k % 4 == 2, F.lit('{"a": {"b": [[{"cost" : null}]]}}')).otherwise(F.lit('{"c\\u006fst": 1, "a\\\\\\"": [{"ti\\u0065r": "\\\\"}]}'))
+    )
+    outer = (
+        F.when(k % 5 == 1, F.lit('{"shopify_id": 1}')).when(k % 5 == 2, F.lit('["gid://shopify/Product/1"]')).when(k % 5 == 3, F.lit('["gid:\\/\\/shopify\\/Product\\/1"]')).otherwise(F.lit('{"text": "shopify_id"}'))
+    )
+    long = F.when(k % 10 == 0, F.repeat(F.lit('\\"cost\\": \\n '), 2000)).otherwise("")
+    payload = F.concat(F.lit('{"name": '), F.to_json(F.struct("p_name")), F.lit(', "long": "'), long, F.lit('", "inner": '), inner, F.lit(', "outer": '), outer, F.lit("}"))
     made = table(spark, sf_dir, "part").select(k.alias("id"), payload.alias("payload"))
     return made.select("id", F.array_join(conformance.leaked_keys(F.col("payload"), ["supplier_sku", "cost", "tier"]), ",").alias("leaked"), conformance.is_foreign(F.col("payload")).alias("is_foreign"))
 

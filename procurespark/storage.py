@@ -69,3 +69,38 @@ def create_file(spark: SparkSession, path: str, content: bytes) -> None:
         out.write(bytearray(content))
     finally:
         out.close()
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """A small file's content."""
+    files, at = _at(spark, path)
+    held = files.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(held))
+    finally:
+        held.close()
+
+
+def age_of(spark: SparkSession, path: str) -> float:
+    """When a file or folder was last changed, in seconds since 1970."""
+    files, at = _at(spark, path)
+    return files.getFileStatus(at).getModificationTime() / 1000
+
+
+def publish(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes a small file that is there whole or not at all; fails if there is one of its name.
+
+    It is written under another name beside its place and renamed, which stores with an atomic rename do only where
+    the name is free.
+    """
+    folder, _, name = path.rpartition("/")
+    aside = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    create_file(spark, aside, content)
+    jvm = spark._jvm
+    try:
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI(path.replace(" ", "%20")), spark._jsc.hadoopConfiguration())
+        options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+        files.rename(jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path), options)
+    finally:
+        remove(spark, aside)

@@ -1,5 +1,6 @@
 """Tables, matching, protocols, reads, evaluation and streams."""
 
+import hashlib
 import json
 import random
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from procurespark import schemas
 from procurespark.functions import vectors
 from procurespark.functions.text import canonical_text
-from procurespark.operators import conformance, evaluation, knn, matching, reads
+from procurespark.operators import conformance, evaluation, ingest, knn, matching, reads
 from procurespark.operators import protocols as corpus
 from procurespark.operators import tables as snapshots
 from procurespark.operators.snapshots import Store, Work, unit_of_work
@@ -246,15 +247,95 @@ def test_store(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):
         other.commit()
     assert store.read("t").count() == 2 and store.read("t", 1).count() == 3
+    manifests = tmp_path / "store" / "manifests"
+    (manifests / "00000003.json").write_text('{"tables": {"t"')
+    (manifests / "00000004.json").write_text("")
+    assert store.versions() == [1, 2] and store.read("t").count() == 2
+    with pytest.raises(ValueError, match="can't be read"):
+        store.read("t", 3)
+    with unit_of_work(store) as work:
+        work.write("t", spark.range(7).select(F.col("id").cast("int").alias("a")))
+    assert store.newest() == 5 and store.read("t").count() == 7
+    left = Work(store)  # killed before its commit
+    left.write("t", spark.range(1).select(F.col("id").cast("int").alias("a")))
+    assert store.vacuum(keep=2, grace=3600) == 0 and store.versions() == [2, 5]
+    assert store.vacuum(keep=1, grace=0) > 0 and store.numbers() == [5]
+    assert store.read("t").count() == 7 and len(list((tmp_path / "store" / "data").iterdir())) == 1
+
+
+def test_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), {"b": "id long, v string"})
+    put = lambda old, new: old.join(new, "id", "left_anti").unionByName(new)
+    rows = lambda a, b, v: spark.range(a, b).select("id", F.lit(v).alias("v"))
+    with unit_of_work(store) as work:
+        assert work.merge("b", rows(0, 200, "x"), put, "id", 16) == list(range(16))
+    before = store.manifest()["b"]["folders"]
+    with unit_of_work(store) as work:
+        touched = work.merge("b", rows(199, 201, "y"), put)
+        assert work.merge("b", rows(0, 0, "z"), put) == []
+    after = store.manifest()["b"]["folders"]
+    assert 1 <= len(touched) <= 2 and {k for k in before if before[k] != after[k]} == set(map(str, touched))
+    assert {r.id: r.v for r in store.read("b").collect()} == {i: "y" if i > 198 else "x" for i in range(201)}
+    with unit_of_work(store) as work:  # a bucket that becomes empty is gone
+        work.merge("b", rows(0, 201, "-"), lambda old, new: old.limit(0))
+    assert store.read("b").count() == 0 and store.read("b", 2).count() == 201
+    with unit_of_work(store) as work:
+        work.write("plain", rows(0, 3, "x"))
+        work.merge("plain", rows(2, 4, "y"), put, "id", 4)
+    assert sorted((r.id, r.v) for r in store.read("plain").collect()) == [(0, "x"), (1, "x"), (2, "y"), (3, "y")]
+    store.vacuum(1, 0)
+    assert store.read("plain").count() == 4 and store.read("b").count() == 0
+
+
+def test_lists_of_neighbours_follow_changes(spark):
+    rng = np.random.default_rng(3)
+    held = {f"p{k:03d}": rng.normal(size=4).tolist() for k in range(120)}
+    frame = lambda h: spark.createDataFrame(list(h.items()), "id string, embedding array<double>")
+    lists = ingest.neighbour_lists(frame(held), 8)
+    new = {k: v for k, v in held.items() if k != "p005"} | {"p007": rng.normal(size=4).tolist(), "p200": held["p009"], "p050": None}
+    changed = spark.createDataFrame([("p005",), ("p007",), ("p200",), ("p050",)], "id string")
+    got = ingest.refreshed(lists, frame(new), changed, 4, 8).filter("rank <= 4")
+    want = ingest.near(frame(new), frame(new), 4)
+    shown = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.distance, 9)) for r in df.collect())
+    assert shown(got) == shown(want)
+
+
+def test_ingest_reads_its_catalog_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    schema = schemas.EXTRACTED_PRODUCT + ", position long"
+    rows = [(f"s{k}", f"n{k}", "c", "b", f"m{k % 4}", None, 1.0, "CNY", None, None, None, k) for k in range(10)]
+    extracted = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    store = Store(spark, str(tmp_path / "store"), {"suppliers": schemas.SUPPLIERS, "products": schemas.PRODUCTS, "offers": schemas.OFFERS, "equivalences": schemas.EQUIVALENCES})
+    with unit_of_work(store) as work:
+        report = ingest.ingest(work, extracted, "S", "CN", "public", "r", match=True, buckets=2)
+    assert seen.value == 10 and report.first()[:4] == (10, 10, 10, 4)
+    assert store.read("products").count() == 4 and store.read("equivalences").count() == report.first().equivalences_written
 
 
 def test_conformance_and_leaks(spark):
-    rows = [(json.dumps({"a": {"b": [{"cost": 1}]}, "t": 'say "cost": "tier"'}),), (json.dumps({"x": "gid://shopify/P/1", "cost ": 1}),), ("{}",), (None,)]
-    df = spark.createDataFrame(rows, "p string")
-    assert [tuple(r) for r in df.select(conformance.leaked_keys(F.col("p"), ["tier", "cost"]), conformance.is_foreign(F.col("p"))).collect()] == [(["cost"], False), ([], True), ([], False), (None, None)]
-
-
-def test_enrichment_and_backfill_go_on(spark):
+    deep = 1
+    for _ in range(600):
+        deep = {"a": [deep]}
+    rows = {
+        json.dumps({"a": {"b": [{"cost": 1}]}, "t": 'say "cost": "tier"'}): (["cost"], False), json.dumps({"x": "gid://shopify/P/1", "cost ": 1}): ([], True), "{}": ([], False), None: (None, None),
+        json.dumps({"x": "y" * 1_000_000, "cost": 1}): (["cost"], False), '{"c\\u006fst":1}': (["cost"], False), json.dumps({"x": '"cost": \n' * 100_000, "tier": ""}): (["tier"], False),
+        '{"a\\\\": "cost", "b\\"": "gid:\\/\\/shopify/x"}': ([], True), '["cost"]': ([], False), json.dumps({"cost": deep}): (["cost"], False), '{"broken": "cost': ([], False),
+    }
+    df = spark.createDataFrame([(r,) for r in rows], "p string")
+    assert [tuple(r) for r in df.select(conformance.leaked_keys(F.col("p"), ["tier", "cost"]), conformance.is_foreign(F.col("p"))).collect()] == list(rows.values())
+    before = spark.createDataFrame([(1, {"x": "1"}), (1, {"x": "1"}), (2, None), (None, None)], "a int, b map<string,string>")
+    after = spark.createDataFrame([(1, {"x": "1"}), (2, None), (3, None), (3, None)], "a int, b map<string,string>")
+    assert sorted((str(r.a), r.change) for r in conformance.changed_rows(before, after).collect()) == [("1", "lost"), ("3", "added"), ("3", "added"), ("None", "lost")]
+    assert conformance.changed_rows(before, before).count() == 0
+
+
+def test_enrichment(spark):
     protocols = spark.createDataFrame([(1, [("Kit", None, "V", None), ("Gel", None, None, None)]), (2, [("Gel", None, None, None)]), (3, [("bad", None, None, None)]), (4, None)], f"id int, materials {schemas.MATERIALS}")
 
     def classify(names):
@@ -265,20 +346,31 @@ def test_enrichment_and_backfill_go_on(spark):
     made = matching.enrich_materials(protocols, classify)
     assert {r.id: [m.name for m in r.materials or []] for r in made.collect()} == {1: ["Kit"], 2: ["Gel"], 3: ["bad"], 4: []}
     assert matching.enrich_counts(made).first() == (4, 4, 2, 3, 1)
-    held = [spark.createDataFrame([(i, f"n{i}", None, None, None) for i in range(7)], "id int, name string, embedding array<double>, embedding_model string, embedding_text_hash string")]
-    turns = []
+    odd = spark.createDataFrame([(1, [("Gel", None, None, None)]), (1, [("Gel", None, None, None)]), (None, [("Gel", None, None, None)]), (None, [("Kit", None, "V", None)])], f"id int, materials {schemas.MATERIALS}")
+    assert sorted(str(r.id) for r in matching.enrich_materials(odd, classify).collect()) == ["1", "1", "None", "None"]
+
 
-    def write(df):
-        turns.append(df.filter("embedding is not null").count())
+def test_backfill_goes_on_and_writes_its_buckets_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    held = spark.createDataFrame([(i, f"n{i}", None, "m" if i % 10 else None, hashlib.sha256(f"n{i}".encode()).hexdigest()) for i in range(100)], "id int, name string, embedding array<double>, embedding_model string, embedding_text_hash string").withColumn("embedding", F.array(F.lit(0.0)))
+    with unit_of_work(store) as work:
+        work.write_buckets("products", held, "id", 64)
+    embed, turns = (lambda c: F.array(F.length(c).cast("double"))), []
+
+    def pause():
+        turns.append(1)
         if len(turns) == 2:
             raise InterruptedError
-        held[0] = df
 
-    embed = lambda c: F.array(F.length(c).cast("double"))
-    run = lambda: matching.backfill_in_batches(lambda: held[0], write, "m", embed, lambda: F.col("name"), batch=3)
+    run = lambda: matching.backfill_store(store, "products", "m", embed, lambda: F.col("name"), batch=3, pause=pause)
     with pytest.raises(InterruptedError):
         run()
-    assert run() == {"total": 7, "embedded": 4, "skipped": 3} and turns == [3, 6, 6, 7]
+    left = store.read("products").filter("embedding_model is null").count()
+    assert 0 < left < 10 and store.versions() == [1, 2, 3]
+    done = run()
+    assert done["embedded"] == left and done["total"] == 100 and left <= done["rewritten"] < 40
+    assert store.read("products").filter("embedding_model is null").count() == 0 and run()["rewritten"] == 0
+    assert {r.id: r.embedding for r in store.read("products").collect()} == {i: [0.0] if i % 10 else [float(len(f"n{i}"))] for i in range(100)}
 
 
 def plain_limiter(hits, limit, window):
