@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procurespark.functions import scoring, text, vectors
-from procurespark.operators import evaluation, knn, matching, reads
+from procurespark.operators import evaluation, knn, matching, reads, vector_index
 from procurespark.operators import protocols as corpus
 from procurespark.operators import tables as snapshots
 from procurespark.operators.ingest import rebuild
 from procurespark.plans.registry import query
 from procurespark.plans.tables import links, offers, products, protocols, table
 from procurespark.sources.catalog_files import parsed_specs
+from procurespark.storage import new_path
 from procurespark.streaming.limiter import limit_batch
 
 PRODUCTS_SQL = """products AS (SELECT p_partkey AS id, lower(p_type) AS category, p_name AS name, p_brand AS brand,
@@ -388,6 +389,17 @@ def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beside.select("product_id", "equivalent_id", F.round("confidence", 4).alias("confidence"), "kind", "reasons")
 
 
+@query("q_vector_index")
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by the coded index over all vectors, for ids divisible by 100; of each query 50 vectors are compared as they are. Tests hold its recall."""
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    model, path = vector_index.fit(held), new_path(spark, "vector-index")
+    if model is None:
+        return vector_index.search(held, None, held, held)
+    vector_index.coded(held, model).write.partitionBy("cell").parquet(path)
+    return vector_index.search(spark.read.parquet(path), model, held, held.filter(F.col("id") % 100 == 0))
+
+
 @query("q_knn_cells", "SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, true AS recall_at_least_90 FROM embeddings")
 def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cell index over all vectors, its recall measured by ids divisible by 100 against all vectors."""
