@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from procurespark.functions.text import BLANK_CLASS
 
@@ -30,45 +35,43 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[{BLANK_CLASS}]+"), lambda t: t != "")
 
 
-def token_slot(token: Column) -> Column:
-    """A token's place: its SHA-1 modulo 1024, for which the last three hex digits are enough."""
-    return F.pmod(F.conv(F.right(F.sha1(token), F.lit(3)), 16, 10).cast("int"), F.lit(DIMENSIONS))
+def _slots(tokens: pa.Array) -> np.ndarray:
+    """Each token's place: its SHA-1 modulo DIMENSIONS, taken once for each different token."""
+    coded = tokens.dictionary_encode()
+    known = np.array([((d := hashlib.sha1(t.encode()).digest())[-2] << 8 | d[-1]) % DIMENSIONS for t in coded.dictionary.to_pylist()], np.int64)
+    return known[coded.indices.to_numpy(zero_copy_only=False)] if len(tokens) else np.zeros(0, np.int64)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it is used in lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def slot_weights(text: Column) -> Column:
-    """Slots of a text's tokens in order with their weights: counts scaled to length 1.
-
-    Tokens are sorted once and counted by the ends of their runs, so long texts take no more
-    than that.
-    """
-
-    def run_ends(slots: Column) -> Column:
-        last = F.transform(slots, lambda s, i: F.struct(s.alias("slot"), (i + 1).alias("end"), (~F.get(slots, i + 1).eqNullSafe(s)).alias("last")))
-        return F.filter(last, lambda r: r["last"])
-
-    def counted(ends: Column) -> Column:
-        return F.transform(ends, lambda r, i: F.struct(r["slot"].alias("slot"), (r["end"] - F.coalesce(F.get(ends, i - 1)["end"], F.lit(0))).cast("double").alias("n")))
-
-    def scaled(counts: Column) -> Column:
-        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda t, r: t + r["n"] * r["n"]))
-        return let(length, lambda n: F.transform(counts, lambda r: F.struct(r["slot"].alias("slot"), (r["n"] / n).alias("weight"))))
-
-    return let(F.sort_array(F.transform(tokens(text), token_slot)), lambda slots: let(run_ends(slots), lambda ends: let(counted(ends), scaled)))
+def _weights(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, slot and weight of each filled slot, from a list of tokens for each row: counts scaled to length 1."""
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    pair, n = np.unique(np.repeat(np.arange(len(tokens)), lengths) * DIMENSIONS + _slots(tokens.flatten()), return_counts=True)
+    row = pair // DIMENSIONS
+    square = np.bincount(row, n.astype(np.float64) ** 2, len(tokens))
+    return row, pair % DIMENSIONS, n / np.sqrt(square[row])
 
 
 def hash_embedding(text: Column) -> Column:
     """Token counts by slot, scaled to length 1; a zero vector for no tokens."""
-    return let(F.map_from_entries(slot_weights(text)), lambda filled: F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at(filled, i), F.lit(0.0))))
+
+    def made(held: pa.Array) -> pa.Array:
+        row, slot, weight = _weights(held)
+        flat = np.zeros(len(held) * DIMENSIONS)
+        flat[row * DIMENSIONS + slot] = weight
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * DIMENSIONS), pa.array(flat))
+
+    return F.arrow_udf(made, "array<double>", PythonEvalType.SQL_SCALAR_ARROW_UDF)(tokens(text))
 
 
 def sparse_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, slot, weight`` of the hashing embedder, a row for each filled slot; nothing is shuffled."""
-    return docs.select(F.col(id_col).alias("id"), F.inline(slot_weights(F.col(text_col))))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, slot, weight = _weights(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(slot.astype(np.int32)), pa.array(weight)], ["id", "slot", "weight"])
+
+    return docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("held")).mapInArrow(made, f"id {dict(docs.dtypes)[id_col]}, slot int, weight double")
 
 
 def is_stale(model: Column, text_hash: Column, current_model: Column | str, current_text: Column) -> Column:

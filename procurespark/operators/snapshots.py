@@ -145,6 +145,13 @@ class Work:
         self.written[name] = {"folders": {"0": path}, "schema": df.schema.jsonValue()}
         return self.read(name)
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds rows to a table that isn't in buckets; what is there stays as it is."""
+        path, old = self._new_folder(name), self.entry(name)
+        df.write.parquet(path)
+        folders = old["folders"] if old else {}
+        self.written[name] = {"folders": folders | {str(len(folders)): path}, "schema": df.schema.jsonValue()}
+
     def scratch(self, name: str, df: DataFrame) -> DataFrame:
         """``df`` computed once and written aside; it is read back while the work lasts and is part of no version."""
         path = self._new_folder(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from procurespark import schemas
@@ -10,12 +10,13 @@ from procurespark.functions import text
 from procurespark.operators import conformance, matching
 from procurespark.operators import harvest as harvests
 from procurespark.operators import protocols as corpus
+from procurespark.operators.snapshots import Store
 from procurespark.plans.registry import query
 from procurespark.plans.tables import table
-from procurespark.sources import connectors
+from procurespark.sources import connectors, paging
 from procurespark.sources import protocols as payloads
 from procurespark.sources.commerce import api_host
-from procurespark.storage import new_path
+from procurespark.storage import checkpointed, new_path
 from procurespark.streaming import events as flow
 
 
@@ -141,30 +142,68 @@ def category_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.category_seeds(rows).select("category_id", F.array_join("queries", "|").alias("queries"))
 
 
-@query("q_paged_search", "SELECT q::VARCHAR AS query, i AS position, q * 1000 + i AS item FROM (SELECT unnest(range(0, 40)) AS q), range(200) r(i) WHERE i < least(120, CASE WHEN q % 4 = 3 THEN least(q * 5, 50) ELSE q * 5 END)")
-def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty searches of five times as many items by numbered pages; the limit of 120 is the connector's, and some services know only one page."""
-
-    def fetch(q: str, page: int, size: int) -> dict:
-        n, only = int(q) * 5, int(q) % 4 == 3
-        items = [{"id": int(q) * 1000 + i} for i in range((page - 1) * size, min(n, page * size))]
-        return {"items": items, "total_pages": 1 if only else -(-n // size)}
+def _stopped_and_resumed(spark: SparkSession, seeds: DataFrame, pages: paging.Pages, limit: int | None = None) -> DataFrame:
+    """The items of a crawl that is stopped after a round and goes on from its store."""
+    path = new_path(spark, "crawls")
+    paging.crawl(Store(spark, path, paging.TABLES), seeds, pages, limit, rounds=1)
+    paging.crawl(Store(spark, path, paging.TABLES), seeds, pages, limit)
+    return Store(spark, path, paging.TABLES).read("items")
 
-    found = connectors.search(spark, "paged_items", [str(q) for q in range(40)], lambda q: connectors.pages(fetch, q, 120, 70), payloads.Access(True, True, "token"))
-    return found.select("query", "position", F.get_json_object("payload", "$.id").cast("long").alias("item"))
 
-
-@query("q_cursor_search", "SELECT q::VARCHAR AS query, i AS position, q * 1000 + i AS item FROM (SELECT unnest(range(0, 40)) AS q), range(200) r(i) WHERE i < CASE WHEN q % 2 = 0 THEN q * 5 ELSE least(77, q * 5) END")
+@query("q_paged_search", "SELECT o_orderpriority AS query, o_orderkey AS item, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS position FROM orders QUALIFY position < (SELECT count(*) // 8 FROM orders)")
+def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as the results of a search for each priority, in numbered pages, got round by round up to the connector's limit; the crawl is stopped and goes on."""
+    order = table(spark, sf_dir, "orders")
+    n = order.count()
+    size, limit = -(-n // 12), n // 8
+    place = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) - 1
+    item = F.struct(place.alias("place"), order_key().alias("id"))
+    listed = order.select("o_orderpriority", item.alias("item")).withColumn("page", F.floor(F.col("item.place") / size) + 1)
+    held = listed.groupBy(F.col("o_orderpriority").alias("query"), F.col("page").cast("string").alias("cursor")).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    body = F.to_json(F.struct("items", F.when(F.size("items") == size, (F.col("cursor").cast("int") + 1).cast("string")).alias("next")))
+    held = checkpointed(held.select("query", "cursor", body.alias("body")))
+    pages = lambda cursors: cursors.join(held, ["query", "cursor"], "left").withColumn("body", F.coalesce("body", F.lit('{"items": []}')))
+    found = _stopped_and_resumed(spark, order.select(F.col("o_orderpriority").alias("query"), F.lit("1").alias("cursor")).distinct(), pages, limit)
+    return found.select("query", F.get_json_object("payload", "$.id").cast("long").alias("item"), "position")
+
+
+@query("q_commerce_paging", "SELECT 'P' || p_partkey AS product, 'P' || p_partkey || '-' || v AS variant, v AS position FROM part, range(0, 12) r(v) WHERE v < p_partkey % 12")
+def commerce_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as products in pages by cursor, each with up to eleven variants in pages of four below it; products and variants go on by their own cursors."""
+    part = table(spark, sf_dir, "part")
+    n = part.agg(F.max("p_partkey")).first()[0]
+    size = -(-n // 3)
+
+    def fetch(query: str, parent: str | None, cursor: str | None, wanted: int | None) -> dict:
+        at = int(cursor or 0)
+        if parent is None:  # products of this stretch of keys; their variants begin below them
+            keys = range(at + 1, min(at + size, n) + 1)
+            return {"items": [{"id": f"P{k}"} for k in keys], "next": str(at + size) if at + size < n else None, "children": [{"parent": f"P{k}", "cursor": "0"} for k in keys if k % 12]}
+        own = range(at, min(at + 4, int(parent[1:]) % 12))
+        return {"items": [{"id": f"{parent}-{v}"} for v in own], "next": str(at + 4)}
+
+    seeds = spark.createDataFrame([("products", None)], "query string, cursor string")
+    found = _stopped_and_resumed(spark, seeds, paging.fetched_by(fetch, payloads.Access(True, True, "token")))
+    variants = found.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("product"), F.get_json_object("payload", "$.id").alias("variant"), "position")
+    known = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("product"))
+    return variants.join(known, "product", "left_semi")
+
+
+@query("q_cursor_search", "SELECT o_orderstatus AS query, o_orderkey AS item FROM orders")
 def cursor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by cursors, which the last page repeats; every second search has a limit of 77, the others none."""
-
-    def fetch(q: str, cursor: str | None, size: int) -> dict:
-        n, at = int(q) * 5, int(cursor or 0)
-        upto = min(n, at + size)
-        return {"items": [{"id": int(q) * 1000 + i} for i in range(at, upto)], "next": str(upto) if upto < n else cursor}
-
-    found = connectors.search(spark, "cursor_items", [str(q) for q in range(40)], lambda q: connectors.cursor_pages(fetch, q, 77 if int(q) % 2 else None, 30, None))
-    return found.select("query", "position", F.get_json_object("payload", "$.id").cast("long").alias("item"))
+    """All orders as the results of a search for each status by cursor, which the last page repeats; the cursor is the last key seen."""
+    order = table(spark, sf_dir, "orders")
+    size = -(-order.count() // 9)
+    number = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey")) - 1
+    listed = order.select(F.col("o_orderstatus").alias("query"), F.struct(order_key().alias("id")).alias("item"), F.floor(number / size).alias("page"))
+    held = listed.groupBy("query", "page").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    before = Window.partitionBy("query").orderBy("page")
+    last = F.element_at("items", -1)["id"].cast("string")
+    held = held.select("query", F.coalesce(F.lag(last).over(before), F.lit("*")).alias("cursor"), "items", F.when(F.lead("page").over(before).isNull(), F.lag(last).over(before)).otherwise(last).alias("next"))
+    held = checkpointed(held.select("query", "cursor", F.to_json(F.struct("items", "next")).alias("body")))
+    pages = lambda cursors: cursors.join(held, ["query", "cursor"])
+    found = _stopped_and_resumed(spark, order.select(F.col("o_orderstatus").alias("query"), F.lit("*").alias("cursor")).distinct(), pages)
+    return found.select("query", F.get_json_object("payload", "$.id").cast("long").alias("item"))
 
 
 @query("q_fetch_each", "SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS held, CASE o_orderkey % 3 WHEN 1 THEN 'LookupError: no record ' || o_orderkey WHEN 2 THEN 'TypeError: expected a record for ' || o_orderkey || ', got list' END AS error FROM orders")

@@ -85,66 +85,77 @@ def item_review(item: Column) -> Column:
     )
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns that are computed once for each row.
+
+    The optimizer merges projections, and so repeats an expression wherever a later one uses it; it doesn't
+    merge them over a generator.
+    """
+    return df.withColumn("_once", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))).select("*", "_once.*").drop("_once")
+
+
 def map_protocol_service(details: DataFrame, search_items: DataFrame | None = None, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
     """Detail payloads (JSON strings) as protocols; rows whose JSON can't be read are left out.
 
     ``search_items`` (payloads too) lend their peer review flag, which details lack; of several
-    with one id the last by ``position`` holds. Columns in ``keep`` come along.
+    with one id the last by ``position`` holds. Columns in ``keep`` come along. Each payload is parsed once, its fields
+    are taken out once, and only then are they cleaned.
     """
     keep = keep or []
-    parsed = details.select(F.try_parse_json(F.col(payload)).alias("p"), *keep).filter(F.col("p").isNotNull())
+    parsed = once(details.select(payload, *(k for k in keep if k != payload)), _p=F.try_parse_json(F.col(payload))).filter(F.col("_p").isNotNull())
+    p = F.col("_p")
+    variants = lambda path: F.filter(F.coalesce(_at(p, path, "array<variant>"), F.array().cast("array<variant>")), _is_object)
+    field = lambda v, *names: [_at(v, f"$.{n}").alias(n) for n in names]
+    person_fields = ("first_name", "last_name", "name", "username")
+    all_steps = F.coalesce(_at(p, "$.steps", "array<variant>"), F.array().cast("array<variant>"))
+    taken = once(
+        parsed,
+        _id=_at(p, "$.id"), _uri=F.coalesce(_at(p, "$.uri"), F.lit("")), _url=_at(p, "$.url"), _title=_at(p, "$.title"), _doi=_at(p, "$.doi"), _reserved=_at(p, "$.reserved_doi"), _version=_at(p, "$.version_id"),
+        _license=_string_or(p, "$.license", "title"), _text=_at(p, "$.materials_text"), _reviewed=_at(p, "$.peer_reviewed"), _review=item_review(p),
+        _materials=F.transform(variants("$.materials"), lambda m: F.struct(*field(m, "name", "amount", "quantity", "catalog", "sku"), _string_or(m, "$.vendor", "name").alias("vendor"))),
+        _steps=F.transform(all_steps, lambda s: F.struct(*field(s, "step", "section"))),
+        _authors=F.transform(variants("$.authors"), lambda a: F.struct(*field(a, *person_fields))),
+        _creator=F.struct(*field(_at(p, "$.creator", "variant"), *person_fields)),
+    ).drop("_p")
     if search_items is not None:
-        items = search_items.select(F.try_parse_json(F.col(payload)).alias("i"), F.col("position"))
-        items = items.select(_at(F.col("i"), "$.id").alias("_item_id"), _at(F.col("i"), "$.peer_reviewed").alias("_item_reviewed"), "position").filter(F.col("_item_id").isNotNull())
+        items = once(search_items.select(payload, "position"), _i=F.try_parse_json(F.col(payload)))
+        items = items.select(_at(F.col("_i"), "$.id").alias("_item_id"), _at(F.col("_i"), "$.peer_reviewed").alias("_item_reviewed"), "position").filter(F.col("_item_id").isNotNull())
         last = items.groupBy("_item_id").agg(F.max_by(F.struct("_item_reviewed"), "position").alias("_last"))
-        parsed = parsed.join(last, _at(F.col("p"), "$.id") == F.col("_item_id"), "left").withColumn("_listed", F.col("_last._item_reviewed"))
+        taken = taken.join(last, F.col("_id") == F.col("_item_id"), "left").withColumn("_listed", F.col("_last._item_reviewed"))
     else:
-        parsed = parsed.withColumn("_listed", F.lit(None).cast("string"))
-    p = F.col("p")
-    variants = lambda path: F.coalesce(_at(p, path, "array<variant>"), F.array().cast("array<variant>"))
+        taken = taken.withColumn("_listed", F.lit(None).cast("string"))
 
     stated = F.filter(
         F.transform(
-            F.filter(variants("$.materials"), _is_object),
-            lambda m: F.struct(
-                strip(F.coalesce(_at(m, "$.name"), F.lit(""))).alias("name"),
-                F.coalesce(filled(_at(m, "$.amount")), _at(m, "$.quantity")).alias("amount"),
-                _string_or(m, "$.vendor", "name").alias("vendor"),
-                F.coalesce(filled(_at(m, "$.catalog")), _at(m, "$.sku")).alias("catalog_no"),
-            ),
+            "_materials",
+            lambda m: F.struct(strip(F.coalesce(m["name"], F.lit(""))).alias("name"), F.coalesce(filled(m["amount"]), m["quantity"]).alias("amount"), m["vendor"].alias("vendor"), F.coalesce(filled(m["catalog"]), m["sku"]).alias("catalog_no")),
         ),
         lambda m: m["name"] != "",
     ).cast(MATERIALS)
     none = F.lit(None).cast("string")
-    lines = F.filter(F.transform(F.split(rich_text(_at(p, "$.materials_text")), r"\r\n|\r|\n"), strip), lambda t: t != "")
-    listed = F.transform(lines, lambda t: F.struct(t.alias("name"), none.alias("amount"), none.alias("vendor"), none.alias("catalog_no"))).cast(MATERIALS)
-    steps = F.filter(
-        F.transform(
-            variants("$.steps"),
-            lambda s, i: F.struct((i + 1).alias("number"), F.coalesce(filled(rich_text(_at(s, "$.step"))), strip_html(_at(s, "$.section"))).alias("text")),
-        ),
-        lambda s: s["text"] != "",
-    ).cast(STEPS)
-    person = lambda a: author_name(_at(a, "$.first_name"), _at(a, "$.last_name"), _at(a, "$.name"), _at(a, "$.username"))
-    people = F.filter(F.transform(F.filter(variants("$.authors"), _is_object), person), lambda n: n != "")
-    creator = person(_at(p, "$.creator", "variant"))
-    reviewed = F.coalesce(_at(p, "$.peer_reviewed"), F.col("_listed"))
-    review = item_review(p).withField("peer_reviewed", _flag(reviewed))
-    uri = F.coalesce(_at(p, "$.uri"), F.lit(""))
+    person = lambda a: author_name(*(a[n] for n in person_fields))
+    made = once(
+        taken,
+        _stated=stated,
+        _lines=F.filter(F.transform(F.split(rich_text(F.col("_text")), r"\r\n|\r|\n"), strip), lambda t: t != ""),
+        _made=F.transform("_steps", lambda s, i: F.struct((i + 1).alias("number"), F.coalesce(filled(rich_text(s["step"])), strip_html(s["section"])).alias("text"))),
+        _people=F.filter(F.transform("_authors", person), lambda n: n != ""), _by=person(F.col("_creator")),
+    )
+    listed = F.transform("_lines", lambda t: F.struct(t.alias("name"), none.alias("amount"), none.alias("vendor"), none.alias("catalog_no"))).cast(MATERIALS)
     kinds = dict(details.dtypes)
     return conformed(
-        parsed.select(
+        made.select(
             F.lit("protocols.io").alias("source"),
-            F.coalesce(filled(F.nullif(_at(p, "$.id"), F.lit("0"))), uri).alias("source_id"),
-            F.coalesce(filled(_at(p, "$.url")), F.concat(F.lit("https://www.protocols.io/view/"), uri)).alias("source_uri"),
-            strip_html(_at(p, "$.title")).alias("title"),
-            F.when(F.size(people) > 0, people).when(creator != "", F.array(creator)).otherwise(F.array().cast("array<string>")).alias("authors"),
-            normalize_doi(F.coalesce(filled(_at(p, "$.doi")), _at(p, "$.reserved_doi"))).alias("doi"),
-            _at(p, "$.version_id").alias("version"),
-            license_of(_string_or(p, "$.license", "title")).alias("license"),
-            steps.alias("steps"),
-            F.when(F.size(stated) > 0, stated).otherwise(listed).alias("materials"),
-            review.alias("review"),
+            F.coalesce(filled(F.nullif("_id", F.lit("0"))), F.col("_uri")).alias("source_id"),
+            F.coalesce(filled(F.col("_url")), F.concat(F.lit("https://www.protocols.io/view/"), F.col("_uri"))).alias("source_uri"),
+            strip_html(F.col("_title")).alias("title"),
+            F.when(F.size("_people") > 0, F.col("_people")).when(F.col("_by") != "", F.array("_by")).otherwise(F.array().cast("array<string>")).alias("authors"),
+            normalize_doi(F.coalesce(filled(F.col("_doi")), F.col("_reserved"))).alias("doi"),
+            F.col("_version").alias("version"),
+            license_of(F.col("_license")).alias("license"),
+            F.filter("_made", lambda s: s["text"] != "").cast(STEPS).alias("steps"),
+            F.when(F.size("_stated") > 0, F.col("_stated")).otherwise(listed).alias("materials"),
+            F.col("_review").withField("peer_reviewed", _flag(F.coalesce("_reviewed", "_listed"))).alias("review"),
             *keep,
         ),
         ", ".join([RAW_PROTOCOL, *(f"{c} {kinds[c]}" for c in keep)]),
