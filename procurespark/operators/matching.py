@@ -16,6 +16,8 @@ from procurespark.operators.snapshots import Store, bucket_of, unit_of_work
 from procurespark.schemas import MATERIALS
 
 METHOD = "vector+rules"
+#: What a line of materials can be.
+ROLES = ["kit", "reagent", "consumable", "equipment", "buffer_component", "not_a_material"]
 PURCHASABLE = ["kit", "reagent", "consumable"]
 
 
@@ -36,8 +38,11 @@ def equivalences(neighbours: DataFrame, products: DataFrame, thresholds: Thresho
 
 
 def sample_exact_rate(neighbours: DataFrame, products: DataFrame, sample: int | None = 500, seed: int = 42) -> DataFrame:
-    """One row: the share of ``sample`` random products (all, if None) with an exact candidate; 0 without products."""
-    chosen = products if sample is None else products.orderBy(F.rand(seed)).limit(sample)
+    """One row: the share of ``sample`` random products (all, if None) with an exact candidate; 0 without products.
+
+    The sample is that of the smallest hashes of id and ``seed``, the same however the rows are dealt.
+    """
+    chosen = products if sample is None else products.orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(seed).cast("string"))), "id").limit(sample)
     chosen = chosen.select(F.col("id").alias("query_id"))
     exact = equivalences(neighbours, products).filter("kind = 'exact'").select(F.col("product_id").alias("query_id")).distinct().withColumn("hit", F.lit(1.0))
     return chosen.join(exact, "query_id", "left").agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0.0))), F.lit(0.0)).alias("sample_exact_rate"))
@@ -151,12 +156,20 @@ def backfill_store(store: Store, name: str, model: str, embed: Callable, text: C
     return {"total": total, "embedded": embedded, "skipped": total - embedded, "rewritten": sum(n for own in batches for _, n, _ in own)}
 
 
+def valid_record(record: dict) -> dict:
+    """A classified line as it may be used: a name, a known role and a confidence from 0 to 1; an error otherwise."""
+    name, role, sure, amount = (record.get(k) for k in ("name", "role", "confidence", "amount"))
+    if not isinstance(name, str) or role not in ROLES or isinstance(sure, bool) or not isinstance(sure, (int, float)) or not 0 <= sure <= 1 or not (amount is None or isinstance(amount, str)):
+        raise ValueError(f"no classified line: {record!r}")
+    return {"name": name, "amount": amount, "role": role, "confidence": float(sure)}
+
+
 def enrich_materials(protocols: DataFrame, classify: Callable[[list[str]], list[dict]] | None = None, least: float = 0.5) -> DataFrame:
     """Protocols (with ``id``) whose materials are what a lab could order, and ``materials_in``, ``materials_out``, ``llm_call``, ``error``.
 
     Materials that name a vendor or catalog number classify by themselves; others go to
     ``classify``, a client's function from names to records of name, amount, role and
-    confidence, in batches of the rows' partitions. Where it fails the materials stay as they are.
+    confidence, in batches of the rows' partitions. Where it fails, or returns a record that isn't valid, the materials stay as they are.
     Each row comes back once, whatever its id.
     """
     told = F.exists("materials", lambda m: filled(m["vendor"]).isNotNull() | filled(m["catalog_no"]).isNotNull())
@@ -174,7 +187,7 @@ def enrich_materials(protocols: DataFrame, classify: Callable[[list[str]], list[
             out, failed = [], []
             for own in names:
                 try:
-                    out.append([{k: r.get(k) for k in ("name", "amount", "role", "confidence")} for r in classify(list(own))])
+                    out.append([valid_record(r) for r in classify(list(own))])
                     failed.append(False)
                 except Exception:  # one protocol's failure must not end the run
                     out.append([])

@@ -125,7 +125,6 @@ def license_histogram(protocols: DataFrame) -> DataFrame:
     return protocols.groupBy("license").agg(F.count("*").alias("n"))
 
 
-def to_fetch(shortlisted: DataFrame, stored: DataFrame, cap: int, position: str = "position") -> DataFrame:
-    """What of a shortlist is to be fetched: versions not stored, best first, at most ``cap`` (of fetches, not of the list)."""
-    missing = shortlisted.join(stored.select("id", F.col("version").alias("version_id")), ["id", "version_id"], "left_anti")
-    return missing.orderBy(position).limit(cap)
+def dumped(protocols: DataFrame, columns: tuple[str, ...] = ("authors", "steps", "materials", "review")) -> DataFrame:
+    """``protocols`` with nested columns as JSON texts, their nulls kept, as a row store holds them."""
+    return protocols.withColumns({c: F.to_json(F.col(c), {"ignoreNullFields": "false"}) for c in columns})

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from procurespark import schemas
-from procurespark.functions import text
+from procurespark.functions import text, vectors
 from procurespark.operators import conformance, matching
 from procurespark.operators import harvest as harvests
 from procurespark.operators import protocols as corpus
 from procurespark.operators.snapshots import Store
 from procurespark.plans.registry import query
-from procurespark.plans.tables import table
+from procurespark.plans.queries import LINKS_SQL
+from procurespark.plans.tables import links, protocols, table
 from procurespark.sources import connectors, paging
 from procurespark.sources import protocols as payloads
 from procurespark.sources.commerce import api_host
@@ -388,6 +390,25 @@ def order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.folded_state(made.unionByName(made), "open", STEPS).select("entity", "state")
 
 
+@query("q_stream_states", """WITH e AS (SELECT user_id, event_type, ts, event_id FROM events), s AS (SELECT user_id, list_reduce(list_prepend('open', list(event_type ORDER BY epoch_ms(ts), event_id::VARCHAR)), lambda s, e: CASE s || '|' || e WHEN 'open|click' THEN 'confirmed' WHEN 'open|view' THEN 'pending_approval'
+    WHEN 'pending_approval|click' THEN 'confirmed' WHEN 'confirmed|purchase' THEN 'paid' WHEN 'confirmed|error' THEN 'cancelled' ELSE s END) AS state, count(*) AS repeated FROM e GROUP BY user_id) SELECT user_id::VARCHAR AS entity, state, repeated FROM s""")
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where users' events take an order, streamed in three runs that each go on from the last; in each of the first two every event comes once, and a far event ends the time."""
+    root, none = new_path(spark, "streams"), "not an order"
+    made = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("entity_id"), F.col("event_type").alias("event"), F.col("ts").cast("timestamp").alias("occurred_at"), F.col("event_id").cast("string").alias("idempotency_key"))
+    last = spark.createDataFrame([(none, none, none)], "entity_id string, event string, idempotency_key string").withColumn("occurred_at", F.lit("2100-01-01").cast("timestamp")).select(made.columns)
+    for part in (made, made, last):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(made.schema).parquet(f"{root}/in")
+        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            flow.run_once(flow.streamed_state(stream, "open", STEPS, lateness="4000 days").withColumn("written", F.current_timestamp()), f"{root}/out", f"{root}/state", "update")
+        finally:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return flow.latest_rows(spark.read.parquet(f"{root}/out")).filter(F.col("entity") != none).select("entity", "state", F.col("repeated").cast("long").alias("repeated"))
+
+
 @query("q_latest_state", "SELECT user_id AS entity_id, max_by(event_id, (ts, event_id)) AS idempotency_key, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id")
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's newest event, of events that came twice and out of order."""
@@ -405,3 +426,59 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema(made.schema).parquet(f"{root}/in")
         flow.run_once(flow.once_only(stream, lateness="400 days"), f"{root}/out", f"{root}/state")
     return spark.read.parquet(f"{root}/out").select("event_id", "event_type")
+
+
+@query("q_enrich_invalid", "SELECT o_orderkey AS id, o_orderkey % 3 > 0 AND o_orderkey % 4 > 0 AS error, CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 4 > 0 THEN 0 ELSE 3 END AS materials_out FROM orders")
+def enrich_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client whose confidences, roles or names are no such things for three quarters of its orders: these stay as they are."""
+
+    def classify(names: list[str]) -> list[dict]:
+        spoilt = {"1": {"confidence": 1.5}, "2": {"role": "gadget"}, "3": {"name": None}}.get(names[-1], {})
+        return [{"name": n, "role": "reagent", "confidence": 1} | (spoilt if n == names[-1] else {}) for n in names]
+
+    turn = (order_key() % 4).cast("string")
+    made = _materials(spark, sf_dir).join(table(spark, sf_dir, "orders").select(order_key().alias("id"), turn.alias("turn")), "id")
+    named = F.transform("materials", lambda m: F.when(m["name"] == "maybe", m.withField("name", F.col("turn"))).otherwise(m))
+    return matching.enrich_materials(made.withColumn("materials", named), classify).select("id", "error", "materials_out")
+
+
+@query("q_category_filter", "SELECT 'C7' AS category_id, 'Nation ' || n_name AS category_name, 'Nation ' || n_name AS queries FROM nation WHERE n_nationkey = 7")
+def category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds of one category among nations."""
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("category_id"), F.concat(F.lit("Nation "), F.col("n_name")).alias("category_name"))
+    return payloads.category_seeds(rows, "C7").withColumn("queries", F.array_join("queries", "|"))
+
+
+@query("q_source_names", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'protocols.io' WHEN 1 THEN 'europepmc' WHEN 2 THEN 'europepmc' END AS source FROM orders")
+def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by their aliases, padded and in any case."""
+    k = order_key() % 4
+    said = F.when(k == 0, " PIO ").when(k == 1, "EPMC").when(k == 2, "pmc").otherwise("nowhere")
+    return table(spark, sf_dir, "orders").select(order_key().alias("id"), payloads.source_column(said).alias("source"))
+
+
+@query("q_nested_json", """SELECT o_orderkey::VARCHAR AS source_id, '["A"]' AS authors, '[{"number":1,"text":"' || o_orderpriority || '"}]' AS steps, '{"citations":' || o_custkey || ',"rating":null,"ratings_count":null,"views":null,"votes":null,"bookmarks":null,"forks":null,"comments":null,"peer_reviewed":null}' AS review FROM orders""")
+def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as protocols, their nested columns as JSON."""
+    return corpus.dumped(_raw_protocols(spark, sf_dir), ("authors", "steps", "review")).select("source_id", "authors", "steps", "review")
+
+
+@query("q_link_report", f"WITH {LINKS_SQL} SELECT (SELECT count(*) FROM orders) AS protocols, count(DISTINCT protocol_id) AS protocols_linked, count(*) AS links, count(*) FILTER (kind = 'exact') AS exact, count(*) FILTER (kind = 'substitute') AS substitute FROM links WHERE reviewed")
+def link_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a matching run whose links are the reviewed ones."""
+    return matching.link_counts(links(spark, sf_dir).filter("reviewed"), protocols(spark, sf_dir))
+
+
+@query("q_client_embedder", "SELECT p_partkey AS id, length(p_name)::DOUBLE AS size, len(string_split(p_name, ' '))::DOUBLE AS words FROM part")
+def client_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by a client's embedder, a function of Arrow batches, under its provider's name."""
+
+    def client(name: Column) -> Column:
+        return F.pandas_udf(_measured, "array<double>")(name)
+
+    made = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), vectors.embedder("client", {"client": client})(F.col("p_name")).alias("v"))
+    return made.select("id", F.get("v", F.lit(0)).alias("size"), F.get("v", F.lit(1)).alias("words"))
+
+
+def _measured(names: pd.Series) -> pd.Series:
+    return pd.Series([[float(len(n)), float(len(n.split(" ")))] for n in names])

@@ -363,6 +363,12 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 RATE_SQL = "rate AS (SELECT (SELECT count(DISTINCT query_id) FILTER (confidence >= 0.92) FROM scored) / (SELECT count(*) FROM v)::DOUBLE AS sample_exact_rate)"
 
 
+@query("q_sample_exact_rate_sampled", f"WITH {SCORED_SQL}, s AS (SELECT vec_id AS id FROM embeddings ORDER BY md5(vec_id::VARCHAR || ':42'), vec_id LIMIT 100) SELECT round(count(*) FILTER (id IN (SELECT query_id FROM scored WHERE confidence >= 0.92)) / count(*)::DOUBLE, 6) AS sample_exact_rate FROM s")
+def sampled_exact_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share among 100 random products (the sample is the feature) with an exact candidate."""
+    return matching.sample_exact_rate(_neighbours(spark, sf_dir), vector_products(spark, sf_dir), 100).select(F.round("sample_exact_rate", 6).alias("sample_exact_rate"))
+
+
 @query("q_sample_exact_rate", f"WITH {SCORED_SQL}, {RATE_SQL} SELECT round(sample_exact_rate, 6) AS sample_exact_rate FROM rate")
 def sample_exact_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of products with an exact candidate, with all products as the sample."""

@@ -47,6 +47,11 @@ def source_name(name: str) -> str:
         raise ValueError(f"unknown protocol source {name!r}") from None
 
 
+def source_column(name: Column) -> Column:
+    """Sources by one of their names, null where there is no such name."""
+    return lookup(ALIASES, F.lower(strip(name)), F.lit(None).cast("string"))
+
+
 def _at(payload: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(payload, path, kind)
 
@@ -220,8 +225,15 @@ def read_search_items(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.struct(F.col("_metadata.file_path").alias("path"), "position").alias("position"), "payload")
 
 
-def category_seeds(rows: DataFrame) -> DataFrame:
-    """``category_id, category_name, queries``: terms of known categories, else the name before a slash, else the id."""
+def category_seeds(rows: DataFrame, category: str | None = None) -> DataFrame:
+    """``category_id, category_name, queries``: terms of known categories, else the name before a slash, else the id.
+
+    With ``category`` the seeds of that id alone; if there are none, that is an error.
+    """
+    if category is not None:
+        rows = rows.filter(strip(F.col("category_id")) == category)
+        if rows.isEmpty():
+            raise LookupError(f"no category {category!r}")
     cid, name = strip(F.coalesce("category_id", F.lit(""))), strip(F.coalesce("category_name", F.lit("")))
     pairs = F.create_map(*(x for k, v in SEARCH_TERMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     fallback = F.coalesce(filled(strip(F.get(F.split(name, "/"), F.lit(0)))), cid)
