@@ -65,33 +65,31 @@ class _Machine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "state string, refused int, repeated int, late int")
+        self.state = handle.getValueState("state", "state string, refused int, repeated int")
         self.waiting = handle.getMapState("waiting", "at long, key string", "event string")
         self.seen = handle.getMapState("seen", "key string", "at long")
 
     def _now(self) -> tuple:
-        return self.state.get() if self.state.exists() else (self.start, 0, 0, 0)
+        return self.state.get() if self.state.exists() else (self.start, 0, 0)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark, known = timerValues.getCurrentWatermarkInMs(), {k[0] for k in self.seen.keys()}
-        state, refused, repeated, late = self._now()
+        known = {k[0] for k in self.seen.keys()}
+        state, refused, repeated = self._now()
         for frame in rows:
             for event, at, name in zip(frame["event"], frame["at"], frame["key"], strict=True):
                 if name in known:
                     repeated += 1
-                elif at <= mark:
-                    late += 1
                 else:
                     known.add(name)
                     self.seen.updateValue((name,), (int(at),))
                     self.waiting.updateValue((int(at), name), (event,))
                     self.handle.registerTimer(int(at))
-        self.state.update((state, refused, repeated, late))
-        yield pd.DataFrame({"entity": [key[0]], "state": [state], "refused": [refused], "repeated": [repeated], "late": [late]})
+        self.state.update((state, refused, repeated))
+        yield pd.DataFrame({"entity": [key[0]], "state": [state], "refused": [refused], "repeated": [repeated]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = expiredTimerInfo.getExpiryTimeInMs()
-        state, refused, repeated, late = self._now()
+        state, refused, repeated = self._now()
         for (at, name), (event,) in sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= until):
             to = self.steps.get((state, event))
             refused += to is None
@@ -100,34 +98,34 @@ class _Machine(StatefulProcessor):
         for (name,), (at,) in list(self.seen.iterator()):
             if at <= until - self.remembered:
                 self.seen.removeKey((name,))
-        self.state.update((state, refused, repeated, late))
-        yield pd.DataFrame({"entity": [key[0]], "state": [state], "refused": [refused], "repeated": [repeated], "late": [late]})
+        self.state.update((state, refused, repeated))
+        yield pd.DataFrame({"entity": [key[0]], "state": [state], "refused": [refused], "repeated": [repeated]})
 
     def close(self) -> None:
         pass
 
 
 def streamed_state(events: DataFrame, start: str, steps: dict[tuple[str, str], str], entity: str = "entity_id", event: str = "event", time: str = "occurred_at", key: str = "idempotency_key", lateness: str = "1 hour", remembered_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """``entity, state, refused, repeated, late`` of a stream's entities whenever they change; a restarted query goes on with its states.
+    """``entity, state, refused, repeated`` of a stream's entities whenever they change; a restarted query goes on with its states.
 
     Events wait until the watermark, ``lateness`` behind the newest event, has passed them, and are then applied in order
     of time (in milliseconds) and key, so they may come in any order within that. A key that was seen counts as repeated, for
-    ``remembered_ms`` after its event; an event that comes behind the watermark counts as late and is not applied. Once all have
+    ``remembered_ms`` after its event; an event that comes behind the watermark is not applied, and ``run_once`` counts it. Once all have
     been applied the states are those of ``folded_state``. An entity keeps its waiting events and its remembered keys.
     """
     held = events.withWatermark(time, lateness).select(F.col(entity).cast("string").alias("entity"), F.col(event).alias("event"), F.col(time), F.unix_millis(F.col(time)).alias("at"), F.col(key).cast("string").alias("key"))
-    out = "entity string, state string, refused int, repeated int, late int"
+    out = "entity string, state string, refused int, repeated int"
     return held.groupBy("entity").transformWithStateInPandas(_Machine(start, steps, remembered_ms), out, "Update", "EventTime")
 
 
 def latest_rows(written: DataFrame) -> DataFrame:
     """The last row of each entity of a table that states were appended to: counters never fall, so it is that with the most behind it, then the latest."""
-    order = F.struct("written", F.col("refused") + F.col("repeated") + F.col("late"))
-    return written.groupBy("entity").agg(F.max_by(F.struct("state", "refused", "repeated", "late"), order).alias("_row")).select("entity", "_row.*")
+    order = F.struct("written", F.col("refused") + F.col("repeated"))
+    return written.groupBy("entity").agg(F.max_by(F.struct("state", "refused", "repeated"), order).alias("_row")).select("entity", "_row.*")
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """What has arrived since the last run, appended to ``path``; a weekly job of the same call goes on from there.
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> int:
+    """What has arrived since the last run, appended to ``path``; a weekly job of the same call goes on from there. Returns how many rows were too late.
 
     With ``mode`` update, rows that changed are appended batch by batch; a batch that is done again after a failure overwrites its own folder.
     """
@@ -136,3 +134,4 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     else:
         query = stream.writeStream.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/batch={k}")).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return sum(operator.numRowsDroppedByWatermark for progress in query.recentProgress for operator in progress.stateOperators)
