@@ -430,3 +430,31 @@ def test_streamed_states_wait_for_their_time(spark, tmp_path):
     want = {r.entity: (r.state, r.refused) for r in idempotent.folded_state(frame([*events, parts[2][0]]), idempotent.ORDER_START, idempotent.ORDER_STEPS).collect()}  # that one comes before its time has passed
     assert {e: got[e][:2] for e in want} == want
     assert sum(got[e][2] for e in want) == 7 and late == [0, 0, 0, 1]
+
+
+def test_vector_index_recall(spark):
+    """The registered query over a whole table against brute force, and vectors with ties, nulls, zeros and clusters."""
+    from procurespark.operators import vector_index
+    from procurespark.plans import registry
+
+    registry.load()
+    sf = "/root/testdata/sf0.01"
+    held = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids = np.array(sorted(held))
+    unit = np.stack([held[i] / np.linalg.norm(held[i]) for i in ids])
+    want = {(int(q), int(ids[k])) for x, q in enumerate(ids) if q % 100 == 0 for k in np.lexsort((ids, np.where(ids == q, np.inf, 1 - np.round(unit @ unit[x], 12))))[:20]}
+    got = registry.QUERIES["q_vector_index"](spark, sf).collect()
+    assert len(got) == len(want) and len({(r.query_id, r.id) for r in got} & want) >= 0.9 * len(want)
+    assert all(abs(r.distance - (1 - unit[np.searchsorted(ids, r.query_id)] @ unit[np.searchsorted(ids, r.id)])) < 1e-9 for r in got)
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(8, 10))
+    rows = [(k, (centres[k % 8] + 0.1 * rng.normal(size=10)).tolist()) for k in range(400)] + [(500, None), (501, [0.0] * 10), (502, centres[0].tolist()), (503, centres[0].tolist())]
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>")
+    model = vector_index.fit(frame, n_cells=8)
+    index = vector_index.coded(frame, model)
+    found = vector_index.search(index, model, frame, frame.filter("id % 10 = 0"), k=5, probes=1, rerank=30)
+    exact = knn.nearest(frame.filter("id % 10 = 0"), frame.filter("id <> 501"), 5)
+    pairs = {(r.query_id, r.id) for r in exact.collect() if r.query_id != 500}
+    assert len({(r.query_id, r.id) for r in found.collect()} & pairs) >= 0.9 * len(pairs)
+    assert vector_index.fit(frame.filter("id = 500")) is None
