@@ -63,19 +63,24 @@ def page_of(df: DataFrame, order: list[Column], page: int = 1, page_size: int =
     return df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
+def in_order(page: DataFrame, order: list[Column], positions: bool) -> DataFrame:
+    """A page in its order again, which joins don't keep; with ``positions``, the place of each row from 0 (a page is one task's)."""
+    return page.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1).orderBy("position") if positions else page.orderBy(*order)
+
+
 def product_summary(summary: DataFrame) -> DataFrame:
     """The list's columns; a product has no region, its offers do."""
-    return summary.select("id", product_sku(F.col("id").cast("string")).alias("product_sku"), "name", "category", "brand", "mpn", F.lit(None).cast("string").alias("region"), "offer_count", F.col("landed.unit_price").alias("best_landed"))
+    return summary.select("id", product_sku(F.col("id").cast("string")).alias("product_sku"), "name", "category", "brand", "mpn", F.lit(None).cast("string").alias("region"), "offer_count", F.col("landed.unit_price").alias("best_landed"), *(["position"] if "position" in summary.columns else []))
 
 
-def list_products(products: DataFrame, offers: DataFrame, q: str | None = None, category: str | None = None, page: int = 1, page_size: int = 20, order: list[Column] | None = None) -> DataFrame:
+def list_products(products: DataFrame, offers: DataFrame, q: str | None = None, category: str | None = None, page: int = 1, page_size: int = 20, order: list[Column] | None = None, positions: bool = False) -> DataFrame:
     """A page of products, newest first; only the page's offers are joined."""
     found = matching(products, q, ["name", "brand", "mpn"])
     found = found.filter(F.col("category") == category) if category else found
     order = order or [F.col("created_at").desc(), F.col("id")]
     paged = page_of(found, order, page, page_size)
     summed = offer_summary(paged, offers.join(paged.select(F.col("id").alias("product_id")), "product_id", "left_semi"))
-    return product_summary(summed.orderBy(*order))  # joins don't keep the page's order
+    return product_summary(in_order(summed, order, positions))
 
 
 def product_detail(products: DataFrame, offers: DataFrame, suppliers: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -98,14 +103,15 @@ def with_links(df: DataFrame, links: DataFrame) -> DataFrame:
     return df.join(counted, df["id"] == counted["_protocol"], "left").withColumn("product_count", F.coalesce("_n", F.lit(0))).drop("_protocol", "_n")
 
 
-def list_protocols(protocols: DataFrame, links: DataFrame, q: str | None = None, page: int = 1, page_size: int = 20) -> DataFrame:
+def list_protocols(protocols: DataFrame, links: DataFrame, q: str | None = None, page: int = 1, page_size: int = 20, positions: bool = False) -> DataFrame:
     """A page of servable protocols, most links first, then by rank."""
     found = with_links(matching(protocols.filter("servable"), q, ["title"]), links)
-    paged = page_of(found, [F.col("product_count").desc(), F.col("rank_score").desc(), F.col("id")], page, page_size)
-    return paged.select("id", "title", "source", F.round("rank_score", 2).alias("rank_score"), "product_count", F.get("authors", F.lit(0)).alias("first_author"))
+    order = [F.col("product_count").desc(), F.col("rank_score").desc(), F.col("id")]
+    paged = in_order(page_of(found, order, page, page_size), order, positions)
+    return paged.select(*(["position"] if positions else []), "id", "title", "source", F.round("rank_score", 2).alias("rank_score"), "product_count", F.get("authors", F.lit(0)).alias("first_author"))
 
 
-def protocols_by_material(protocols: DataFrame, links: DataFrame, material: str, limit: int = 10) -> DataFrame:
+def protocols_by_material(protocols: DataFrame, links: DataFrame, material: str, limit: int = 10, positions: bool = False) -> DataFrame:
     """Servable protocols with a material that holds the term, by rank, then links; ``total`` counts all of them.
 
     A blank term finds nothing.
@@ -115,8 +121,9 @@ def protocols_by_material(protocols: DataFrame, links: DataFrame, material: str,
     hit = F.filter("materials", lambda m: F.contains(normalize_material(m["name"]), term))
     found = protocols.filter("servable").filter(term != "").withColumn("_hit", hit).filter(F.size("_hit") > 0)
     total = found.agg(F.count("*").alias("total"))
-    ranked = with_links(found, links).orderBy(F.col("rank_score").desc(), F.col("product_count").desc(), F.col("id")).limit(limit)
-    return ranked.crossJoin(F.broadcast(total)).select("id", "title", "product_count", F.coalesce(F.get("_hit", F.lit(0))["name"], F.lit("")).alias("matched_material"), "total")  # a page and one row
+    order = [F.col("rank_score").desc(), F.col("product_count").desc(), F.col("id")]
+    ranked = with_links(found, links).orderBy(*order).limit(limit)
+    return in_order(ranked.crossJoin(F.broadcast(total)), order, positions).select(*(["position"] if positions else []), "id", "title", "product_count", F.coalesce(F.get("_hit", F.lit(0))["name"], F.lit("")).alias("matched_material"), "total")  # a page and one row
 
 
 def best_links(links: DataFrame, key: str, other: str, reviewed_only: bool, limit: int) -> DataFrame:

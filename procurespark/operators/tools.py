@@ -35,12 +35,12 @@ def _items(df: DataFrame, kind: str, key: str, label, position: str = "position"
 
 
 def _search_products(catalog: Catalog, args: dict, context: dict) -> Answer:
-    page = reads.list_products(catalog.products, catalog.offers, args["query"], page_size=int(args.get("limit") or 8)).withColumn("position", F.monotonically_increasing_id())
+    page = reads.list_products(catalog.products, catalog.offers, args["query"], page_size=int(args.get("limit") or 8), positions=True)
     return reads.role_view(page, "product", "buyer"), _items(page, "product", "id", F.col("name"))
 
 
 def _search_protocols(catalog: Catalog, args: dict, context: dict) -> Answer:
-    page = reads.list_protocols(catalog.protocols, catalog.links, args["query"], page_size=int(args.get("limit") or 8)).withColumn("position", F.monotonically_increasing_id())
+    page = reads.list_protocols(catalog.protocols, catalog.links, args["query"], page_size=int(args.get("limit") or 8), positions=True)
     return page.select("id", "title", "product_count", "first_author"), _items(page, "protocol", "id", protocol_label(F.col("title"), F.col("first_author")))
 
 
@@ -67,7 +67,7 @@ def _product_detail(catalog: Catalog, args: dict, context: dict) -> Answer:
 
 
 def _protocols_by_material(catalog: Catalog, args: dict, context: dict) -> Answer:
-    found = reads.protocols_by_material(catalog.protocols, catalog.links, args["material"], min(int(args.get("limit") or 10), 50)).withColumn("position", F.monotonically_increasing_id())
+    found = reads.protocols_by_material(catalog.protocols, catalog.links, args["material"], min(int(args.get("limit") or 10), 50), positions=True)
     return found.drop("position"), _items(found, "protocol", "id", F.col("title"))
 
 
