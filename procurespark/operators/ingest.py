@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from procurespark.functions.scoring import GateBars
 from procurespark.functions.text import canonical_text
 from procurespark.functions.vectors import HASH_MODEL, hash_embedding
 from procurespark.operators import conformance, knn, matching, tables
@@ -110,14 +111,14 @@ def refreshed(lists: DataFrame, products: DataFrame, changed: DataFrame, least:
     return again.unionByName(merged)
 
 
-def gated(neighbours: DataFrame, products: DataFrame, gold: DataFrame) -> DataFrame:
+def gated(neighbours: DataFrame, products: DataFrame, gold: DataFrame, bars: GateBars = GateBars()) -> DataFrame:
     """The gate's verdict (one row) on edges from ``neighbours``.
 
     ``gold`` has ``confidence`` and ``gold`` of labelled pairs; the share of products with an exact
     candidate is taken over all products.
     """
     judged = confusion(gold.withColumn("pred", predicted_kind(F.col("confidence"), 0.92, 0.80)))
-    return gate(judged.crossJoin(matching.sample_exact_rate(neighbours, products, sample=None)))  # one row each
+    return gate(judged.crossJoin(matching.sample_exact_rate(neighbours, products, sample=None)), bars)  # one row each
 
 
 def rebuild(products: DataFrame, neighbours: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,21 +126,22 @@ def rebuild(products: DataFrame, neighbours: DataFrame, gold: DataFrame) -> tupl
     return matching.equivalences(neighbours, products), gated(neighbours, products, gold)
 
 
-def rebuild_store(work: Work, gold: DataFrame, changed: DataFrame | None = None, candidates: int = 20, buckets: int = 64) -> DataFrame:
+def rebuild_store(work: Work, gold: DataFrame, changed: DataFrame | None = None, candidates: int = 20, buckets: int = 64, bars: GateBars = GateBars()) -> DataFrame:
     """Neighbours and equivalences of ``work``'s products made anew where the gate passes; its verdict (one row) with ``equivalences_written``.
 
     With ``changed`` (``id``), the stored neighbours are brought up to date instead of searched for, and only edges of
-    products whose neighbours or own record changed are written again; the result is that of a full rebuild.
-    Where the gate fails, nothing is written.
+    products whose neighbours or own record changed are written again; the result is that of a full rebuild, which is made where
+    no neighbours are stored yet. Where the gate fails, nothing is written.
     """
     products = work.read("products")
+    changed = changed if work.entry("neighbours") else None
     if changed is None:
         lists = work.scratch("lists", neighbour_lists(products, 2 * candidates))
     else:
         before = work.read("neighbours")
         lists = work.scratch("lists", refreshed(before, products, changed, candidates, 2 * candidates))
     first = lists.filter(F.col("rank") <= candidates)
-    verdict = checkpointed(gated(first, products, gold))
+    verdict = checkpointed(gated(first, products, gold, bars))
     (passed,) = verdict.select("passed").first()
     if not passed:
         return verdict.withColumn("equivalences_written", F.lit(0).cast("long"))

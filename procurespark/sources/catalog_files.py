@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from procurespark.functions.text import strip
 from procurespark.schemas import EXTRACTED_PRODUCT
+from procurespark.sources.delimited import read_delimited_parts
 
 FIELDS = ["supplier_sku", "name", "category", "brand", "mpn", "pack_size", "cost", "currency", "stock", "lead_time_days", "specs"]
 EXTRACTOR_CHARS = 120_000
@@ -147,7 +148,7 @@ def read_catalog(spark: SparkSession, path: str, extract: Callable[[str], list[d
     """Products of a catalog file, by its suffix; anything but a table goes to ``extract``."""
     suffix = posixpath.splitext(path.lower())[1]
     if suffix in (".csv", ".tsv"):
-        return validated(coerce_products(read_delimited(spark, path)), mode)
+        return validated(coerce_products(read_delimited_parts(spark, path)), mode)
     if suffix in (".xlsx", ".xlsm"):
         return validated(coerce_products(read_spreadsheet(spark, path)), mode)
     if extract is None:
