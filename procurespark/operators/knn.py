@@ -42,8 +42,13 @@ def best_of(ids: np.ndarray, queries: np.ndarray, similarity: np.ndarray, k: int
     if skip_self:
         similarity = np.where(ids[None, :] == queries[:, None], -np.inf, similarity)
     k = min(k, similarity.shape[1])
-    bound = np.partition(similarity, -k, axis=1)[:, -k]  # all at the bound stay, ties are ranked later
+    bound = np.partition(similarity, -k, axis=1)[:, -k]
     row, column = np.nonzero((similarity >= bound[:, None]) & np.isfinite(similarity))
+    # Of those at the bound, which may be very many copies of one vector, the smallest ids stay.
+    order = np.lexsort((ids[column], -similarity[row, column], row))
+    row, column = row[order], column[order]
+    some = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, column = row[some], column[some]
     return queries[row], ids[column], 1.0 - similarity[row, column]
 
 
