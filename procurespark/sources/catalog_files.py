@@ -115,17 +115,27 @@ def validated(products: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return products.filter("valid").drop("valid")
 
 
+def _pieces(text: str, chars: int) -> Iterator[str]:
+    """A text in pieces of at most ``chars`` characters, cut behind a line end where there is one, else behind a blank."""
+    at = 0
+    while len(text) - at > chars:
+        end = next((e for e in (text.rfind(mark, at, at + chars) + 1 for mark in ("\n", " ")) if e), at + chars)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def extract_documents(spark: SparkSession, path: str, extract: Callable[[str], list[dict]], chars: int = EXTRACTOR_CHARS) -> DataFrame:
     """Products from unstructured documents by ``extract``, a client's function from text to records.
 
-    Documents are read whole; the function sees the first ``chars`` characters, which is
-    the extractor's own limit. Records that don't fit the schema are left out.
+    Documents are read whole; the function sees at most ``chars`` characters at once, which is
+    the extractor's own limit, and longer documents piece by piece, lines kept whole. Records that don't fit the schema are left out.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for text in frame["value"]:
-                found = [r for r in extract(text[:chars]) if r.get("supplier_sku") and r.get("name")]
+            for text in (piece for document in frame["value"] for piece in _pieces(document, chars)):
+                found = [r for r in extract(text) if r.get("supplier_sku") and r.get("name")]
                 rows = [{f: (r.get(f) if f != "specs" else {k: str(v) for k, v in (r.get(f) or {}).items()}) for f in FIELDS} | {"currency": r.get("currency", "CNY")} for r in found]
                 yield pd.DataFrame(rows, columns=FIELDS)
 

@@ -219,3 +219,12 @@ def test_delimited_files_by_many_tasks(spark, tmp_path):
     (path / "f.csv").write_bytes(b"a,b\r\n1,2\r\n")
     (path / "g.csv").write_bytes(b"a,b\n3,4")
     assert sorted(map(tuple, delimited.read_delimited_parts(spark, str(path)).collect())) == [("1", "2"), ("3", "4")]
+
+
+def test_long_documents_are_read_whole(spark, tmp_path):
+    """A document over the extractor's limit is read piece by piece, no line cut where it has line ends."""
+    lines = [f"X{n}|item number {n}" for n in range(200)]
+    (tmp_path / "long.txt").write_text("\n".join(lines) + "\n" + "y" * 250)
+    seen = lambda piece: [{"supplier_sku": a, "name": b} for a, _, b in (x.partition("|") for x in piece.splitlines())] if len(piece) <= 100 else []
+    found = catalog_files.extract_documents(spark, str(tmp_path / "long.txt"), seen, chars=100)
+    assert sorted(f"{r.supplier_sku}|{r.name}" for r in found.collect()) == sorted(lines)
