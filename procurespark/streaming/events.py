@@ -65,48 +65,53 @@ class _Machine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "state string, refused int, repeated int")
-        self.waiting = handle.getMapState("waiting", "at long, key string", "event string")
-        self.seen = handle.getMapState("seen", "key string", "at long")
-
-    def _now(self) -> tuple:
-        return self.state.get() if self.state.exists() else (self.start, 0, 0)
+        # One value, read and written once a call, as each access of a state costs about a millisecond.
+        self.held = handle.getValueState("held", "state string, refused int, repeated int, applied int, due long, at array<long>, keys array<string>, events array<string>, seen array<string>, seen_at array<long>")
+
+    def _now(self) -> tuple[list, list[tuple], dict[str, int]]:
+        held = self.held.get() or (self.start, 0, 0, 0, None, [], [], [], [], [])
+        return list(held[:5]), list(zip(*held[5:8], strict=True)), dict(zip(*held[8:], strict=True))
+
+    def _kept(self, entity: str, counts: list, waiting: list[tuple], seen: dict[str, int]) -> pd.DataFrame:
+        """What is kept of an entity, and its row; one timer is enough, that of the earliest event that waits."""
+        earliest = min((at for at, *_ in waiting), default=None)
+        if earliest is not None and (counts[4] is None or earliest < counts[4]):
+            self.handle.registerTimer(earliest)
+            counts[4] = earliest
+        at, keys, events = ([e[k] for e in waiting] for k in range(3))
+        self.held.update((*counts, at, keys, events, list(seen), list(seen.values())))
+        return pd.DataFrame({"entity": [entity]} | {c: [v] for c, v in zip(("state", "refused", "repeated", "applied"), counts, strict=False)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = {k[0] for k in self.seen.keys()}
-        state, refused, repeated = self._now()
+        counts, waiting, seen = self._now()
         for frame in rows:
             for event, at, name in zip(frame["event"], frame["at"], frame["key"], strict=True):
-                if name in known:
-                    repeated += 1
+                if name in seen:
+                    counts[2] += 1
                 else:
-                    known.add(name)
-                    self.seen.updateValue((name,), (int(at),))
-                    self.waiting.updateValue((int(at), name), (event,))
-                    self.handle.registerTimer(int(at))
-        self.state.update((state, refused, repeated))
-        yield pd.DataFrame({"entity": [key[0]], "state": [state], "refused": [refused], "repeated": [repeated]})
+                    seen[name] = int(at)
+                    waiting.append((int(at), name, event))
+        yield self._kept(key[0], counts, waiting, seen)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        state, refused, repeated = self._now()
-        for (at, name), (event,) in sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= until):
+        """All events whose time has passed, in one go: the state is read and written once, however many there are."""
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        (state, refused, repeated, applied, _), waiting, seen = self._now()
+        ready = sorted((e for e in waiting if e[0] <= until), key=lambda e: e[:2])
+        for _, _, event in ready:
             to = self.steps.get((state, event))
             refused += to is None
             state = state if to is None else to
-            self.waiting.removeKey((at, name))
-        for (name,), (at,) in list(self.seen.iterator()):
-            if at <= until - self.remembered:
-                self.seen.removeKey((name,))
-        self.state.update((state, refused, repeated))
-        yield pd.DataFrame({"entity": [key[0]], "state": [state], "refused": [refused], "repeated": [repeated]})
+        later = [e for e in waiting if e[0] > until]
+        remembered = {name: at for name, at in seen.items() if at > until - self.remembered}
+        yield self._kept(key[0], [state, refused, repeated, applied + len(ready), None], later, remembered)
 
     def close(self) -> None:
         pass
 
 
 def streamed_state(events: DataFrame, start: str, steps: dict[tuple[str, str], str], entity: str = "entity_id", event: str = "event", time: str = "occurred_at", key: str = "idempotency_key", lateness: str = "1 hour", remembered_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """``entity, state, refused, repeated`` of a stream's entities whenever they change; a restarted query goes on with its states.
+    """``entity, state, refused, repeated, applied`` of a stream's entities whenever they change; a restarted query goes on with its states.
 
     Events wait until the watermark, ``lateness`` behind the newest event, has passed them, and are then applied in order
     of time (in milliseconds) and key, so they may come in any order within that. A key that was seen counts as repeated, for
@@ -114,13 +119,13 @@ def streamed_state(events: DataFrame, start: str, steps: dict[tuple[str, str], s
     been applied the states are those of ``folded_state``. An entity keeps its waiting events and its remembered keys.
     """
     held = events.withWatermark(time, lateness).select(F.col(entity).cast("string").alias("entity"), F.col(event).alias("event"), F.col(time), F.unix_millis(F.col(time)).alias("at"), F.col(key).cast("string").alias("key"))
-    out = "entity string, state string, refused int, repeated int"
+    out = "entity string, state string, refused int, repeated int, applied int"
     return held.groupBy("entity").transformWithStateInPandas(_Machine(start, steps, remembered_ms), out, "Update", "EventTime")
 
 
 def latest_rows(written: DataFrame) -> DataFrame:
-    """The last row of each entity of a table that states were appended to: counters never fall, so it is that with the most behind it, then the latest."""
-    order = F.struct("written", F.col("refused") + F.col("repeated"))
+    """The last row of each entity of a table that states were appended to: counters never fall, so it is the latest, of those written at once that with the most behind it."""
+    order = F.struct("written", F.col("applied") + F.col("repeated"))
     return written.groupBy("entity").agg(F.max_by(F.struct("state", "refused", "repeated"), order).alias("_row")).select("entity", "_row.*")
 
 

@@ -458,3 +458,18 @@ def test_vector_index_recall(spark):
     pairs = {(r.query_id, r.id) for r in exact.collect() if r.query_id != 500}
     assert len({(r.query_id, r.id) for r in found.collect()} & pairs) >= 0.9 * len(pairs)
     assert vector_index.fit(frame.filter("id = 500")) is None
+
+
+def test_streamed_state_takes_what_is_due_at_once(spark, tmp_path):
+    """An entity whose time passes for all its events writes one row, not one for each, and events lead on from one another."""
+    rows = [(f"k{k}", "e", 1000 + k, ["submitted", "confirmed", "paid"][min(k, 2)]) for k in range(50)]
+    schema = "idempotency_key string, entity_id string, t long, event string"
+    for n, part in enumerate((rows, [("far", "z", 10_000_000, "paid")])):
+        spark.createDataFrame(part, schema).withColumn("occurred_at", F.timestamp_seconds("t")).drop("t").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+        made = idempotent.streamed_state(stream, idempotent.ORDER_START, idempotent.ORDER_STEPS).withColumn("written", F.current_timestamp())
+        idempotent.run_once(made, str(tmp_path / "out"), str(tmp_path / "ck"), "update")
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.filter("entity = 'e' and applied > 0").count() == 1
+    (row,) = idempotent.latest_rows(written.filter("entity = 'e'")).collect()
+    assert (row.state, row.refused) == ("paid", 47)
