@@ -1,10 +1,9 @@
 """Nearest neighbours by cosine distance.
 
-Vectors are compared in blocks of a bounded number of rows: a block of queries meets a
-block of vectors in one task, which keeps the best k of each query; a window ranks what
-the tasks kept. Nothing passes through the driver. ``nearest`` is exact: every block of
-queries meets every block of vectors. ``nearest_by_cell`` only has vectors of near cells
-of a k-means model meet, each cell in blocks too.
+A task holds a bounded group of queries and their best k, and vectors stream past it; a
+window ranks what the tasks kept. Nothing passes through the driver. ``nearest`` is exact: every vector
+meets every group of queries. ``nearest_by_cell`` only has vectors of near cells
+of a k-means model meet, each cell in blocks of a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from procurespark.storage import checkpointed
 
 BLOCK = 4096
 CHUNK = 1024
+CELLS = 4_194_304
 NEIGHBOURS = "query_id long, id long, distance double"
 
 
@@ -74,22 +74,134 @@ def _block(n: Column | int, seed: int) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(seed)), n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "id", vector_col: str = "embedding", skip_self: bool = True, block: int = BLOCK) -> DataFrame:
+#: A task holds at most so many numbers of queries' vectors and so many queries, and work is dealt to this many tasks, where there is enough.
+HELD, QUERIES, TASKS = 16_777_216, 65_536, 36
+
+
+class _Best:
+    """The k best of each query of a task among the vectors that have come by.
+
+    Single precision tells which pairs may be among them; those are compared in double precision.
+    """
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, k: int, skip_self: bool):
+        self.ids, self.unit, self.k, self.skip = ids, unit, k, skip_self
+        self.rough, self.slack = unit.astype(np.float32), 1.2e-7 * (unit.shape[1] + 16)  # above what rounding can amount to
+        self.bound = np.full(len(ids), -np.inf)  # the k-th best similarity so far
+        self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # row, id, similarity
+        self.loose: list[tuple] = []
+        self.n = 0
+
+    def _exactly(self, row: np.ndarray, column: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        step = max(1, CELLS // max(1, unit.shape[1]))
+        parts = [np.einsum("ij,ij->i", self.unit[row[x : x + step]], unit[column[x : x + step]]) for x in range(0, len(row), step)]
+        return np.round(np.concatenate(parts), 12) if parts else np.zeros(0)  # so that equal vectors tie
+
+    def meet(self, ids: np.ndarray, unit: np.ndarray) -> None:
+        step, rough = max(1, CELLS // max(1, len(ids))), unit.astype(np.float32).T
+        for x in range(0, len(self.ids), step):
+            similarity = self.rough[x : x + step] @ rough
+            least = (self.bound[x : x + step] - self.slack).astype(np.float32)
+            at = np.flatnonzero(similarity >= least[:, None])
+            if len(at) > 2 * self.k * len(similarity) and similarity.shape[1] > self.k:
+                low = np.partition(similarity, -self.k - 1, axis=1)[:, -self.k - 1] - np.float32(2 * self.slack)  # one more, as a query may be its own best
+                at = np.flatnonzero(similarity >= np.maximum(low, least)[:, None])
+            row, column = np.divmod(at, len(ids))
+            row, other = row + x, ids[column]
+            found = self._exactly(row, column, unit)
+            some = found >= self.bound[row]
+            if self.skip:
+                some &= other != self.ids[row]
+            self.loose.append((row[some], other[some], found[some]))
+            self.n += int(some.sum())
+            if self.n > 4 * self.k * len(self.ids) + 1_000_000:
+                self.settle()
+
+    def settle(self) -> None:
+        row, other, found = (np.concatenate(x) for x in zip(self.best, *self.loose, strict=True))
+        order = np.lexsort((other, -found, row))
+        row, other, found = row[order], other[order], found[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        some = place < self.k
+        last = place == self.k - 1
+        self.bound[row[last]] = found[last]
+        self.best, self.loose, self.n = (row[some], other[some], found[some]), [], 0
+
+    def found(self) -> pa.RecordBatch:
+        self.settle()
+        row, other, similarity = self.best
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(other), pa.array(1.0 - similarity)], ["query_id", "id", "distance"])
+
+
+def _streamed(k: int, skip_self: bool):
+    """Vectors pass the queries of each task, which come first (``side`` 0) and are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, best = [], None
+        for batch in batches:
+            side = batch.column(0).to_numpy(zero_copy_only=False)
+            first = int(np.searchsorted(side, 1))
+            ids, unit = batch.column(1).to_numpy(zero_copy_only=False), _unit(_matrix(batch.column(2)))
+            if first:
+                asked.append((ids[:first], unit[:first]))
+            if first == len(side) or not asked:
+                continue
+            if best is None:
+                best = _Best(*(np.concatenate(x) for x in zip(*asked, strict=True)), k, skip_self)
+            best.meet(ids[first:], unit[first:])
+            if best.n > best.k * len(best.ids):
+                best.settle()
+        if best is not None:
+            yield best.found()
+
+    return run
+
+
+def _dealt(asked: DataFrame, offered: DataFrame, n_asked: int, n_offered: int, width: int, k: int, skip_self: bool, block: int) -> DataFrame:
+    """``query_id, id, distance, rank`` of queries and vectors (``id, v``), in a number of groups of each."""
+    most = max(1, min(block, HELD // max(1, width)))
+    n = max(min(TASKS, -(-n_asked // min(most, CHUNK))), -(-n_asked // most), 1)
+    m = max(1, min(-(-TASKS // n), -(-n_offered // BLOCK)))
+    spread = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    left = asked.select(F.lit(0).alias("side"), "id", "v", _block(n, 1).alias("q"), spread(m).alias("o"))
+    right = offered.select(F.lit(1).alias("side"), "id", "v", _block(m, 2).alias("o"), spread(n).alias("q")).select(left.columns)
+    dealt = left.unionByName(right).repartitionById(n * m, F.col("q") * m + F.col("o")).sortWithinPartitions("side")
+    return _ranked(dealt.select("side", "id", "v").mapInArrow(_streamed(k, skip_self), NEIGHBOURS), k)
+
+
+def _of_copies(asked: DataFrame, offered: DataFrame, width: int, k: int, skip_self: bool, block: int) -> DataFrame:
+    """As ``_dealt``, each different vector compared once and standing for its k + 1 smallest ids, which are all that a list can hold of them."""
+    once = lambda df: checkpointed(df.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    named = lambda df, kinds: df.join(kinds.withColumnRenamed("id", "kind"), "v").select("kind", "id")
+    kinds, shown = once(asked), once(offered)
+    smallest = Window.partitionBy("kind").orderBy("id")
+    first = named(offered, shown).withColumn("_n", F.row_number().over(smallest)).filter(F.col("_n") <= k + 1).drop("_n")
+    near = _dealt(kinds, shown, kinds.count(), shown.count(), width, k + 1, False, block).withColumnRenamed("id", "kind").drop("rank")
+    lists = _ranked(near.join(first, "kind").select("query_id", "id", "distance"), k + 1).withColumnRenamed("query_id", "kind").drop("rank")
+    own = named(asked, kinds).withColumnRenamed("id", "query_id").join(lists, "kind").select("query_id", "id", "distance")
+    return _ranked(own.filter(F.col("query_id") != F.col("id")) if skip_self else own, k)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "id", vector_col: str = "embedding", skip_self: bool = True, block: int = QUERIES) -> DataFrame:
     """``query_id, id, distance, rank``: the k vectors nearest to each query, itself left out.
 
     Rows with a null vector take no part; a zero vector is at distance 1 from all; of equal
-    distances the smaller id goes first; no queries or no vectors give no rows.
+    distances the smaller id goes first; no queries or no vectors give no rows. A task holds at most about ``block`` queries
+    with their k best, and vectors stream past them, so every vector is shuffled once for each group of queries: 36 times up to
+    36 blocks. Only where queries are few are vectors dealt to several tasks too. Where most vectors are copies of others, each is compared once.
     """
+    kind = "array<double>" if dict(queries.dtypes)[vector_col] != dict(vectors.dtypes)[vector_col] else dict(vectors.dtypes)[vector_col]
 
     def held(df: DataFrame) -> DataFrame:
-        return df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+        return df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
 
     asked, offered = held(queries), held(vectors)
-    n, m = (max(1, -(-df.count() // block)) for df in (asked, offered))
-    spread = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    left = asked.withColumn("q", _block(n, 1)).withColumn("o", spread(m))
-    right = offered.withColumn("o", _block(m, 2)).withColumn("q", spread(n))
-    return _ranked(left.groupBy("q", "o").cogroup(right.groupBy("q", "o")).applyInArrow(_compare(k, skip_self), NEIGHBOURS), k)
+    of_asked = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    of_offered = offered.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v")).alias("kinds")).first()
+    width = of_asked["width"] or 1
+    if of_offered["kinds"] * 2 < of_offered["n"]:
+        return _of_copies(asked, offered, width, k, skip_self, block)
+    return _dealt(asked, offered, of_asked["n"], of_offered["n"], width, k, skip_self, block)
 
 
 def cells(vectors: DataFrame, n_cells: int, id_col: str = "id", vector_col: str = "embedding", sample: int = 100_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:

@@ -473,3 +473,23 @@ def test_streamed_state_takes_what_is_due_at_once(spark, tmp_path):
     assert written.filter("entity = 'e' and applied > 0").count() == 1
     (row,) = idempotent.latest_rows(written.filter("entity = 'e'")).collect()
     assert (row.state, row.refused) == ("paid", 47)
+
+
+def test_nearest_among_copies_and_passed_on_once(spark, monkeypatch):
+    """Copies of few vectors, zero ones too, give the lists of brute force; however many vectors, a task passes on k of each query."""
+    rng = np.random.default_rng(3)
+    m = rng.integers(-2, 3, size=(12, 4)).astype(float)[rng.integers(0, 12, 300)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>").repartition(4)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+    d = 1 - np.round(unit @ unit.T, 12)
+    want = {(q, i, r) for q in range(300) for r, i in enumerate(sorted((j for j in range(300) if j != q), key=lambda j: (d[q, j], j))[:5], 1)}
+    assert {(r.query_id, r.id, r.rank) for r in knn.nearest(frame, frame, 5).collect()} == want
+    direct = knn._dealt(*2 * [frame.withColumnRenamed("embedding", "v")], 300, 300, 4, 5, True, 70)
+    assert {(r.query_id, r.id, r.rank) for r in direct.collect()} == want
+    some = frame.filter("id % 50 = 0")
+    assert {(r.query_id, r.id, r.rank) for r in knn.nearest(some, frame, 5).collect()} == {w for w in want if w[0] % 50 == 0}
+    best = knn._Best(np.arange(3), unit[:3], 5, True)
+    for x in range(0, 300, 10):
+        best.meet(np.arange(x, x + 10), unit[x : x + 10])
+    assert len(best.found()) == 15
