@@ -11,7 +11,7 @@ from procurespark.operators import conformance, reads, tools
 from procurespark.operators import tables as snapshots
 from procurespark.plans.queries import LANDED_SQL, LINKS_SQL, OFFERS_SQL, PRODUCTS_SQL, PROTOCOLS_SQL
 from procurespark.plans.registry import query
-from procurespark.plans.tables import links, offers, products, protocols, table
+from procurespark.plans.tables import dealt, links, offers, products, protocols, table
 
 
 def nothing() -> Column:
@@ -146,7 +146,7 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     long = F.when(k % 10 == 0, F.repeat(F.lit('\\"cost\\": \\n '), 2000)).otherwise("")
     payload = F.concat(F.lit('{"name": '), F.to_json(F.struct("p_name")), F.lit(', "long": "'), long, F.lit('", "inner": '), inner, F.lit(', "outer": '), outer, F.lit("}"))
-    made = table(spark, sf_dir, "part").select(k.alias("id"), payload.alias("payload"))
+    made = dealt(table(spark, sf_dir, "part")).select(k.alias("id"), payload.alias("payload"))
     return made.select("id", F.array_join(conformance.leaked_keys(F.col("payload"), ["supplier_sku", "cost", "tier"]), ",").alias("leaked"), conformance.is_foreign(F.col("payload")).alias("is_foreign"))
 
 

@@ -47,3 +47,8 @@ def protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://orders.example/"), F.col("o_orderkey").cast("string")).alias("source_uri"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("servable"),
         F.col("o_totalprice").alias("rank_score"), F.array(F.concat(F.lit("C"), F.col("o_custkey").cast("string"))).alias("authors"),
     )
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a small file dealt to all cores, where much work on each row follows: read as it is, it is one task's."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)

@@ -493,3 +493,14 @@ def test_nearest_among_copies_and_passed_on_once(spark, monkeypatch):
     for x in range(0, 300, 10):
         best.meet(np.arange(x, x + 10), unit[x : x + 10])
     assert len(best.found()) == 15
+
+
+def test_strings_in_one_pass_as_by_columns(spark):
+    """Broken texts, escapes outside of strings, unclosed strings and odd blanks: keys and values as the column functions cut them."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(['"', "\\", ":", "cost", " ", "\\u0063ost", "{", "\\n", "\n", "gid://shopify/", "é", "shopify_x"]) for _ in range(rng.randint(0, 12))) for _ in range(400)] + ['{"a\\\\": 1, "cost" : 2}', '{"x": "cost', '"cost":\\', "[" * 10_000 + '"cost":']
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "id long, p string")
+    by_columns = F.exists(conformance.json_keys(F.col("p")), lambda k: F.rlike(k, F.lit(conformance.FOREIGN_KEYS))) | F.exists(conformance.json_values(F.col("p")), lambda v: F.contains(v, F.lit(conformance.FOREIGN_VALUES)))
+    keys = F.array_sort(F.array_intersect(conformance.json_keys(F.col("p")), F.array(F.lit("cost"), F.lit("x"))))
+    made = frame.select("id", "p", conformance.leaked_keys(F.col("p"), ["cost", "x"]).alias("a"), keys.alias("b"), conformance.is_foreign(F.col("p")).alias("c"), by_columns.alias("d"))
+    assert [r for r in made.collect() if r.a != r.b or r.c != r.d] == []
