@@ -77,7 +77,10 @@ def resolve_identity(new: DataFrame, stored: DataFrame) -> DataFrame:
     """``new`` with ``existing_id``: the stored row with its identifier as written, else with its source and source id."""
     by_doi = stored.filter(filled(F.col("doi")).isNotNull()).select(F.col("doi").alias("_doi"), F.col("id").alias("_doi_hit"))
     by_key = stored.select(F.col("source").alias("_source"), F.col("source_id").alias("_source_id"), F.col("id").alias("_key_hit"))
-    met = new.join(by_doi, F.col("doi") == F.col("_doi"), "left").join(by_key, (F.col("source") == F.col("_source")) & (F.col("source_id") == F.col("_source_id")), "left")
+    # Rows without an identifier would all fall to one task: they are dealt by their source's id and meet nothing.
+    has = filled(F.col("doi")).isNotNull()
+    meets = F.when(has, F.col("doi")).otherwise(F.xxhash64("source", "source_id").cast("string"))
+    met = new.join(by_doi, (meets == F.col("_doi")) & has, "left").join(by_key, (F.col("source") == F.col("_source")) & (F.col("source_id") == F.col("_source_id")), "left")
     return met.withColumn("existing_id", F.coalesce("_doi_hit", "_key_hit")).drop("_doi", "_doi_hit", "_source", "_source_id", "_key_hit")
 
 

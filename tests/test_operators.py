@@ -504,3 +504,13 @@ def test_strings_in_one_pass_as_by_columns(spark):
     keys = F.array_sort(F.array_intersect(conformance.json_keys(F.col("p")), F.array(F.lit("cost"), F.lit("x"))))
     made = frame.select("id", "p", conformance.leaked_keys(F.col("p"), ["cost", "x"]).alias("a"), keys.alias("b"), conformance.is_foreign(F.col("p")).alias("c"), by_columns.alias("d"))
     assert [r for r in made.collect() if r.a != r.b or r.c != r.d] == []
+
+
+def test_rows_without_identifier_are_dealt_out(spark):
+    """Protocols without an identifier meet by source and id, and their join's keys are not all one null."""
+    new = spark.range(100).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("source_id"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("d"), "id")).when(F.col("id") % 5 == 1, "").alias("doi"), F.col("id").alias("k"))
+    stored = new.filter("k % 2 = 0").select(F.concat(F.lit("i"), "source_id").alias("id"), F.col("doi"), F.when(F.col("k") % 10 == 0, "other").otherwise(F.col("source")).alias("source"), "source_id")
+    met = corpus.resolve_identity(new, stored)
+    assert {r.k: r.existing_id for r in met.collect()} == {k: f"i{k}" if k % 2 == 0 else None for k in range(100)}
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan
