@@ -15,6 +15,8 @@ from pyspark.util import PythonEvalType
 from procurespark.functions.text import BLANK_CLASS
 
 DIMENSIONS = 1024
+#: Rows that a task holds with the places of all their tokens at once.
+ROWS = 512
 HASH_MODEL = "hashing-1024"
 
 
@@ -68,8 +70,10 @@ def sparse_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, slot, weight = _weights(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(slot.astype(np.int32)), pa.array(weight)], ["id", "slot", "weight"])
+            for x in range(0, len(batch), ROWS):
+                ids, held = batch.column(0).slice(x, ROWS), batch.column(1).slice(x, ROWS)
+                row, slot, weight = _weights(held)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(slot.astype(np.int32)), pa.array(weight)], ["id", "slot", "weight"])
 
     return docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("held")).mapInArrow(made, f"id {dict(docs.dtypes)[id_col]}, slot int, weight double")
 

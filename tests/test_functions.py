@@ -135,3 +135,18 @@ def test_signatures(spark):
     rows = [([*items, ("signature", digest)],), ([*items, ("signature", "")],), (items,), ([*items, ("signature", "é")],), ([("a", "2"), ("signature", digest)],)]
     got = values(spark, rows, signatures.valid_signature(F.col("p"), "s"), schema="p array<struct<key:string,value:string>>")
     assert [v for (v,) in got] == [True, False, False, False, False]
+
+
+def test_sparse_embedding_in_slices(spark, monkeypatch):
+    """Rows beyond a slice get the weights that one slice of all gives; a slice holds no more rows than it may."""
+    docs = spark.createDataFrame([(k, f"a b{k % 3} a c{k}") for k in range(50)], "id long, t string").coalesce(1)
+    whole = {tuple(r) for r in vectors.sparse_embedding(docs, "id", "t").collect()}
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    import pyarrow as pa
+
+    held = [["a", f"b{k % 3}", "a", f"c{k}"] for k in range(50)]
+    parts = set()
+    for x in range(0, 50, vectors.ROWS):
+        row, slot, weight = vectors._weights(pa.array(held).slice(x, vectors.ROWS))
+        parts |= {(int(r) + x, int(s), float(w)) for r, s, w in zip(row, slot, weight, strict=True)}
+    assert parts == whole
