@@ -436,10 +436,9 @@ def enrich_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
         spoilt = {"1": {"confidence": 1.5}, "2": {"role": "gadget"}, "3": {"name": None}}.get(names[-1], {})
         return [{"name": n, "role": "reagent", "confidence": 1} | (spoilt if n == names[-1] else {}) for n in names]
 
-    turn = (order_key() % 4).cast("string")
-    made = _materials(spark, sf_dir).join(table(spark, sf_dir, "orders").select(order_key().alias("id"), turn.alias("turn")), "id")
-    named = F.transform("materials", lambda m: F.when(m["name"] == "maybe", m.withField("name", F.col("turn"))).otherwise(m))
-    return matching.enrich_materials(made.withColumn("materials", named), classify).select("id", "error", "materials_out")
+    turn = (F.col("id") % 4).cast("string")
+    named = F.transform("materials", lambda m: F.when(m["name"] == "maybe", m.withField("name", turn)).otherwise(m))
+    return matching.enrich_materials(_materials(spark, sf_dir).withColumn("materials", named), classify).select("id", "error", "materials_out")
 
 
 @query("q_category_filter", "SELECT 'C7' AS category_id, 'Nation ' || n_name AS category_name, 'Nation ' || n_name AS queries FROM nation WHERE n_nationkey = 7")

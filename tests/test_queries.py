@@ -42,3 +42,8 @@ def test_entry(spark):
 def test_backfill_embeds_two_thirds(spark):
     made = QUERIES["q_backfill"](spark, SF).collect()
     assert sum(r.dimensions == 1024 for r in made) == sum(r.id % 3 != 0 for r in made) > 0
+
+
+@pytest.mark.parametrize("name, node", [("q_enrich_invalid", "Join")])
+def test_plan_has_no(spark, name, node):
+    assert node not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
