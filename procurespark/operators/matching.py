@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procurespark.functions.scoring import MATERIAL_THRESHOLDS, PRODUCT_THRESHOLDS, Thresholds, attribute_bonus, classify, confidence
@@ -14,6 +14,7 @@ from procurespark.functions.vectors import hash_embedding, is_stale
 from procurespark.operators.knn import nearest
 from procurespark.operators.snapshots import Store, bucket_of, unit_of_work
 from procurespark.schemas import MATERIALS
+from procurespark.storage import checkpointed
 
 METHOD = "vector+rules"
 #: What a line of materials can be.
@@ -76,18 +77,27 @@ def catalog_hits(lines: DataFrame, products: DataFrame) -> DataFrame:
     return keyed.join(known, ["_b", "_m"]).drop("_b", "_m")
 
 
-def embedding_candidates(products: DataFrame, embed: Callable[[Column], Column] = hash_embedding, k: int = 20) -> Callable[[DataFrame], DataFrame]:
+def embedding_candidates(products: DataFrame, embed: Callable[[Column], Column] = hash_embedding, k: int = 20, text: Column | None = None) -> Callable[[DataFrame], DataFrame]:
     """Candidates for ``match_materials``: the products nearest to each different name.
 
-    ``products`` have ``embedding``; ids are whole numbers or strings.
+    ``products`` have ``embedding``; ids are whole numbers or strings. With ``text``, they are embedded by it instead, each different text
+    once: it stands for its k smallest ids, which are all that a list can hold of it.
     """
 
     def candidates(lines: DataFrame) -> DataFrame:
         keyed = lines.withColumn("_q", F.xxhash64("name"))
         asked = keyed.select("_q", "name").distinct().select(F.col("_q").alias("_n"), embed(F.col("name")).alias("embedding"))
         number = F.col("id") if dict(products.dtypes)["id"] == "bigint" else F.xxhash64("id")
-        held = products.select(number.alias("_n"), F.col("id").alias("product_id"), "embedding")
-        found = nearest(asked, held, k, "_n", skip_self=False)
+        if text is None:
+            held = products.select(number.alias("_n"), F.col("id").alias("product_id"), "embedding")
+            found = nearest(asked, held, k, "_n", skip_self=False)
+        else:
+            held = products.select(number.alias("_n"), F.col("id").alias("product_id"), text.alias("_text"))
+            first = checkpointed(held.withColumn("_k", F.row_number().over(Window.partitionBy("_text").orderBy("_n"))).filter(F.col("_k") <= k))
+            kinds = checkpointed(first.filter("_k = 1").select(F.col("_n").alias("id"), "_text"))
+            met = nearest(asked, kinds.select(F.col("id").alias("_n"), embed(F.col("_text")).alias("embedding")), k, "_n", skip_self=False)
+            spread = met.drop("rank").join(kinds, "id").drop("id").join(first.select("_text", F.col("_n").alias("id")), "_text").drop("_text")
+            found = spread.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).filter(F.col("rank") <= k)
         met = found.join(held.select(F.col("_n").alias("id"), "product_id"), "id").select(F.col("query_id").alias("_q"), "product_id", "distance", "rank")
         return keyed.join(met, "_q").drop("_q")
 

@@ -238,7 +238,7 @@ def match_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = products(spark, sf_dir)
     shown = text.canonical_text(F.col("brand"), F.col("name"), F.col("category"), F.col("specs"))
     lines = matching.material_lines(_with_materials(spark, sf_dir))
-    return matching.match_materials(lines, held, matching.embedding_candidates(held.withColumn("embedding", vectors.hash_embedding(shown))))
+    return matching.match_materials(lines, held, matching.embedding_candidates(held, text=shown))
 
 
 @query("q_exact_then_fallback", f"""WITH {PRODUCTS_SQL}, {LINES_SQL}, known AS (SELECT lower(brand) AS b, lower(mpn) AS m, min(id) AS product_id FROM products WHERE mpn IS NOT NULL GROUP BY 1, 2)

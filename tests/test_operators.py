@@ -514,3 +514,11 @@ def test_rows_without_identifier_are_dealt_out(spark):
     assert {r.k: r.existing_id for r in met.collect()} == {k: f"i{k}" if k % 2 == 0 else None for k in range(100)}
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" in plan
+
+
+def test_candidates_by_text_are_those_by_vector(spark):
+    products = spark.range(300).select("id", F.concat_ws(" ", F.lit("x"), (F.col("id") % 7).cast("string"), (F.col("id") % 3).cast("string")).alias("name"), *(F.lit(c).alias(c) for c in ("category", "brand", "mpn")), F.create_map().cast("map<string,string>").alias("specs"))
+    lines = spark.createDataFrame([("x 1", None, None), ("x 2 2", None, None), ("none", None, None)], "name string, vendor string, catalog_no string")
+    by_vector = matching.embedding_candidates(products.withColumn("embedding", vectors.hash_embedding(F.col("name"))))(lines)
+    by_text = matching.embedding_candidates(products, text=F.col("name"))(lines)
+    assert rows_of(by_text.select(by_vector.columns)) == rows_of(by_vector) and by_text.count() == 60
