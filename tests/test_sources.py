@@ -5,6 +5,7 @@ import random
 import zipfile
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from procurespark.operators.snapshots import Store
@@ -221,6 +222,30 @@ def test_delimited_files_by_many_tasks(spark, tmp_path):
     assert sorted(map(tuple, delimited.read_delimited_parts(spark, str(path)).collect())) == [("1", "2"), ("3", "4")]
 
 
+def test_small_blocks_are_read_by_few_tasks(spark, tmp_path):
+    """A task reads many blocks, one after the other, and records go on over Arrow batches and blocks."""
+    rng = random.Random(4)
+    cells = ["plain", '"a,b"', '"line\nend"', '"' + "\n" * 9 + '"', '"say ""hi"""', '"x\r\ny"', ""]
+    for name in ("f", "g"):
+        (tmp_path / f"{name}.csv").write_bytes("".join(["id,note\n", *(f"{name}{k},{rng.choice(cells)}\n" for k in range(300))]).encode())
+    want = Counter(tuple(r) for name in ("f", "g") for r in catalog_files.read_delimited(spark, str(tmp_path / f"{name}.csv")).collect())
+    changed = {"spark.sql.files.maxPartitionBytes": "40", "spark.sql.files.openCostInBytes": "0", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    kept = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        blocks = spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions()
+        tasks = delimited.read_records(spark, str(tmp_path)).filter("NOT leads").rdd.getNumPartitions()
+        assert 2 * tasks < blocks
+        assert Counter(map(tuple, delimited.read_delimited_parts(spark, str(tmp_path)).collect())) == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    records = pa.array(["x" * 700_000, "", "y" * 700_000, "z" * 3_000_000, "w"])
+    parts = delimited._parts(records)
+    assert pa.concat_arrays(parts).equals(records) and len(parts) > 2
+
+
 def test_long_documents_are_read_whole(spark, tmp_path):
     """A document over the extractor's limit is read piece by piece, no line cut where it has line ends."""
     lines = [f"X{n}|item number {n}" for n in range(200)]
