@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from procurespark.llm.decontaminate import without_leaks
 from procurespark.llm.line_dedup import dedup_lines
-from procurespark.llm.near_copies import keep_one_similar
+from procurespark.llm.near_copies import keep_one_near
 from procurespark.llm.packing import pack_tokens
 from procurespark.llm.quality import keep_good
 from procurespark.llm.queries import END_ID, VOCABULARY
@@ -37,12 +37,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (0.8 of shingles of five words) stays, that with the smallest id.
+    """One document of each component of near copies stays, that with the smallest id: by op9's SimHash (three words, 3 bits), and by 0.8 of shingles of five words.
 
     Null and blank texts are copies of each other; a null id stays only where its component
     has no other; repeated rows count as one; an empty table stays empty.
     """
-    return keep_one_similar(docs)
+    return keep_one_near(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

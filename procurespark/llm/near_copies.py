@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procurespark.llm.shared import by_bytes, flat_text, ranges
-from procurespark.llm.simhash import BATCH_BYTES, SEED, _joined, components, row_key, row_order, rows_picked, shingled
-from procurespark.storage import checkpointed
+from procurespark.llm.simhash import BATCH_BYTES, SEED, _fingerprints, _joined, components, fingerprint_roots, row_key, row_order, rows_picked, shingled
+from procurespark.storage import checkpointed, shuffles_removed
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -88,8 +88,8 @@ def _sets_of(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
-def signatures(texts: DataFrame, words: int) -> DataFrame:
-    """``id, row, node, n, bands`` and the signature of each row of ``texts`` (``id, row, text``).
+def signatures(texts: DataFrame, words: int, prints: bool = False) -> DataFrame:
+    """``id, row, node, n, bands`` and the signature of each row of ``texts`` (``id, row, text``), with ``fp``, its SimHash, if asked for.
 
     ``node`` is a hash of the set and ``n`` its size, 0 of a null or blank text, which has no bands.
     """
@@ -98,16 +98,18 @@ def signatures(texts: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             data, offsets = flat_text(batch.column("text"))
             for a, b in by_bytes(offsets, BATCH_BYTES):
-                flat, sizes = _sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                flat, sizes = _sets_of(*own, words)
                 keys, packed = _signed(flat, sizes)
                 ends, held = np.cumsum(sizes).tolist(), flat.tobytes()
                 node = np.array([xxhash.xxh64_intdigest(held[8 * (z - n) : 8 * z], SEED) for z, n in zip(ends, sizes.tolist(), strict=True)], np.uint64)
                 at = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64)))
                 longs = [pa.array(np.ascontiguousarray(packed[:, k]).view(np.int64)) for k in range(len(SIGNATURE))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("id", "row")), pa.array(node.view(np.int64)), pa.array(sizes), bands, *longs], ["id", "row", "node", "n", "bands", *SIGNATURE])
+                more = [pa.array(_fingerprints(*own).view(np.int64))] if prints else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("id", "row")), pa.array(node.view(np.int64)), pa.array(sizes), bands, *longs, *more], ["id", "row", "node", "n", "bands", *SIGNATURE, *(["fp"] if prints else [])])
 
-    return texts.mapInArrow(made, f"id string, row long, node long, n long, bands array<long>, {LONGS}")
+    return texts.mapInArrow(made, f"id string, row long, node long, n long, bands array<long>, {LONGS}{', fp long' if prints else ''}")
 
 
 def nodes_of(made: DataFrame) -> DataFrame:
@@ -429,6 +431,12 @@ def near_components(docs: DataFrame, words: int = 4, id_col: str = "doc_id", tex
     return linked.unionByName(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def firsts_of(first: DataFrame, roots: DataFrame) -> DataFrame:
+    """``id, row`` of the row that comes first of each component; ``first`` has a row for each set, ``roots`` those that links connect."""
+    rooted = first.select("node", "first").join(roots.hint("merge"), "node", "left")
+    return rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.id", "first.row")
+
+
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_texts: int = HELD_TEXTS, held: int = HELD) -> DataFrame:
     """One row of each component of near copies, that of the smallest id, with all its columns.
 
@@ -441,9 +449,35 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = docs.select(name.alias("id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     first = checkpointed(nodes_of(checkpointed(signatures(texts, WORDS))))
     roots = checkpointed(near_roots(first.select("node", "n", "bands", *SIGNATURE, "first.id", "first.row"), texts, WORDS, held_texts, held))
-    rooted = first.select("node", "first").join(roots.hint("merge"), "node", "left")
-    picked = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return rows_picked(docs, picked.select("first.id", "first.row"), id_col, text_col)
+    return rows_picked(docs, firsts_of(first, roots), id_col, text_col)
+
+
+def print_links(made: DataFrame) -> DataFrame:
+    """``a, b``: what connects the sets of ``made`` (``node, fp``) by fingerprints within RADIUS bits of each other; a set may have several."""
+    of = checkpointed(made.select("node", "fp").distinct())
+    rooted = checkpointed(of.join(fingerprint_roots(of).hint("merge"), "fp").select("root", "node").distinct())
+    # Written down, so that a component of very many sets can be split.
+    tops = checkpointed(rooted.groupBy("root").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    return rooted.join(tops.hint("merge"), "root").filter("a <> node").select("a", F.col("node").alias("b"))
+
+
+def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_texts: int = HELD_TEXTS, held: int = HELD) -> DataFrame:
+    """One row of each component of near copies by either measure, that of the smallest id, with all its columns.
+
+    Texts link where their SimHash fingerprints differ in RADIUS or fewer bits, as ``simhash`` finds them, and
+    where they share SIMILARITY of their sets of WORDS words, which few fingerprints so close tell; components go over links of both kinds.
+    Odd rows are as in ``keep_one_similar``; a text that differs from all others but has the blank ones' fingerprint links with them.
+    """
+    name, row = row_key(id_col, text_col)
+    with shuffles_removed(docs.sparkSession):
+        texts = docs.select(name.alias("id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        made = checkpointed(signatures(texts, WORDS, prints=True))
+        close = checkpointed(print_links(made))
+        first = checkpointed(nodes_of(made))
+        roots = near_roots(first.select("node", "n", "bands", *SIGNATURE, "first.id", "first.row"), texts, WORDS, held_texts, held)
+        links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(close)
+        picked = checkpointed(firsts_of(first, checkpointed(components(links))))
+    return rows_picked(docs, picked, id_col, text_col)
 
 
 #: DuckDB SQL of ``near_components`` with the defaults over documents.

@@ -108,6 +108,31 @@ def test_near_copies_in_groups_beyond_a_task(spark, held_texts, held):
     assert got == set(roots)
 
 
+def test_near_dedup_by_fingerprints_and_by_sets(spark):
+    """Copies that only fingerprints tell, copies that only sets tell, and one of each in a row."""
+    rng = np.random.default_rng(8)
+
+    def edited(text, n):
+        words = text.split()
+        for at in rng.choice(len(words), n, replace=False):
+            words[at] = f"n{rng.integers(9000)}"
+        return " ".join(words)
+
+    apart = lambda a, b: (fingerprint_of(a) ^ fingerprint_of(b)).bit_count()
+    base = " ".join(f"w{x}" for x in rng.integers(0, 9000, 220))
+    one = next(t for t in (edited(base, 5) for _ in range(500)) if apart(t, base) <= 3 and not alike(shingles_of(t), shingles_of(base)))
+    two = next(t for t in (edited(one, 4) for _ in range(500)) if apart(t, one) > 3 and apart(t, base) > 3 and alike(shingles_of(t), shingles_of(one)) and not alike(shingles_of(t), shingles_of(base)))
+    other = " ".join(f"w{x}" for x in rng.integers(0, 9000, 220))
+    rows = [(30, two), (9, base), (20, one), (40, one.upper()), (2, other), (5, edited(other, 60)), (7, None), (6, " "), (50, two)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    held = [(shingles_of(t), fingerprint_of(t or "")) for _, t in rows]
+    roots = components_of(held, lambda a, b: alike(a[0], b[0]) or (a[1] ^ b[1]).bit_count() <= 3)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == sorted(min(rows[k][0] for k in range(len(rows)) if roots[k] == root) for root in set(roots)) == [2, 5, 6, 9]
+    assert corpus_pipeline.near_dedup(spark, empty(docs), "").count() == 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_whole_pipeline(spark, tmp_path):
     rng = np.random.default_rng(30)
     item = "Which of the following reagents is used to precipitate plasmid DNA after alkaline lysis of bacteria?"
