@@ -58,9 +58,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of what is left and their places in sequences of 1024.
 
     A null text is the end id alone; null ids stay null; repeated rows are packed each; an
-    empty table gives no piece.
+    empty table gives no piece. Workers keep no encoder, as they go on to other stages.
     """
-    return pack_tokens(docs, VOCABULARY, end_id=END_ID, capacity=1024)
+    return pack_tokens(docs, VOCABULARY, end_id=END_ID, capacity=1024, passing=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -9,6 +9,7 @@ Natural text repeats most of its pieces; the library sees the new ones.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import zlib
@@ -21,6 +22,7 @@ from procurespark.llm.shared import flat_text, ranges
 
 WINDOW_BYTES = 2 << 20
 CACHED_PIECES = 700_000  # about 150 MB in each Python worker
+PASSING_PIECES = 200_000  # about 40 MB, of an encoder that goes with its task
 JOINED_PIECES = 2_000
 PLAIN_BYTES = 1 << 20
 
@@ -54,10 +56,12 @@ class Encoder:
     """Ids of a vocabulary file: ``.json`` by tokenizers, ``.model`` by sentencepiece.
 
     No begin, end or added special tokens, no truncation or padding; the strings of
-    special tokens inside texts are treated as the library does by default.
+    special tokens inside texts are treated as the library does by default. ``most``
+    pieces are known at once, CACHED_PIECES if it isn't given.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.sentencepiece = path.endswith(".model")
         self.by_piece = False
@@ -105,7 +109,7 @@ class Encoder:
         known, starts, lengths, uses, pool = self.known, self.starts, self.lengths, self.uses, self.pool
         kept = [p for p, k in known.items() if uses[k] > 1]
         self._forget()
-        if len(kept) <= CACHED_PIECES // 2:
+        if len(kept) <= (self.most or CACHED_PIECES) // 2:
             at = np.fromiter(map(known.__getitem__, kept), np.int64, len(kept))
             self._keep(kept, pool[ranges(starts[at], lengths[at])], lengths[at])
 
@@ -182,7 +186,7 @@ class Encoder:
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts - cuts[0]), pa.py_buffer(held)])
         coded = pieces.dictionary_encode()
         different = coded.dictionary.to_pylist()
-        if len(self.known) + len(different) > CACHED_PIECES:
+        if len(self.known) + len(different) > (self.most or CACHED_PIECES):
             self._thin()
         if new := [p for p in different if p not in self.known]:
             self._learn(new)
@@ -248,13 +252,25 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary, one for each Python worker."""
+def encoder(path: str, most: int | None = None) -> Encoder:
+    """The encoder of a vocabulary, one for each Python worker; ``most`` is for a new one."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most)
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """Gives up the worker's encoder of a vocabulary, and what it held to the system.
+
+    Spark's workers go on to other stages, and allocators keep freed memory for themselves.
+    """
+    _encoders.pop(path, None)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The same with ``end_id`` after each text."""
     if end_id is None:

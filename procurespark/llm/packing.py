@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procurespark.llm.encoding import crc32_of, encoder, with_end
+from procurespark.llm.encoding import PASSING_PIECES, crc32_of, encoder, forget, with_end
 from procurespark.llm.shared import by_bytes, flat_text, ranges
 from procurespark.storage import checkpointed
 
@@ -25,20 +25,20 @@ BATCH_BYTES = 4 << 20
 BUCKETS = 256
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, capacity: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, capacity: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", passing: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every text.
 
     A sequence longer than ``capacity`` is cut into pieces of it, the first of which
     takes the remainder; others are one piece. A text without ids gives no piece; a null text
     is empty; null ids stay null; repeated rows are cut each; other columns are not read; an
-    empty table gives no piece.
+    empty table gives no piece. ``passing``: a task's encoder ends with it, for less memory and more time.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = flat_text(batch.column(1))
             for a, b in by_bytes(offsets, BATCH_BYTES):
-                numbers, bounds = with_end(*encoder(vocabulary).ids(batch.column(1).slice(a, b - a)), end_id)
+                numbers, bounds = with_end(*encoder(vocabulary, PASSING_PIECES if passing else None).ids(batch.column(1).slice(a, b - a)), end_id)
                 total = np.diff(bounds)
                 pieces = -(-total // capacity)
                 owner = np.repeat(np.arange(b - a), pieces)
@@ -54,8 +54,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, capacity:
                     columns, names = [*columns, pa.array([x.astype("<u4").tobytes() for x in held], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
+    def cut_and_forget(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from cut(batches)
+        finally:
+            forget(vocabulary)
+
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return picked.mapInArrow(cut_and_forget if passing else cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def packing_plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -194,14 +200,15 @@ def place_pieces(pieces: DataFrame, capacity: int, keys: list[str]) -> DataFrame
     return ranked.select(*columns, "length", "_rank").mapInArrow(find, schema)
 
 
-def pack_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = 2, capacity: int = 1024, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = 2, capacity: int = 1024, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", passing: bool = False) -> DataFrame:
     """Places the pieces of all documents into as few sequences as the plan finds.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``).
     A null text is empty and gives the end id alone; null ids stay null; repeated rows
     are packed each; other columns are not read; an empty table gives an empty result.
+    ``passing``: as in ``token_pieces``.
     """
-    pieces = checkpointed(token_pieces(docs, vocabulary, end_id, capacity, with_ids, id_col, text_col))
+    pieces = checkpointed(token_pieces(docs, vocabulary, end_id, capacity, with_ids, id_col, text_col, passing))
     placed = place_pieces(pieces, capacity, ["doc_id", "piece", "start", "ids_crc32"])
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
 

@@ -2,16 +2,18 @@
 
 import math
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_corpus_operators import LONG, VOCABULARY, components_of, counts_of, empty, fingerprint_of, lowered
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from procurespark.llm import decontaminate, licenses, line_dedup, near_copies, quality
+from procurespark.llm import decontaminate, encoding, licenses, line_dedup, near_copies, quality
 
 GOOD = " ".join(f"word{i}" for i in range(80))
 #: Columns that operators might use themselves, beside those of documents.
@@ -230,3 +232,29 @@ def test_registered_queries_by_hand(spark):
     assert verbatim <= found
     words = {i: set(t.split()) for i, t in texts.items()}
     assert all(len(words[i] & set(plain(items[k]).split())) * 2 > len(set(plain(items[k]).split())) for i, k in found)  # what is found shares most of its words
+
+
+def test_packing_leaves_no_encoder_in_workers(spark, tmp_path, monkeypatch):
+    own = shutil.copy(VOCABULARY, tmp_path / "own.json")
+    docs = spark.createDataFrame([(i, f"{GOOD} {i} {LONG}") for i in range(40)], "doc_id long, text string").repartition(8)
+    want = held_by(corpus_pipeline.packing(spark, docs, ""))
+    monkeypatch.setattr(corpus_pipeline, "VOCABULARY", str(own))
+    assert held_by(corpus_pipeline.packing(spark, docs, "")) == want
+
+    def kept(batches):
+        from procurespark.llm import encoding
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([str(own) in encoding._encoders] * len(batch))], ["kept"])
+
+    assert spark.range(0, 64, 1, 64).mapInArrow(kept, "kept boolean").filter("kept").count() == 0
+
+
+def test_an_encoder_with_few_places_gives_the_same_ids():
+    texts = pa.array([f"{GOOD} {i} some words of text {i}, and more" for i in range(200)])
+    few = encoding.Encoder(VOCABULARY, 50)
+    many = encoding.Encoder(VOCABULARY)
+    for k in range(0, 200, 20):
+        for a, b in zip(few.ids(texts.slice(k, 20)), many.ids(texts.slice(k, 20)), strict=True):
+            assert a.tolist() == b.tolist()
+    assert len(few.known) < len(many.known)
