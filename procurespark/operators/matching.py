@@ -14,12 +14,16 @@ from procurespark.functions.vectors import hash_embedding, is_stale
 from procurespark.operators.knn import nearest
 from procurespark.operators.snapshots import Store, bucket_of, unit_of_work
 from procurespark.schemas import MATERIALS
-from procurespark.storage import checkpointed
+from procurespark.storage import checkpointed, new_path
 
 METHOD = "vector+rules"
 #: What a line of materials can be.
 ROLES = ["kit", "reagent", "consumable", "equipment", "buffer_component", "not_a_material"]
 PURCHASABLE = ["kit", "reagent", "consumable"]
+#: A broadcast is made on the driver, so what takes up more is shuffled.
+BROADCAST_BYTES = 4_000_000
+#: Rows that can't meet any are dealt to so many places of a join.
+SPREAD = 1024
 
 
 def _view(df: DataFrame, prefix: str) -> DataFrame:
@@ -69,12 +73,31 @@ def material_lines(protocols: DataFrame) -> DataFrame:
     return first.select("protocol_id", "_line.*")
 
 
-def catalog_hits(lines: DataFrame, products: DataFrame) -> DataFrame:
-    """Lines whose vendor and catalog number name a product, case aside; of several the one with the lowest id."""
+def _sized(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its rows take up at most BROADCAST_BYTES, else for a sort-merge join.
+
+    It is written down and measured, as Spark's estimates come from the size of compressed files, which may be far below.
+    """
+    held = checkpointed(df)
+    width = F.lit(16 * len(held.columns) + 16)
+    for name, kind in held.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    size = held.agg(F.sum(width).alias("n")).first()["n"] or 0
+    return F.broadcast(held) if size <= BROADCAST_BYTES else held.hint("merge")
+
+
+def catalog_hits(lines: DataFrame, products: DataFrame, how: str = "inner") -> DataFrame:
+    """Lines whose vendor and catalog number name a product, case aside; of several the one with the lowest id.
+
+    With ``how="left"`` all lines come back, with a null ``product_id`` where there is none.
+    """
     known = products.select(F.lower("brand").alias("_b"), F.lower("mpn").alias("_m"), F.col("id").alias("product_id")).dropna().groupBy("_b", "_m").agg(F.min("product_id").alias("product_id"))
     both = filled(F.col("vendor")).isNotNull() & filled(F.col("catalog_no")).isNotNull()
-    keyed = lines.filter(both).withColumn("_b", F.lower(strip(F.col("vendor")))).withColumn("_m", F.lower(strip(F.col("catalog_no"))))
-    return keyed.join(known, ["_b", "_m"]).drop("_b", "_m")
+    keyed = (lines.filter(both) if how == "inner" else lines).withColumn("_b", F.when(both, F.lower(strip(F.col("vendor"))))).withColumn("_m", F.when(both, F.lower(strip(F.col("catalog_no")))))
+    # Lines without both meet nothing; were the join shuffled, they would all be one task's.
+    keyed = keyed.withColumn("_s", F.when(both, 0).otherwise(F.pmod(F.xxhash64("protocol_id", "name"), F.lit(SPREAD)).cast("int")) if how == "left" else F.lit(0))
+    return keyed.join(_sized(known.withColumn("_s", F.lit(0))), ["_b", "_m", "_s"], how).drop("_b", "_m", "_s")
 
 
 def embedding_candidates(products: DataFrame, embed: Callable[[Column], Column] = hash_embedding, k: int = 20, text: Column | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -88,18 +111,19 @@ def embedding_candidates(products: DataFrame, embed: Callable[[Column], Column]
         keyed = lines.withColumn("_q", F.xxhash64("name"))
         asked = keyed.select("_q", "name").distinct().select(F.col("_q").alias("_n"), embed(F.col("name")).alias("embedding"))
         number = F.col("id") if dict(products.dtypes)["id"] == "bigint" else F.xxhash64("id")
+        # Sides as large as the catalog or the lines are for sort-merge joins: Spark would broadcast them by the size of their files.
         if text is None:
             held = products.select(number.alias("_n"), F.col("id").alias("product_id"), "embedding")
-            found = nearest(asked, held, k, "_n", skip_self=False)
+            found = nearest(asked, held, k, "_n", skip_self=False).join(held.select(F.col("_n").alias("id"), "product_id").hint("merge"), "id")
         else:
             held = products.select(number.alias("_n"), F.col("id").alias("product_id"), text.alias("_text"))
             first = checkpointed(held.withColumn("_k", F.row_number().over(Window.partitionBy("_text").orderBy("_n"))).filter(F.col("_k") <= k))
             kinds = checkpointed(first.filter("_k = 1").select(F.col("_n").alias("id"), "_text"))
             met = nearest(asked, kinds.select(F.col("id").alias("_n"), embed(F.col("_text")).alias("embedding")), k, "_n", skip_self=False)
-            spread = met.drop("rank").join(kinds, "id").drop("id").join(first.select("_text", F.col("_n").alias("id")), "_text").drop("_text")
+            of_text = first.select("_text", F.col("_n").alias("id"), "product_id")
+            spread = met.drop("rank").join(kinds.hint("merge"), "id").drop("id").join(of_text.hint("merge"), "_text").drop("_text")
             found = spread.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).filter(F.col("rank") <= k)
-        met = found.join(held.select(F.col("_n").alias("id"), "product_id"), "id").select(F.col("query_id").alias("_q"), "product_id", "distance", "rank")
-        return keyed.join(met, "_q").drop("_q")
+        return keyed.hint("merge").join(found.select(F.col("query_id").alias("_q"), "product_id", "distance", "rank"), "_q").drop("_q")
 
     return candidates
 
@@ -109,17 +133,23 @@ def match_materials(lines: DataFrame, products: DataFrame, candidates: Callable[
 
     ``candidates`` takes the different lines (``name, vendor, catalog_no``) without a catalog hit
     and returns them with ``product_id``, ``distance`` and ``rank``; only those are embedded,
-    searched and scored, however many protocols have them.
+    searched and scored, however many protocols have them. Lines are made once: they go to a folder of this run below the
+    shared one, with their catalog hits, and the result is read from there. Only what was measured to be small is broadcast.
     """
-    hits = catalog_hits(lines, products).select("protocol_id", "product_id", F.col("name").alias("material_name"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("kind"), F.lit("catalog").alias("method"))
-    rest = lines.join(hits.select("protocol_id", F.col("material_name").alias("name")), ["protocol_id", "name"], "left_anti")
-    line = F.to_json(F.struct("name", "vendor", "catalog_no"))
-    kinds = rest.select("name", "vendor", "catalog_no").distinct()
-    found = candidates(kinds).join(_view(products, "b"), F.col("product_id") == F.col("b_id"))
+    spark, of_line = lines.sparkSession, ["name", "vendor", "catalog_no"]
+    path = new_path(spark, "material-lines")
+    catalog_hits(lines.select("protocol_id", *of_line), products, "left").write.parquet(f"{path}/lines")
+    told = spark.read.parquet(f"{path}/lines")
+    hits = told.filter(F.col("product_id").isNotNull()).select("protocol_id", "product_id", F.col("name").alias("material_name"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("kind"), F.lit("catalog").alias("method"))
+    rest = told.filter(F.col("product_id").isNull()).drop("product_id")
+    rest.select(*of_line).distinct().write.parquet(f"{path}/kinds")
+    found = candidates(spark.read.parquet(f"{path}/kinds")).join(_view(products, "b").hint("merge"), F.col("product_id") == F.col("b_id"))
     own = F.struct(F.lit("").alias("category"), F.col("name").alias("name"), F.col("vendor").alias("brand"), F.col("catalog_no").alias("mpn"), F.create_map().cast("map<string,string>").alias("specs"))
     scored = found.withColumn("confidence", confidence(1.0 - F.col("distance"), attribute_bonus(own, F.col("b")))).withColumn("kind", classify(F.col("confidence"), thresholds)).filter(F.col("kind").isNotNull())
-    best = scored.groupBy(line.alias("_line")).agg(F.max_by(F.struct("product_id", "confidence", "kind"), F.struct("confidence", -F.col("rank"))).alias("_best")).select("_line", "_best.*")
-    chosen = rest.withColumn("_line", line).join(best, "_line")
+    best = scored.groupBy(*of_line).agg(F.max_by(F.struct("product_id", "confidence", "kind"), F.struct("confidence", -F.col("rank"))).alias("_best"))
+    best = _sized(best.select(*(F.col(c).alias(f"_{c}") for c in of_line), "_best.*"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of_line]
+    chosen = rest.join(best, same[0] & same[1] & same[2])
     return hits.unionByName(chosen.select("protocol_id", "product_id", F.col("name").alias("material_name"), F.round("confidence", 4).alias("confidence"), "kind", F.lit(METHOD).alias("method")))
 
 

@@ -201,7 +201,7 @@ def weights_sql(name: str, table: str, key: str, text: str) -> str:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as materials: type and name of a part, its brand, and a part number on every second one."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.upper("p_brand").alias("vendor"), F.concat_ws(" ", F.lower("p_type"), "p_name").alias("name"))
-    line = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
+    line = table(spark, sf_dir, "lineitem").join(part.hint("merge"), "l_partkey")  # by the size of its file, a catalog of any size would be broadcast
     number = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("m"), (F.col("l_partkey") % 40).cast("string")))
     return line.select(F.col("l_orderkey").alias("protocol_id"), F.col("l_linenumber").alias("position"), "name", "vendor", number.alias("catalog_no"))
 

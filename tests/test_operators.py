@@ -522,3 +522,19 @@ def test_candidates_by_text_are_those_by_vector(spark):
     by_vector = matching.embedding_candidates(products.withColumn("embedding", vectors.hash_embedding(F.col("name"))))(lines)
     by_text = matching.embedding_candidates(products, text=F.col("name"))(lines)
     assert rows_of(by_text.select(by_vector.columns)) == rows_of(by_vector) and by_text.count() == 60
+
+
+def test_material_links_shuffled_are_those_broadcast(spark, monkeypatch):
+    """Lines without a vendor or number meet nothing, whether the catalog's numbers are broadcast or shuffled, and each line comes back once."""
+    products = spark.createDataFrame([(1, "", "TRIzol", "Invi", "T9", {}), (2, "", "Gel", "Q", "G", {}), (3, "", "Tip", "", "", {})], PRODUCT)
+    told = [("p", 0, "TRIzol", " INVI", "t9"), (None, 0, "TRIzol", "Invi", "T9"), ("p", 1, "Gel", None, None), ("q", 0, "Gel", "Q", None), ("r", 0, "Gel", None, "G"), ("s", 0, "Gel", "", "G"), ("q", 1, "Far", "x", "y")]
+    lines = spark.createDataFrame(told, "protocol_id string, position int, name string, vendor string, catalog_no string")
+    near = spark.createDataFrame([("Gel", 2, 0.1, 1), ("Gel", 1, 0.02, 2), ("Far", 1, 0.9, 1), ("TRIzol", 2, 0.0, 1)], "name string, product_id long, distance double, rank int")
+    want = sorted(map(str, [(p, 1, "TRIzol", 1.0, "exact", "catalog") for p in ("p", None)] + [(p, 1, "Gel", 0.98, "exact", "vector+rules") for p in ("p", "q", "r", "s")]))
+    for most in (matching.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(matching, "BROADCAST_BYTES", most)
+        links = matching.match_materials(lines, products, lambda rest: rest.join(near, "name"))
+        assert sorted(str(tuple(r)) for r in links.collect()) == want
+        hits = matching.catalog_hits(lines, products, "left")
+        assert hits.count() == len(told) and hits.filter("product_id = 1").count() == 2 and matching.catalog_hits(lines, products).count() == 2
+        assert ("BroadcastHashJoin" in hits._jdf.queryExecution().executedPlan().toString()) == (most > 0)
